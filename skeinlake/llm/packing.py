@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -14,30 +16,72 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 CAPACITY = 4096
-#: Chunks of text that a worker remembers with their ids; the memory is emptied when it is full.
-REMEMBERED = 200_000
+#: Runs, and words in them, that a worker remembers with their ids; a memory is emptied when it is full.
+REMEMBERED = 300_000
+#: Marks that the tokenizer keeps together after a word, apart from it.
+MARKS = ".,;:!?%*&$#"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Ids(dict):
     """Ids of a run of non-blank characters, as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids
-    of a text are those of its runs in turn.
+    of a text are those of its runs in turn. A run of letters with marks after them goes to
+    the vocabulary's merges at once, without the normaliser, which would leave it as it is but for its case; all
+    other runs take the whole way.
     """
 
+    letters = _byte_letters()
+
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+        super().__init__({"": b""})
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.words: dict[str, bytes] = {}
+        state = json.loads(tokenizer.to_str())
+        kinds = [n["type"] for n in (state.get("normalizer") or {}).get("normalizers", [])]
+        self.direct = kinds == ["NFC", "Replace", "Lowercase"] and state["model"].get("end_of_word_suffix") == "</w>"
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            found = self.words[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return found
 
     def __missing__(self, run: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self[""] = b""
+        head = run.rstrip(MARKS)
+        small = head.lower()
+        if self.direct and len(run) <= 64 and small.isalpha() and head.isalpha() and "\u03a3" not in head and (small.isascii() or unicodedata.is_normalized("NFC", small)):
+            ids = self.word(small) + (self.word(run[len(head) :]) if len(head) < len(run) else b"")
+        else:
+            ids = np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(run) <= 64:
             self[run] = ids
         return ids
 
 
+#: Kept between the tasks of a worker.
+_KEPT: dict[str, _Ids] = {}
+
+
+def remembered_ids(name_or_path: str) -> _Ids:
+    if name_or_path not in _KEPT:
+        _KEPT[name_or_path] = _Ids(load_tokenizer(name_or_path))
+    return _KEPT[name_or_path]
+
+
 def load_tokenizer(name_or_path: str):
     """A tokenizer file by its path, or by its name among the installed public vocabularies."""
     from tokenizers import Tokenizer
@@ -61,8 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(load_tokenizer(tokenizer))
-        ids[""] = b""
+        ids = remembered_ids(tokenizer)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
