@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import ship
 from .common import materialize
 
 #: Vectors that the codebooks are fitted on, at most; which ones follows a hash of vec_id.
@@ -120,6 +121,7 @@ def search(
     Rows that are null, zero, not finite or of another dimension than most take no part. A query is never its own neighbour; with repeated vec_ids every row of that id counts as the query's own,
     rows that repeat an id come once (their best), and fewer candidates than k give fewer rows. Ties go to the smaller vec_id. Empty table: no rows.
     """
+    ship(vectors.sparkSession)
     rows = usable(vectors, vec_id, embedding)
     schema = "query_id long, vec_id long, score double"
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("x").toPandas()["x"]

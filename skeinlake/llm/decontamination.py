@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..runtime import ship
 from pyspark.sql import types as T
 
 #: Characters of benchmark text that one pass over the documents looks for; a larger benchmark takes several passes.
@@ -191,6 +193,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     Null or empty text: no hits. Long texts are searched whole. Null item_id or text, and items of fewer than LEAST_WORDS words, are not looked for;
     repeated items count once. Empty benchmark: no hits anywhere. Other columns stay as they are.
     """
+    ship(docs.sparkSession)
     out = docs.withColumn(name, F.array().cast(HIT))
     where = docs.columns.index("text")
     for items in blocks(docs, benchmark):

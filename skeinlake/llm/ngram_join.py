@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import BROADCAST_ROWS, materialize
 from .components import connected_components
 
@@ -322,6 +323,7 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
     texts link; a null doc_id is left out of the minimum. Empty table: no rows. Other columns are ignored.
     Hashes of n-grams and sets have 64 bits.
     """
+    ship(docs.sparkSession)
     num, den = similarity
     docs = docs.select("doc_id", "text")
     own = materialize(gram_sets(docs, n), "sets")

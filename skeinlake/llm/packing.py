@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import ship
 from .common import materialize
 
 CAPACITY = 4096
@@ -104,6 +105,8 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     A null text counts as empty and gives the end id alone. A null doc_id stays null.
     """
 
+    ship(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = remembered_ids(tokenizer)
         end = np.asarray([end_id], dtype="<u4").tobytes()

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Labelled examples in the index, at most; which ones follows a hash of doc_id.
 EXAMPLES = 20_000
 #: Terms of the vector space, at most: those that tell the labels apart best.
@@ -242,6 +244,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     Without labels of both kinds all get that share (0 without any). Repeated labels: toxic if one says so. Repeated rows are scored each.
     Empty table: no rows. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     model = fit(docs, labels, label, examples, max_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

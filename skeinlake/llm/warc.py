@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import broadcast_if_small, materialize, new_path
 
 #: Bytes of an archive file after which the next one begins; a single larger capture has a file of its own.
@@ -90,6 +91,7 @@ def write(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED, archive
     revisit it. Digests are found and compared in Spark, with partial maxima before the shuffle; only digests that occur more than once
     come to the pages again. Files are written by Spark's committer, so a lost task leaves no half archive behind.
     """
+    ship(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     long_ = rows.where(F.octet_length("payload") >= least_shared).select(F.sha2("payload", 256).alias("same"), "page_id", "url")
     owners = long_.groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("owner"), F.count("*").alias("n")).where("n > 1")
@@ -129,6 +131,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     WARC-Concurrent-To. Records of identical captures have identical ids: they are counted, joined once and given back as
     often as they occur.
     """
+    ship(spark)
     schema = "kind string, id string, main string, target string, digest string, refers string, bytes long, page_id long, page_refers long, method string, payload binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
