@@ -65,6 +65,14 @@ def matches(text: Column, pattern: Column, kind: str, maybe: Column) -> Column:
     return F.when(maybe, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:string>>"))
 
 
+def _kept(kind: str, spans: Column) -> Column:
+    return F.filter(spans, lambda s: _valid(kind, s["value"]))
+
+
+def _of(kind: str) -> Column:
+    return F.filter("spans", lambda s: s["kind"] == kind)
+
+
 def base_spans(text: Column) -> Column:
     """All valid spans of the four patterns, by start and then kind."""
     text = F.coalesce(text, F.lit(""))
@@ -75,7 +83,7 @@ def base_spans(text: Column) -> Column:
         matches(text, F.lit(_CARD), "card", numbers & text.rlike(r"[0-9](?:[ -]?[0-9]){13}")),
         matches(text, F.lit(_PHONE), "phone", F.instr(text, "+") > 0),
     )
-    kept = [F.filter(m, lambda s, k=k: _valid(k, s["value"])) for k, m in zip(KINDS, each, strict=False)]
+    kept = [_kept(k, m) for k, m in zip(KINDS, each, strict=False)]
     return F.array_sort(F.concat(*kept))
 
 
@@ -144,7 +152,7 @@ def span_text(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of what find() returns."""
     base = F.filter("spans", lambda s: s["kind"] != "term")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    counts = [F.size(_of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
