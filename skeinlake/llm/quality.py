@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
+import operator
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..runtime import ship
 from .common import broadcast_if_small, materialize
 
 #: Labelled documents that the document classifier is fitted on, at most; which ones follows a hash of doc_id.
 FIT_ROWS = 20_000
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Shares of a text that depend neither on its topic nor on its language; all 0 where there are no words."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.regexp_count(text, F.lit(r"\S+"))
-    chars = F.length(text)
-    share = lambda pattern, of: F.when(of > 0, F.regexp_count(text, F.lit(pattern)) / of).otherwise(0.0)
-    return {
-        "odd": share(r"[^\p{L}\p{M}\p{N}\s.,;:'\"()?-]{2,}", words),
-        "odd_chars": share(r"[^\p{L}\p{M}\p{N}\s.,;:'\"()?-]", chars),
-        "upper": share(r"\p{Lu}", chars),
-        "bang": share(r"!{2,}", words),
-        "bar": share(r"(?<!\S)\|(?!\S)", words),
-        "again": share(r"(?<!\S)(\S+)(?=\s+\1(?!\S))", words),
-        "digits": share(r"\p{N}", chars),
-        "long": share(r"\S{30,}", words),
-    }
+#: What is counted in a text, and whether it is held against the words or the characters.
+COUNTED = {"odd": "chars", "upper": "chars", "digits": "chars", "bang": "words", "bar": "words", "again": "words"}
+ODD = "%*&$#@^~=<>[]{}\\/_+`"
+_UPPER, _DIGIT = re.compile("[A-ZÄÖÜÁÉÍÓÚÀÈÙÂÊÎÔÛÇÑ]"), re.compile("[0-9]")
+
+
+def measure(text: str | None) -> tuple[int, ...]:
+    """Words, characters, odd marks, capitals, digits, doubled exclamation marks, lone bars, words that repeat the one before."""
+    text = text or ""
+    words = text.split()
+    return (
+        len(words), len(text), sum(map(text.count, ODD)), len(_UPPER.findall(text)), len(_DIGIT.findall(text)), text.count("!!"), words.count("|"), sum(map(operator.eq, words, words[1:])),
+    )
+
+
+def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all) with _q_words, _q_chars and a _q_ column for each entry of COUNTED."""
+    ship(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    names = ["_q_words", "_q_chars", *[f"_q_{n}" for n in COUNTED]]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, T.LongType()) for n in names])
+    places, at = [docs.columns.index(c) for c in keep], docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [measure(x.as_py()) for x in batch.column(at)]
+            own = [pa.array(c, pa.int64()) for c in (zip(*counts, strict=True) if counts else [[]] * len(names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *own], names=[*keep, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def features() -> dict[str, Column]:
+    """Shares of a text, from with_counts(), that depend neither on its topic nor on its language; all 0 where there are no words."""
+    return {n: F.when(F.col(f"_q_{of}") > 0, F.col(f"_q_{n}") / F.col(f"_q_{of}")).otherwise(0.0) for n, of in COUNTED.items()}
 
 
 @dataclass
@@ -43,22 +68,22 @@ class Fit:
     scale: np.ndarray
     rate: float
 
-    def llr(self, text: Column) -> Column:
-        """Log likelihood ratio good : bad of a text, within +-20; 0 for a text without words."""
-        found = features(text)
+    def llr(self) -> Column:
+        """Log likelihood ratio good : bad from the columns of with_counts(), within +-20; 0 for a text without words."""
+        found = features()
         total = F.lit(float(self.bias - np.log(self.rate / (1 - self.rate))))
         for n, w, m, s in zip(self.names, self.weights, self.mean, self.scale, strict=True):
             total = total + F.lit(float(w)) * (found[n] - F.lit(float(m))) / F.lit(float(s))
-        return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), F.greatest(F.lit(-20.0), F.least(F.lit(20.0), total))).otherwise(0.0)
+        return F.when(F.col("_q_words") > 0, F.greatest(F.lit(-20.0), F.least(F.lit(20.0), total))).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> Fit:
     """Newton steps for a ridge logistic regression on at most rows labelled documents."""
-    names = list(features(F.lit("")))
+    names = list(features())
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id"))  # at most rows rows
-    data = np.array([list(r) for r in found.select("y", *[c.alias(n) for n, c in features(F.col("text")).items()]).collect()], dtype=float)
+    data = np.array([list(r) for r in with_counts(found).select("y", *[c.alias(n) for n, c in features().items()]).collect()], dtype=float)
     if len(data) == 0 or len(set(data[:, 0])) < 2:
         return Fit(names, np.zeros(len(names)), 0.0, np.zeros(len(names)), np.ones(len(names)), 0.5)
     y, x = data[:, 0], data[:, 1:]
@@ -110,9 +135,11 @@ def _posterior() -> Column:
     return 1 / (1 + F.exp(-(F.col("_q_llr") + F.log(p / (1 - p)))))
 
 
-def _with_scores(docs: DataFrame, labels: DataFrame, host: str, path: str, text: str) -> DataFrame:
+def _with_scores(docs: DataFrame, labels: DataFrame, host: str, path: str, text: str, with_text: bool) -> DataFrame:
     model = fit(docs.select("doc_id", F.col(text).alias("text")), labels)
-    own = docs.select(*[docs[c] for c in docs.columns], model.llr(F.col(text)).alias("_q_llr"))
+    keep = [c for c in docs.columns if with_text or c != text]
+    own = with_counts(docs, text, keep).select(*keep, model.llr().alias("_q_llr"))
+    own = materialize(own, "evidence")  # so that the texts are read once
     rates = site_rates(own.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col("_q_llr").alias("llr")), model.rate)
     rates = broadcast_if_small(rates.select(*[F.col(c).alias(f"_q_{c}") for c in rates.columns]))
     joined = own.join(rates, F.col(host).eqNullSafe(F.col("_q_host")) & F.col(path).eqNullSafe(F.col("_q_path")))
@@ -130,11 +157,11 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     Empty table: no rows. Other columns are ignored.
     """
     slim = docs.select("doc_id", host, path, text)
-    return _with_scores(slim, labels, host, path, text).select(
+    return _with_scores(slim, labels, host, path, text, False).select(
         "doc_id", F.col("_q_llr").alias("llr"), F.col("_q_host_rate").alias("host_rate"), F.col("_q_path_rate").alias("path_rate"), F.col("_q_score").alias("score"), (F.col("_q_score") >= threshold).alias("keep")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all of their columns, that score() keeps."""
-    return _with_scores(docs, labels, host, path, text).where(F.col("_q_score") >= threshold).select(*[docs[c] for c in docs.columns])
+    return _with_scores(docs, labels, host, path, text, True).where(F.col("_q_score") >= threshold).select(*docs.columns)
