@@ -1,4 +1,8 @@
 """Registered queries and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import finding_plans, url_plans
+
+QUERIES = {**finding_plans.Q, **url_plans.Q}
+ORACLE_SQL = {**finding_plans.SQL, **url_plans.SQL}
