@@ -62,4 +62,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_warc, op5_ngram_join, op6_toxicity, op7_decontamination, op8_ann, op9_html, op10_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TAG = lambda name, what: f"list_filter(regexp_extract_all(html, '(?is)<{name}\\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\\b{what}\\b'))[1]"
+_FITS = "(host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%'"
+_LONGEST = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+_RULE = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for _, h, p in _LONGEST) + " END"
+_WORD = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for v, h, p in _LONGEST) + " END"
+_HOST = "translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+#: Only what SQL can say; the others are tested against brute force, round trips and held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS h FROM pages),
+ o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS owner FROM p)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to FROM o""",
+    "op10_url_filter": f"""WITH RECURSIVE found AS (SELECT regexp_replace(url, '(?s)#.*$', '') AS source, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, unnest([
+  regexp_extract({_TAG("link", "rel\\s*=\\s*[\"'']?canonical")}, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+  regexp_extract({_TAG("meta", "http-equiv\\s*=\\s*[\"'']?refresh")}, '(?is)url\\s*=\\s*([^"''\\s>]+)', 1)]) AS t FROM pages),
+ links AS (SELECT DISTINCT source, target FROM (SELECT source, regexp_replace(CASE WHEN t LIKE '//%' THEN regexp_extract(site, '(?s)^(.*?:)//', 1) || t WHEN t LIKE '/%' THEN site || t ELSE t END, '(?s)#.*$', '') AS target FROM found WHERE t <> '') WHERE source <> target AND instr(target, '://') > 0),
+ both AS (SELECT source AS a, target AS b FROM links UNION SELECT target, source FROM links),
+ reach(node, alias) AS (SELECT a, a FROM both UNION SELECT reach.node, both.b FROM reach JOIN both ON reach.alias = both.a),
+ words AS (SELECT node, bool_or(w = 'block') AS blocked, bool_or(w = 'allow') AS allowed FROM (SELECT node, {_WORD} AS w FROM (SELECT node, {_HOST.format(u="alias")} AS host, {_PATH.format(u="alias")} AS path FROM reach)) GROUP BY node),
+ seen AS (SELECT page_id, url, coalesce({_HOST.format(u="url")}, '') AS host, coalesce({_PATH.format(u="url")}, '') AS path FROM pages)
+ SELECT page_id, host, path, {_RULE} AS rule, coalesce({_WORD}, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' END, 'allow') AS verdict
+ FROM seen LEFT JOIN words ON regexp_replace(url, '(?s)#.*$', '') = node""",
+}
