@@ -79,8 +79,8 @@ ORACLE_SQL: dict[str, str] = {
   regexp_extract({_TAG("link", "rel\\s*=\\s*[\"'']?canonical")}, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
   regexp_extract({_TAG("meta", "http-equiv\\s*=\\s*[\"'']?refresh")}, '(?is)url\\s*=\\s*([^"''\\s>]+)', 1)]) AS t FROM pages),
  links AS (SELECT DISTINCT source, target FROM (SELECT source, regexp_replace(CASE WHEN t LIKE '//%' THEN regexp_extract(site, '(?s)^(.*?:)//', 1) || t WHEN t LIKE '/%' THEN site || t ELSE t END, '(?s)#.*$', '') AS target FROM found WHERE t <> '') WHERE source <> target AND instr(target, '://') > 0),
- both AS (SELECT source AS a, target AS b FROM links UNION SELECT target, source FROM links),
- reach(node, alias) AS (SELECT a, a FROM both UNION SELECT reach.node, both.b FROM reach JOIN both ON reach.alias = both.a),
+ pairs AS (SELECT source AS a, target AS b FROM links UNION SELECT target, source FROM links),
+ reach(node, alias) AS (SELECT a, a FROM pairs UNION SELECT reach.node, pairs.b FROM reach JOIN pairs ON reach.alias = pairs.a),
  words AS (SELECT node, bool_or(w = 'block') AS blocked, bool_or(w = 'allow') AS allowed FROM (SELECT node, {_WORD} AS w FROM (SELECT node, {_HOST.format(u="alias")} AS host, {_PATH.format(u="alias")} AS path FROM reach)) GROUP BY node),
  seen AS (SELECT page_id, url, coalesce({_HOST.format(u="url")}, '') AS host, coalesce({_PATH.format(u="url")}, '') AS path FROM pages)
  SELECT page_id, host, path, {_RULE} AS rule, coalesce({_WORD}, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' END, 'allow') AS verdict
