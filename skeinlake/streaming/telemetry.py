@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, time: str, width: str, key: str, value: str, late: str = "1 hour") -> DataFrame:
     """(window, key, n, total); on a stream, rows later than late are dropped and closed windows leave the state."""
-    source = events.withWatermark(time, late) if events.isStreaming else events
+    if events.isStreaming:  # watermarks want an instant
+        source = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    else:
+        source = events
     return source.groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
