@@ -17,7 +17,7 @@ def graphql(body: Column) -> Column:
 
 
 def sitemap_locs(xml: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
@@ -35,7 +35,7 @@ def cpe_fields(cpe: Column) -> Column:
 
 def cookie(value: Column) -> Column:
     """struct(name, attributes): lower-cased attribute names, null where there is no value."""
-    parts = F.transform(F.split(value, ";"), F.trim)
+    parts = F.transform(F.split(value, ";"), lambda x: F.trim(x))
     own = F.filter(F.slice(parts, 2, 1000), lambda x: x != "")
     entry = lambda x: F.struct(F.lower(F.trim(F.split_part(x, F.lit("="), F.lit(1)))).alias("key"), F.when(F.instr(x, "=") > 0, F.trim(F.regexp_extract(x, "^[^=]*=(.*)$", 1))).alias("value"))
     pairs = F.transform(own, entry)

@@ -60,7 +60,7 @@ def _cookies(url: Column, headers: Column) -> Column:
     secure = secure_context(url)
 
     def one(value: Column, i: Column) -> Column:
-        parts = F.transform(F.split(value, ";"), F.trim)
+        parts = F.transform(F.split(value, ";"), lambda x: F.trim(x))
         raw = F.trim(F.split_part(F.element_at(parts, 1), F.lit("="), F.lit(1)))
         attributes = F.transform(F.slice(parts, 2, 100), lambda p: F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))))
         pairs = F.transform(F.slice(parts, 2, 100), lambda p: F.concat_ws("=", F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))), F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(2))))))
@@ -120,7 +120,7 @@ def extended(url: Column, status: Column, headers: Column, body: Column) -> Colu
     said = lambda n: F.lower(F.coalesce(h(n), F.lit("")))
     csp, kind, acao = said("content-security-policy"), said("content-type"), F.coalesce(h("access-control-allow-origin"), F.lit(""))
     is_html = F.contains(kind, F.lit("text/html"))
-    methods = F.transform(F.split(F.upper(F.coalesce(h("allow"), F.lit(""))), ","), F.trim)
+    methods = F.transform(F.split(F.upper(F.coalesce(h("allow"), F.lit(""))), ","), lambda x: F.trim(x))
     return F.array_compact(
         F.array(
             finding(F.contains(csp, F.lit("'unsafe-inline'")), "csp-unsafe-inline", "MEDIUM", "HIGH", "unsafe-inline"), finding(F.contains(csp, F.lit("'unsafe-eval'")), "csp-unsafe-eval", "MEDIUM", "HIGH", "unsafe-eval"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import finding_plans, url_plans
+from . import finding_plans, rule_plans, url_plans
 
-QUERIES = {**finding_plans.Q, **url_plans.Q}
-ORACLE_SQL = {**finding_plans.SQL, **url_plans.SQL}
+QUERIES = {**finding_plans.Q, **url_plans.Q, **rule_plans.Q}
+ORACLE_SQL = {**finding_plans.SQL, **url_plans.SQL, **rule_plans.SQL}
