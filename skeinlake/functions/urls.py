@@ -49,14 +49,6 @@ def port(url: Column) -> Column:
     return F.regexp_extract(host_port(url), r":([0-9]+)$", 1)
 
 
-def _authority_without_default(url: Column, of_host: Column) -> Column:
-    shown = F.when(F.instr(of_host, ":") > 0, F.concat(F.lit("["), of_host, F.lit("]"))).otherwise(of_host)
-    is_default = F.lit(False)
-    for name, number in DEFAULT_PORTS.items():
-        is_default = is_default | ((scheme(url) == name) & (port(url) == number))
-    return F.when((port(url) == "") | is_default, shown).otherwise(F.concat_ws(":", shown, port(url)))
-
-
 def _or_slash(p: Column) -> Column:
     return F.when(p == "", F.lit("/")).otherwise(p)
 
@@ -65,11 +57,29 @@ def _with_query(base: Column, q: Column) -> Column:
     return F.when(q == "", base).otherwise(F.concat_ws("?", base, q))
 
 
+def bound(url: Column, make) -> Column:
+    """make() of a URL that has been cut once: its parts are fields of one struct, and not patterns that are matched anew at each mention."""
+    parts = F.struct(url.alias("url"), scheme(url).alias("scheme"), authority(url).alias("authority"), path(url).alias("path"), query(url).alias("query"), host(url).alias("host"), port(url).alias("port"))
+    return F.element_at(F.transform(F.array(parts), make), 1)
+
+
+def _place(x: Column, of_host: Column) -> Column:
+    shown = F.when(F.instr(of_host, ":") > 0, F.concat(F.lit("["), of_host, F.lit("]"))).otherwise(of_host)
+    is_default = F.lit(False)
+    for name, number in DEFAULT_PORTS.items():
+        is_default = is_default | ((x["scheme"] == name) & (x["port"] == number))
+    return F.when((x["port"] == "") | is_default, shown).otherwise(F.concat_ws(":", shown, x["port"]))
+
+
 def normalize(url: Column) -> Column:
     """Frontier form: scheme and host lower, no default port, no fragment, / for an empty path; the query stays as it is. What has userinfo or no host stays whole."""
-    h = F.regexp_replace(host(url), r"\.+$", "")
-    whole = F.concat(scheme(url), F.lit("://"), _authority_without_default(url, h), _or_slash(path(url)))
-    return F.when((scheme(url) == "") | (h == "") | has_userinfo(url), url).otherwise(_with_query(whole, query(url)))
+
+    def make(x: Column) -> Column:
+        h = F.regexp_replace(x["host"], r"\.+$", "")
+        whole = F.concat(x["scheme"], F.lit("://"), _place(x, h), _or_slash(x["path"]))
+        return F.when((x["scheme"] == "") | (h == "") | (F.instr(x["authority"], "@") > 0), x["url"]).otherwise(_with_query(whole, x["query"]))
+
+    return bound(url, make)
 
 
 def normalize_legacy(url: Column) -> Column:
@@ -85,21 +95,28 @@ def normalize_target(raw: Column) -> Column:
     hint = F.lower(F.split_part(text, F.lit("://"), F.lit(1)))
     named = F.instr(text, "://") > 0
     full = F.when(named, text).otherwise(F.concat(F.lit("https://"), text))
-    bare = F.regexp_replace(path(full), ";[^/]*$", "")
-    p = _or_slash(F.regexp_replace(bare, "/+$", ""))
-    origin = F.concat(scheme(full), F.lit("://"), _authority_without_default(full, host(full)))
-    out = F.when((p == "/") & (query(full) == ""), origin).otherwise(_with_query(F.concat(origin, p), query(full)))
-    return F.when((text == "") | (named & ~hint.isin("http", "https")) | (host(full) == ""), F.lit("")).otherwise(out)
+
+    def make(x: Column) -> Column:
+        p = _or_slash(F.regexp_replace(F.regexp_replace(x["path"], ";[^/]*$", ""), "/+$", ""))
+        origin = F.concat(x["scheme"], F.lit("://"), _place(x, x["host"]))
+        out = F.when((p == "/") & (x["query"] == ""), origin).otherwise(_with_query(F.concat(origin, p), x["query"]))
+        return F.when(x["host"] == "", F.lit("")).otherwise(out)
+
+    return F.when((text == "") | (named & ~hint.isin("http", "https")), F.lit("")).otherwise(bound(full, make))
 
 
 def sanitize(url: Column) -> Column:
     """For evidence: scheme and host lower, any port kept, no userinfo and fragment, every query value redacted; empty without scheme or host."""
-    shown = F.when(F.instr(host(url), ":") > 0, F.concat(F.lit("["), host(url), F.lit("]"))).otherwise(host(url))
-    place = F.when(port(url) == "", shown).otherwise(F.concat_ws(":", shown, port(url)))
-    pairs = F.filter(F.split(query(url), "&"), lambda x: x != "")
-    keys = F.transform(pairs, lambda x: F.concat(F.url_encode(F.url_decode(F.split_part(x, F.lit("="), F.lit(1)))), F.lit("=%5Bredacted%5D")))
-    whole = F.concat(scheme(url), F.lit("://"), place, _or_slash(path(url)))
-    return F.when((scheme(url) == "") | (host(url) == ""), F.lit("")).otherwise(_with_query(whole, F.array_join(keys, "&")))
+
+    def make(x: Column) -> Column:
+        shown = F.when(F.instr(x["host"], ":") > 0, F.concat(F.lit("["), x["host"], F.lit("]"))).otherwise(x["host"])
+        place = F.when(x["port"] == "", shown).otherwise(F.concat_ws(":", shown, x["port"]))
+        pairs = F.filter(F.split(x["query"], "&"), lambda p: p != "")
+        keys = F.transform(pairs, lambda p: F.concat(F.url_encode(F.url_decode(F.split_part(p, F.lit("="), F.lit(1)))), F.lit("=%5Bredacted%5D")))
+        whole = F.concat(x["scheme"], F.lit("://"), place, _or_slash(x["path"]))
+        return F.when((x["scheme"] == "") | (x["host"] == ""), F.lit("")).otherwise(_with_query(whole, F.array_join(keys, "&")))
+
+    return bound(url, make)
 
 
 #: Fixed value: query keys whose values are never shown.
@@ -108,12 +125,17 @@ SENSITIVE_KEY = r"(?i)(?:^|[_-])(?:api[_-]?key|access[_-]?token|auth|authorizati
 
 def in_scope(url: Column, domain: str) -> Column:
     """The URL in canonical form, sensitive values redacted, if it is a web URL on domain or below it; else null."""
-    h = F.regexp_replace(host(url), r"\.+$", "")
-    pairs = F.filter(F.split(query(url), "&"), lambda x: x != "")
-    shown = F.transform(pairs, lambda x: F.when(F.split_part(x, F.lit("="), F.lit(1)).rlike(SENSITIVE_KEY), F.concat(F.split_part(x, F.lit("="), F.lit(1)), F.lit("=%5BREDACTED%5D"))).when(F.instr(x, "=") > 0, x).otherwise(F.concat(x, F.lit("="))))
-    whole = F.concat(scheme(url), F.lit("://"), _authority_without_default(url, h), _or_slash(path(url)))
-    ok = scheme(url).isin("http", "https") & ~has_userinfo(url) & (F.length(url) <= 4096) & ~url.rlike(r"[\x00-\x1f]") & ((h == domain) | h.endswith("." + domain))
-    return F.when(ok, _with_query(whole, F.array_join(shown, "&")))
+
+    def make(x: Column) -> Column:
+        h = F.regexp_replace(x["host"], r"\.+$", "")
+        pairs = F.filter(F.split(x["query"], "&"), lambda p: p != "")
+        key = lambda p: F.split_part(p, F.lit("="), F.lit(1))
+        shown = F.transform(pairs, lambda p: F.when(key(p).rlike(SENSITIVE_KEY), F.concat(key(p), F.lit("=%5BREDACTED%5D"))).when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("="))))
+        whole = F.concat(x["scheme"], F.lit("://"), _place(x, h), _or_slash(x["path"]))
+        ok = x["scheme"].isin("http", "https") & (F.instr(x["authority"], "@") == 0) & ((h == domain) | h.endswith("." + domain))
+        return F.when(ok, _with_query(whole, F.array_join(shown, "&")))
+
+    return F.when((F.length(url) <= 4096) & ~url.rlike(r"[\x00-\x1f]"), bound(url, make))
 
 
 def query_params(url: Column, limit: int = 24) -> Column:
@@ -130,9 +152,13 @@ def endpoint(url: Column) -> Column:
 
 def event_target(url: Column) -> Column:
     """Scheme, host and non-default port of a web URL without userinfo."""
-    h = F.regexp_replace(host(url), r"\.+$", "")
-    ok = scheme(url).isin("http", "https") & (h != "") & ~has_userinfo(url)
-    return F.when(ok, F.concat(scheme(url), F.lit("://"), _authority_without_default(url, h))).otherwise(F.lit("[target omitted]"))
+
+    def make(x: Column) -> Column:
+        h = F.regexp_replace(x["host"], r"\.+$", "")
+        ok = x["scheme"].isin("http", "https") & (h != "") & (F.instr(x["authority"], "@") == 0)
+        return F.when(ok, F.concat(x["scheme"], F.lit("://"), _place(x, h))).otherwise(F.lit("[target omitted]"))
+
+    return bound(url, make)
 
 
 def is_valid_host(h: Column) -> Column:

@@ -177,7 +177,10 @@ def win_05_content_duplicates(spark, d):
 @query()
 def win_06_simhash_pairs(spark, d):
     """Near pairs of 64-bit SimHashes; tests hold it against all pairs."""
-    return dedupe.near_pairs(dedupe.simhash_native(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "simhash")
+    from ..functions.web import with_simhash
+
+    hashed = with_simhash(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "simhash")
+    return dedupe.near_pairs(hashed, "doc_id", "simhash")
 
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS started FROM orders ORDER BY o_orderkey DESC LIMIT 200")
