@@ -1,0 +1,50 @@
+"""Secret-like values in scripts and pages: kind, place and length, never the value."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Kind, pattern, whether the kind is generic, so that its value must look random.
+PATTERNS = (
+    ("AWS Access Key", r"AKIA[0-9A-Z]{16}", False), ("Google API Key", r"AIza[0-9A-Za-z\-_]{35}", False), ("GitHub Token", r"ghp_[0-9a-zA-Z]{36}|github_pat_[0-9a-zA-Z_]{82}", False), ("JWT Token", r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", False),
+    ("Slack Token", r"xox[baprs]-[0-9A-Za-z\-]{10,48}", False), ("Firebase URL", r"https://[a-z0-9\-]+\.firebaseio\.com", False), ("Stripe Live Key", r"sk_live_[0-9a-zA-Z]{24}", False), ("Stripe Publishable", r"pk_live_[0-9a-zA-Z]{24}", False),
+    ("SendGrid Key", r"SG\.[a-zA-Z0-9\-_]{22}\.[a-zA-Z0-9\-_]{43}", False), ("Mailgun Key", r"key-[0-9a-zA-Z]{32}", False), ("API Key generica", r"(?i)(?:api[_\-]?key|apikey|api[_\-]?secret)['\"\s:=]+['\"]([A-Za-z0-9_\-]{20,50})['\"]", True),
+    ("Password hardcoded", r"(?i)(?:password|passwd|pwd)['\"\s:=]+['\"]([^'\"]{8,50})['\"]", True), ("Internal URL", r"https?://(?:staging|dev|internal|test|qa|uat|preprod)\.[a-z0-9\.\-]+", False), ("Bearer Token", r"(?i)bearer\s+[A-Za-z0-9\-_\.]{20,}", False),
+    ("RSA Private Key", r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----", False), ("DB Connection", r"(?i)(?:mongodb|mysql|postgresql|redis|mssql)://[^\s\"'<>]+", False), ("Mapbox Token", r"pk\.eyJ1[A-Za-z0-9\._\-]+", False), ("NPM Token", r"npm_[A-Za-z0-9]{36}", False),
+    ("OpenAI Key", r"sk-[A-Za-z0-9]{48}", False), ("GCP Service Account", r"\"type\"\s*:\s*\"service_account\"", False),
+)
+LEAST_ENTROPY = 3.0
+
+
+def entropy(value: Column) -> Column:
+    """Bits for each character."""
+    chars = F.split(value, "")
+    n = F.length(value).cast("double")
+    return -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
+
+
+def scan(rows: DataFrame, key: str, text: str, each: int = 5) -> DataFrame:
+    """(key, kind, place, length, digest) of the first each matches of every kind; equal values of a kind count once, at their first row. The text is scanned in one projection."""
+    from .predicates import is_placeholder
+
+    every = []
+    for kind, pattern, generic in PATTERNS:
+        found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if generic else 0)), 1, each)
+        if generic:
+            found = F.filter(found, lambda v: ~is_placeholder(v) & (entropy(v) >= LEAST_ENTROPY))
+        every.append(F.transform(found, _tagged(kind)))
+    hits = rows.select(F.col(key), F.posexplode(F.concat(*every)).alias("place", "h")).select(key, "place", "h.*")
+    first = hits.groupBy("kind", "digest").agg(F.min(F.struct(F.col(key), "place", "length")).alias("f"))
+    return first.select(F.col(f"f.{key}").alias(key), "kind", F.col("f.place").alias("place"), F.col("f.length").alias("length"), "digest")
+
+
+def _tagged(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), F.length(v).alias("length"), F.sha2(v, 256).alias("digest"))
+
+
+def jwt_algorithm(token: Column) -> Column:
+    """The alg that a token's header names; null if it has none."""
+    head = F.split_part(token, F.lit("."), F.lit(1))
+    padded = F.rpad(F.translate(head, "-_", "+/"), (F.ceil(F.length(head) / 4) * 4).cast("int"), F.lit("="))
+    return F.get_json_object(F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")), "$.alg")

@@ -242,3 +242,44 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda rows: sorted((r["window"]["start"], r["event_type"], r["n"], round(r["total"], 6)) for r in rows)
     assert key(spark.sql("select * from w").collect()) == key(windowed(events, "ts", "6 hours", "event_type", "value").collect())
+
+
+def test_api_descriptions(spark):
+    from skeinlake.operators import api
+
+    doc = json.dumps({"openapi": "3.0.0", "security": [{"k": []}], "paths": {"/users/{id}": {"get": {"operationId": "one", "security": [], "parameters": [{"name": "user_id", "in": "path"}]}, "delete": {}, "x-other": {}}, "/open": {"post": {}}}})
+    df = spark.createDataFrame([("http://a/openapi.json", doc), ("https://b", "{}"), ("https://c", "no json")], "url string, body string")
+    assert {(r["path"], r["method"], r["operation_id"]) for r in api.operations(df).collect()} == {("/users/{id}", "GET", "one"), ("/users/{id}", "DELETE", None), ("/open", "POST", None)}
+    got = {(r["path"], r["method"], r["id"]) for r in api.review(df).collect()}
+    assert ("/users/{id}", "GET", "openapi-operation-security-empty") in got and ("/users/{id}", "GET", "api-object-reference-review") in got and ("/users/{id}", "DELETE", "api-state-change-auth-review") not in got
+    assert values(spark, api.graphql_review(F.lit("https://x/graphql"), F.col("x")), ['{"__schema":1}', 'errors: [stack', "{}"]) == [["graphql-introspection"], ["graphql-error-detail"], []]
+    assert values(spark, api.api_urls(F.col("x")), ["a 'https://h/x' \"/api/v1\" '/other' wss://s/y"]) == [["https://h/x", "wss://s/y", "/api/v1"]]
+
+
+def test_secrets_never_show_values(spark):
+    from skeinlake.functions import secrets
+
+    key = "AKIA" + "ABCDEFGH12345678"
+    rows = [(2, f"x {key} y"), (1, f"{key} password = 'changeme123' api_key: 'aB3dE5fG7hI9jK1lM3nO5'"), (3, "nothing")]
+    got = secrets.scan(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert {(r["id"], r["kind"], r["length"]) for r in got} == {(1, "AWS Access Key", 20), (1, "API Key generica", 21)}
+    assert key not in str(got)
+    assert values(spark, secrets.jwt_algorithm(F.col("x")), ["eyJhbGciOiJub25lIn0.e30.", "junk"]) == ["none", None]
+
+
+def test_evidence_and_small_functions(spark):
+    from skeinlake.functions import evidence as ev
+
+    df = spark.createDataFrame([("https://a/", 200, "héllo", 404, "hello"), ("https://a/", 200, "x", None, None)], "url string, status int, body string, s0 int, b0 string")
+    a, b = (r["e"] for r in df.select(ev.evidence("get", F.col("url"), F.col("status"), F.col("body"), F.col("s0"), F.col("b0")).alias("e")).collect())
+    assert a["response"]["body_length"] == 6 and a["delta"]["body_length_delta"] == 1 and a["delta"]["status_changed"] and not b["delta"]["compared"] and b["baseline"]["status"] == 200
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    assert values(spark, ev.retry_after(F.col("x"), now), ["120", "-5", "Mon, 01 Jan 2024 00:01:00 GMT", "soon"]) == [120.0, 0.0, 60.0, None]
+    stored = ev.storage_rows(spark.createDataFrame([("n", "e" * 900)], "name string, evidence string"), F.lit(7)).first()
+    assert stored["scan_id"] == 7 and len(stored["evidence"]) == 500 and stored["severity"] == "INFO" and stored["cve"] == "" and len(stored) == 21
+    done = ev.normalise(spark.createDataFrame([("csp-missing", "https://u@A/?q=1")], "id string, url string")).first()
+    assert done["id"] == "headers.csp" and done["stage"] == "CONFIRMED" and done["confidence_score"] == 90 and done["url"] == "https://a/?q=%5Bredacted%5D"
+    forms = web.with_bundle(spark.createDataFrame([("https://e/", "<form method=post><input name=q></form><form method=post><input name=authenticity_token></form><form><input name=z></form>")], "url string, html string"))
+    assert forms.select(F.size(ev.unprotected_forms(F.col("bundle.forms"), F.lit(False))).alias("n")).first()["n"] == 1
+    line = values(spark, ev.log_line(F.lit("integration.status"), F.lit("2024-01-01T00:00:00Z"), F.lit("t"), F.col("x")), ['{"provider":"p\\u0007q","status":"ok"}'])
+    assert line == ["2024-01-01 00:00:00 | API p q: ok"]
