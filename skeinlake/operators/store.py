@@ -24,3 +24,65 @@ def cache_view(rows: DataFrame, keys: Sequence[str], order: Column, expires: Col
     """The latest row of each key, unless it has expired."""
     own = F.struct(*rows.columns, expires.alias("_e"))
     return rows.groupBy(*keys).agg(F.max_by(own, order).alias("_r")).select("_r.*").where(F.col("_e") >= now).drop("_e")
+
+
+class Store:
+    """Tables of scans, findings, endpoints, history and caches below one folder, with one writer at a time.
+
+    A table is a series of versions; a new one is written whole to its own folder and counts once Spark's committer has marked it done,
+    so a reader sees the old or the new version and a lost job leaves the old one.
+    """
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _versions(self, name: str) -> list[str]:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(p.getName() for p in done)
+
+    def read(self, name: str) -> DataFrame | None:
+        versions = self._versions(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/{versions[-1]}") if versions else None
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        versions = self._versions(name)
+        after = f"v{(int(versions[-1][1:]) if versions else 0) + 1:08d}"
+        rows.write.parquet(f"{self.root}/{name}/{after}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{after}")
+
+    def add_scan(self, scan: dict, findings: DataFrame, keys: Sequence[str] = ("target", "id", "url", "parameter")) -> int:
+        """Stores a scan and its findings (first of equal fingerprints), brings the history up to date, and gives the scan's id."""
+        from ..functions.findings import fingerprint
+        from .dedupe import first_wins, history
+
+        old = self.read("scans")
+        scan_id = 1 + (old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] if old is not None else 0)
+        row = self.spark.createDataFrame([(scan_id, scan.get("target", ""), scan.get("started", ""))], "id long, target string, started string")
+        fp = fingerprint(*[F.col(k) if k in findings.columns else F.lit("") for k in keys])
+        own = findings.withColumn("fp", fp).withColumn("scan_id", F.lit(scan_id).cast("long"))
+        before = self.read("findings")
+        kept = first_wins(own, [F.col("fp")], "ordinal")
+        self.write("history", history(self.read("history"), own))
+        self.write("findings", kept if before is None else before.unionByName(kept, allowMissingColumns=True))
+        self.write("scans", row if old is None else old.unionByName(row, allowMissingColumns=True))
+        return scan_id
+
+    def recent_scans(self, limit: int = 20) -> DataFrame:
+        return self.read("scans").orderBy(F.desc("id")).limit(max(1, min(200, limit)))
+
+    def top_history(self, limit: int = 100) -> DataFrame:
+        return self.read("history").orderBy(F.desc("last_seen"), "fp").limit(max(1, min(500, limit)))
+
+    def problems(self) -> dict[str, int]:
+        """Counts that are 0 in a sound store: findings without a scan, repeated fingerprints in a scan, histories that end before they begin."""
+        f, s, h = self.read("findings"), self.read("scans"), self.read("history")
+        return {
+            "orphans": f.join(s.select(F.col("id").alias("scan_id")), "scan_id", "left_anti").count(),
+            "repeated": f.groupBy("scan_id", "fp").count().where("count > 1").count(),
+            "backwards": h.where("first_seen > last_seen").count(),
+        }

@@ -283,3 +283,46 @@ def test_evidence_and_small_functions(spark):
     assert forms.select(F.size(ev.unprotected_forms(F.col("bundle.forms"), F.lit(False))).alias("n")).first()["n"] == 1
     line = values(spark, ev.log_line(F.lit("integration.status"), F.lit("2024-01-01T00:00:00Z"), F.lit("t"), F.col("x")), ['{"provider":"p\\u0007q","status":"ok"}'])
     assert line == ["2024-01-01 00:00:00 | API p q: ok"]
+
+
+def test_store(spark, tmp_path):
+    from skeinlake.operators.store import Store
+
+    store = Store(spark, str(tmp_path / "db"))
+    f = spark.createDataFrame([(1, "t", "a", "HIGH", "2024-01-01"), (2, "t", "a", "LOW", "2024-01-02"), (3, "t", "b", "LOW", "2024-01-01")], "ordinal long, target string, id string, severity string, seen_at string")
+    assert store.add_scan({"target": "t"}, f) == 1
+    assert store.add_scan({"target": "t"}, f.where("id = 'a'").withColumn("seen_at", F.lit("2024-02-01"))) == 2
+    h = {r["occurrences"]: (r["first_seen"], r["last_seen"], r["severity"]) for r in store.top_history().collect()}
+    assert h == {4: ("2024-01-01", "2024-02-01", "LOW"), 1: ("2024-01-01", "2024-01-01", "LOW")}
+    assert store.read("findings").count() == 3 and [r["id"] for r in store.recent_scans().collect()] == [2, 1]
+    assert set(store.problems().values()) == {0}
+
+
+def test_event_streams(spark, tmp_path):
+    from skeinlake.streaming import events
+
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "1.jsonl").write_text('{"schema_version":"1.0","event":"scan.summary","target":"t","data":{"a":1}}\nnot json\n')
+    (tmp_path / "log" / "2.jsonl").write_text('{"event":"surface.hint","data":{}}\n')
+    q = events.records(events.tail(spark, str(tmp_path / "log"), 1)).writeStream.format("memory").queryName("ev").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["event"], r["data"]) for r in spark.sql("select * from ev").collect()}
+    assert got == {("scan.summary", '{"a":1}'), ("surface.hint", "{}")}
+
+
+def test_template_files_and_options(tmp_path):
+    pytest.importorskip("yaml")
+    from skeinlake.sources import templates
+
+    (tmp_path / "a.yaml").write_text("id: one-rule\nmatchers:\n  - type: word\n    values: [x]\n")
+    (tmp_path / "b.yml").write_text("id: one-rule\nmatchers:\n  - type: word\n    values: [x]\n")
+    (tmp_path / "c.yaml").write_text("id: two-rule\nid: three\n")
+    (tmp_path / "d.yaml").write_text("[]")
+    found, errors = templates.load(str(tmp_path))
+    assert [t["id"] for t in found] == ["one-rule"] and [e[0] for e in errors] == ["b.yml", "c.yaml", "d.yaml"]
+    (tmp_path / "o.json").write_text('{"max_depth": 5}')
+    assert templates.Options.load(str(tmp_path / "o.json"), {"SKEINLAKE_MAX_ITEMS": "7"}) == templates.Options(max_depth=5, max_items=7)
+    with pytest.raises(ValueError):
+        templates.Options.load(None, {"SKEINLAKE_MAX_DEPTH": "99"})
+    assert templates.plugins() == {}
