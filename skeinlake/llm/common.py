@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shield(docs: DataFrame, own: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but own under names that no operator uses, and what gives them their names and places back."""
+    names = docs.columns
+    inner = {c: c if c in own else f"_kept{i}" for i, c in enumerate(names)}
+    return docs.select(*[docs[c].alias(inner[c]) for c in names]), lambda out: out.select(*[F.col(inner[c]).alias(c) for c in names])
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only behind a check of the size; beyond it Spark shuffles both sides and splits hot keys."""
     n = df.count() if rows is None else rows

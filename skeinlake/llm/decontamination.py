@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .common import shield
 from pyspark.sql import types as T
 
 #: Characters of benchmark text that one pass over the documents looks for; a larger benchmark takes several passes.
@@ -218,4 +219,5 @@ def flag(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all of their columns, that hold no benchmark item. See with_hits()."""
-    return with_hits(docs, benchmark, threshold).where(F.size("_hits") == 0).drop("_hits")
+    own, restore = shield(docs, ("text",))
+    return restore(with_hits(own, benchmark, threshold).where(F.size("_hits") == 0))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, materialize, shield
 from .components import connected_components
 
 #: Words that a worker remembers with their hashes; the memory is emptied when it is full.
@@ -372,8 +372,9 @@ def keep_first(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
     found = materialize(join(docs, n, similarity), "joined")
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     rows = gone.count()
-    kept = docs.join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    own, restore = shield(docs, ("doc_id",))
+    kept = own.join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     counts = found.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if counts["n"] > counts["d"]:
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    return restore(kept)

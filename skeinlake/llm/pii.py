@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, materialize, shield
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Code points on both sides of an entity whose words count as its context.
@@ -161,7 +161,8 @@ def sanitize(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
 
     Of spans that overlap the first replaces what it covers, later ones what is left of theirs. Null text stays null; n_chars, where docs has it, is counted anew.
     """
-    found = find(docs, text, **limits)
+    own, restore = shield(docs, ("doc_id", text, "n_chars"))
+    found = find(own, text, **limits)
     body = F.col(text)
 
     def step(a: Column, s: Column) -> Column:
@@ -175,4 +176,4 @@ def sanitize(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     out = found.withColumn("_clean", F.when(F.size("spans") > 0, clean).otherwise(body))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn(text, F.col("_clean")).select(*docs.columns)
+    return restore(out.withColumn(text, F.col("_clean")))

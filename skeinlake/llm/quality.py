@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, shield
 
 #: Labelled documents that the document classifier is fitted on, at most; which ones follows a hash of doc_id.
 FIT_ROWS = 20_000
@@ -164,4 +164,5 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all of their columns, that score() keeps."""
-    return _with_scores(docs, labels, host, path, text, True).where(F.col("_q_score") >= threshold).select(*docs.columns)
+    own, restore = shield(docs, ("doc_id", host, path, text))
+    return restore(_with_scores(own, labels, host, path, text, True).where(F.col("_q_score") >= threshold))

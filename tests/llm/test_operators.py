@@ -357,6 +357,22 @@ def test_blocks_spread_over_links_unless_allowed(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: ("net/es/", "block"), 4: (None, "allow"), 5: ("net/fr/", "block"), 6: (None, "allow"), 7: (None, "block"), 8: (None, "allow")}
 
 
+def test_stages_leave_columns_of_clashing_names_alone(spark):
+    from skeinlake.llm import ngram_join
+
+    r = random.Random(1)
+    clash = ["spans", "removed", "_hits", "_q_llr", "_q_words", "_gone", "set_id", "item_id", "_terms", "quality", "host", "at", "_kept0"]
+    schema = "doc_id long, " + ", ".join(f"{c} string" for c in clash) + ", text string, lang string, source string"
+    docs = spark.createDataFrame([(i, *(f"{c}{i}" for c in clash), prose(r) + " a@b.example", "en", "s") for i in range(30)], schema)
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)], LABELS)
+    bench = spark.createDataFrame([(1, prose(r, 20))], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels, threshold=0.0), ngram_join.keep_first(docs), decontamination.drop_contaminated(docs, bench), pii.sanitize(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) == 30 and all(x[c] == f"{c}{x['doc_id']}" for x in rows for c in clash)
+    assert "[EMAIL]" in rows[0]["text"]
+
+
 def test_materialize_reads_back(spark):
     df = materialize(spark.range(5), "t")
     assert df.count() == 5
