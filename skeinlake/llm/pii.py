@@ -91,7 +91,7 @@ _NO_TERM = r"[^\p{L}\p{M}'-]+"
 
 
 def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> tuple[DataFrame, DataFrame] | None:
-    """(terms: term, bits, share), (hits: doc_id, term) of the terms that give a protected entity away, or None if there is no candidate.
+    """(terms: term, bits, share), (hits: doc_id, term) of the terms that give a protected entity away, or None if there are none.
 
     A term's documents, and those where it stands within window of an entity, are counted over the whole corpus; contexts that copies repeat count once. By these counts p(entity | term) is the share,
     and log2 p(entity | term) / p(entity) the bits that the term reveals. Terms are words of three letters and more; what holds digits or @ is none.
@@ -106,17 +106,19 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPO
     words = near.select("doc_id", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.split("context", _NO_TERM))).alias("term")).where(F.length("term") >= 3)
     pairs = words.groupBy("term", "entity").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("doc_id").alias("both")).where(F.col("contexts") >= support)
     pairs = materialize(pairs, "pairs")
-    candidates = pairs.select("term").distinct()
-    n = candidates.count()
-    if not n:
+    if pairs.isEmpty():
         return None
+    # terms are counted before they meet the candidates: near entities stand common words, too, and their rows would all pass the join
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _NO_TERM))).alias("term"))
-    hits = materialize(tokens.join(F.broadcast(candidates) if n <= BROADCAST_ROWS else candidates, "term"), "hits")
-    df = hits.groupBy("term").agg(F.count_distinct("doc_id").alias("t_docs"))
+    df = tokens.groupBy("term").agg(F.count("*").alias("t_docs"))
     total = docs.count()
-    p = F.col("both") / F.col("t_docs")
+    p = F.least(F.lit(1.0), F.col("both") / F.col("t_docs"))
     told = pairs.join(df, "term").join(entities, "entity").select("term", p.alias("share"), F.log2(p * total / F.col("e_docs")).alias("bits")).where((F.col("share") >= share) & (F.col("bits") >= bits))
     terms = materialize(told.groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share")), "terms")
+    n = terms.count()
+    if not n:
+        return None
+    hits = materialize(tokens.join(F.broadcast(terms.select("term")) if n <= BROADCAST_ROWS else terms.select("term"), "term"), "hits")
     return terms, hits
 
 
