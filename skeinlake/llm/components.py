@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+#: Tasks that the neighbours of one node are dealt to.
+SALTS = 16
+
+
+def _with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs (a, b) with m of least (a, m): the pairs of a hub go to SALTS tasks, each of which gets the hub's least node."""
+    salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "s"]).drop("s")
+
+
 def _pull(pairs: DataFrame) -> DataFrame:
     """For each node a of (a, b): the least of a and its b."""
     return pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -18,7 +28,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Each round hangs all larger neighbours of a node on its least neighbour (large star), then
     all smaller ones (small star), until nothing moves. Minima are taken with map-side partial
-    aggregation, and the join that hands them out may split a hub's rows (AQE skew join). Every
+    aggregation, and the join that hands them out deals a hub's rows to several tasks. Every
     round is written to the shared folder, so that lineage stays short. Nulls and loops are left
     out; no edge gives an empty result.
     """
@@ -28,11 +38,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_pull(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both, _pull(both)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # every row of large has b < a, as the small star needs
         low = _pull(large)
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
+        small = _with_least(large, low).select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
         after = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
         mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         discard(now)
