@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, the rare ones on their own and the common ones behind an exact bound, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,7 @@ class Items:
     codes: np.ndarray  # sorted; one for each seed occurrence
     owner: np.ndarray
     place: np.ndarray
+    rare: np.ndarray  # whether the seed is rare for its item, see marked()
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str]) -> Items:
@@ -75,23 +76,26 @@ class Items:
         owner = np.repeat(np.arange(len(held)), [len(c) for c in each]) if each else np.empty(0, np.int64)
         place = np.concatenate([np.arange(len(c)) for c in each]) if each else np.empty(0, np.int64)
         order = np.argsort(codes, kind="stable")
-        return cls(kept, held, vocabulary, codes[order], owner[order], place[order])
+        return cls(kept, held, vocabulary, codes[order], owner[order], place[order], np.ones(len(codes), bool))
 
     def numbers(self, text: str) -> np.ndarray:
         own = words(text)
         return np.fromiter(map(self.vocabulary.get, own, repeat(0)), np.uint64, len(own))
 
-    def keep(self, frequency: dict[int, int]) -> Items:
-        """Without the seeds that are common for their item: more than twice as frequent in the corpus as the median seed of the item.
+    def marked(self, frequency: dict[int, int]) -> Items:
+        """With rare set for the seeds at most twice as frequent in the corpus as the median seed of the item that occurs at all.
 
-        The measure is the item's own, so that an item that has leaked everywhere keeps its seeds.
+        The measure is the item's own, so that an item that has leaked everywhere has rare seeds. No seed goes: at the common ones, find() asks
+        for enough words of the item before it aligns.
         """
-        df = np.array([frequency.get(int(c), 0) for c in self.codes.view(np.int64)])
-        rare = np.zeros(len(df), bool)
-        for i in range(len(self.ids)):
-            own = self.owner == i
-            rare |= own & (df <= 2 * max(1.0, float(np.median(df[own]))))
-        return Items(self.ids, self.texts, self.vocabulary, self.codes[rare], self.owner[rare], self.place[rare])
+        df = np.array([frequency.get(int(c), 0) for c in self.codes.view(np.int64)], np.int64)
+        limit = np.zeros(len(self.ids))
+        seen = df > 0
+        order = np.argsort(self.owner[seen], kind="stable")
+        own, first = np.unique(self.owner[seen][order], return_index=True)
+        for i, part in zip(own, np.split(df[seen][order], first[1:]), strict=False):
+            limit[i] = 2 * float(np.median(part))
+        return Items(self.ids, self.texts, self.vocabulary, self.codes, self.owner, self.place, df <= limit[self.owner])
 
 
 def seed_codes(numbers: np.ndarray) -> np.ndarray:
@@ -119,6 +123,11 @@ def _seeds_in(items: Items, text: str, distinct: np.ndarray) -> tuple[np.ndarray
     return numbers, at
 
 
+def _enough(there: np.ndarray, threshold: float) -> bool:
+    """Whether an item's words that are there could make an alignment that counts: each adds MATCH at most, so no such alignment is lost."""
+    return np.count_nonzero(there) >= threshold * len(there)
+
+
 def find(items: Items, text: str, distinct: np.ndarray, threshold: float = THRESHOLD) -> list[dict]:
     """The items that a text holds copies of, with the best alignment's score and its place in code points."""
     if not len(distinct):
@@ -126,28 +135,31 @@ def find(items: Items, text: str, distinct: np.ndarray, threshold: float = THRES
     numbers, at = _seeds_in(items, text, distinct)
     if not len(at):
         return []
-    codes = seed_codes(numbers)
-    near: dict[int, list[int]] = {}
-    for p in at:
-        lo, hi = np.searchsorted(items.codes, codes[p], "left"), np.searchsorted(items.codes, codes[p], "right")
-        for k in range(lo, hi):
-            near.setdefault(int(items.owner[k]), []).append(int(p) - int(items.place[k]))
+    codes = seed_codes(numbers)[at]
+    lo, sizes = np.searchsorted(items.codes, codes, "left"), np.searchsorted(items.codes, codes, "right")
+    sizes -= lo
+    k = np.arange(sizes.sum()) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
+    owner, begins, rare = items.owner[k], np.repeat(at, sizes) - items.place[k], items.rare[k]
+    order = np.lexsort((begins, owner))
+    owner, begins, rare = owner[order], begins[order], rare[order]
+    own, first = np.unique(owner, return_index=True)
+    present = np.zeros(len(items.vocabulary) + 1, bool)
+    present[numbers] = True
     out, spans = [], None
-    for i, begins in near.items():
+    for i, f, t in zip(own.tolist(), first, [*first[1:], len(owner)], strict=True):
         item = items.texts[i]
         m = len(item)
-        begins.sort()
+        if not rare[f:t].any() and not _enough(present[item], threshold):
+            continue
         best = (0, 0, 0)
-        group = [begins[0]]
-        for b in [*begins[1:], None]:
-            if b is not None and b - group[-1] <= m:
-                group.append(b)
+        edges = [f, *(np.flatnonzero(np.diff(begins[f:t]) > m) + f + 1), t]
+        for x, y in pairwise(edges):
+            lo, hi = max(0, int(begins[x]) - m // 2), min(len(numbers), int(begins[y - 1]) + m + m // 2 + 1)
+            if not rare[x:y].any() and not _enough(np.isin(item, numbers[lo:hi]), threshold):
                 continue
-            lo, hi = max(0, group[0] - m // 2), min(len(numbers), group[-1] + m + m // 2 + 1)
             score, end = local_alignment(item, numbers[lo:hi])
             if score > best[0]:
                 best = (score, lo, lo + end)
-            group = [b]
         if best[0] >= threshold * MATCH * m:
             back, length = local_alignment(item[::-1], numbers[best[1] : best[2]][::-1])
             spans = spans or [w.span() for w in _WORD.finditer(text.lower())]
@@ -157,7 +169,7 @@ def find(items: Items, text: str, distinct: np.ndarray, threshold: float = THRES
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
-    """The benchmark in blocks of about BLOCK_CHARS characters, each with its rare seeds by their document frequency in all docs."""
+    """The benchmark in blocks of about BLOCK_CHARS characters, each with its seeds and which of them are rare by their document frequency in all docs."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where("item_id is not null and t is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()["c"]
     k = max(1, math.ceil(total / BLOCK_CHARS))
@@ -182,7 +194,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
                 yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], names=["code", "n"])
 
         df = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        out.append(items.keep({r["code"]: r["n"] for r in df.collect()}))  # a row for each seed of the block at most
+        out.append(items.marked({r["code"]: r["n"] for r in df.collect()}))  # a row for each seed of the block at most
     return out
 
 

@@ -256,6 +256,21 @@ def test_copies_edited_copies_and_clean_documents(spark):
     assert decontamination.flag(documents(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 1000])
+def test_edited_copies_are_found_however_many_there_are(spark, n):
+    r = random.Random(8)
+    item, other = [f"item{i}" for i in range(20)], [f"other{i}" for i in range(20)]
+    edited = lambda x: " ".join("changed" if i % 5 == 4 else w for i, w in enumerate(x))
+    rows = [(i, f"{prose(r, 10)} {edited(item)} {prose(r, 10)}") for i in range(n)]
+    # a verbatim leak beside copies of an edited version, in some documents together
+    rows += [(2000 + i, f"{edited(other)} {prose(r, 40)}") for i in range(5)] + [(3000, f"{prose(r, 5)} {' '.join(other)}"), (3001, f"{' '.join(other)} {prose(r, 60)} {edited(other)}")]
+    rows += [(4000, f"{prose(r, 20)} {' '.join(item[:4])} {prose(r, 20)}"), (4001, prose(r, 30))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    got = {x["doc_id"]: x for x in decontamination.flag(documents(spark, rows), bench).collect()}
+    assert {i for i, x in got.items() if x["contaminated"]} == {*range(n), *range(2000, 2005), 3000, 3001}
+    assert got[0]["score"] == 0.725 and got[2000]["item_id"] == 2 and got[3001]["score"] == 1
+
+
 def test_blocks_of_the_benchmark_add_up(spark, monkeypatch):
     r = random.Random(5)
     items = [prose(r, 20, 400) for _ in range(20)]
