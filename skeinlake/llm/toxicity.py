@@ -18,15 +18,15 @@ from ..runtime import ship
 EXAMPLES = 20_000
 #: Terms of the vector space, at most: those that tell the labels apart best.
 TERMS = 4096
-#: Share of toxic examples among those with a term, at least: what stands in clean texts much more often is no evidence;
-PRECISION = 0.3
-#: and its G2 statistic (one degree of freedom) above this: chance gives that to one term in a hundred thousand.
-LEAST_G2 = 20.0
+#: A term is evidence if its toxic share is above the examples' own and its G2 statistic (one degree of freedom) above this.
+LEAST_G2 = 12.0
 #: Examples in a block of the index.
 BLOCK = 64
 NEIGHBOURS = 15
 #: Examples that are scored against the others for calibration, at most.
 CALIBRATED = 4000
+#: Vectors of at most so many terms that a worker remembers with their scores; the memory is emptied when it is full.
+VECTORS, VECTOR_TERMS = 20_000, 4
 #: Words that a worker remembers with their terms; the memory is emptied when it is full.
 REMEMBERED = 300_000
 PREFIXES = (4, 5, 6)
@@ -85,33 +85,49 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, exactly, ties to the smaller number; examples without a common term are none.
 
-        Blocks are taken by their upper bound, the sum of the query's weights times the block's greatest weights, step of them at a time, until the
-        bound is below the k-th best cosine so far.
+        The step blocks of the greatest upper bounds, the sums of the query's weights times the blocks' greatest weights, come first; then, at once,
+        all blocks whose bound reaches the k-th best cosine so far.
         """
         if not len(terms) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
         bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        total = np.zeros(self.n_blocks * self.block)
-        done = 0
-        while done < self.n_blocks and bound[order[done]] > 0:
-            # a few blocks at a time; the lists of all terms in them are gathered at once
-            some = order[done : done + self.step]
-            cells = (terms[:, None] * self.n_blocks + some).ravel()
-            lo = self.edges[cells]
-            sizes = self.edges[cells + 1] - lo
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1]) + np.repeat(lo - (ends - sizes), sizes)
-            total += np.bincount(self.owner[at], weights=np.repeat(np.repeat(weights, len(some)), sizes) * self.weights[at], minlength=len(total))
-            if 0 <= without < self.n:
-                total[without] = 0.0
-            done += len(some)
-            if done < self.n_blocks and np.count_nonzero(total) >= k and bound[order[done]] < np.partition(total, -k)[-k] - 1e-12:
-                break
-        ids = np.flatnonzero(total > 0)
+        first = bound.argsort(kind="stable")[::-1][: self.step]
+        total = self._cosines(terms, weights, first)
+        if 0 <= without < self.n:
+            total[without] = 0.0
+        least = np.partition(total, -k)[-k] if len(total) > k else 0.0
+        more = bound > 0
+        if least > 0:
+            more &= bound >= least - 1e-12
+        more[first] = False
+        rest = np.flatnonzero(more)
+        if 4 * len(rest) > self.n_blocks:
+            total = self._all_cosines(terms, weights)
+        elif len(rest):
+            total += self._cosines(terms, weights, rest)
+        if 0 <= without < self.n:
+            total[without] = 0.0
+        least = np.partition(total, -k)[-k] if len(total) > k else 0.0
+        ids = np.flatnonzero((total > 0) & (total >= least))
         ids = ids[np.lexsort((ids, -total[ids]))][:k]
         return ids, total[ids]
 
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The examples' cosines, 0 outside the blocks; the lists of all terms in them are gathered at once."""
+        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
+        lo = self.edges[cells]
+        sizes = self.edges[cells + 1] - lo
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(lo - (ends - sizes), sizes)
+        return np.bincount(self.owner[at], weights=np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at], minlength=self.n_blocks * self.block)
+
+    def _all_cosines(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The same from whole lists, for when most blocks are wanted."""
+        lo, hi = self.edges[terms * self.n_blocks].tolist(), self.edges[(terms + 1) * self.n_blocks].tolist()
+        owner = np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)])
+        product = np.concatenate([w * self.weights[a:b] for w, a, b in zip(weights.tolist(), lo, hi, strict=True)])
+        return np.bincount(owner, weights=product, minlength=self.n_blocks * self.block)
+
 
 @dataclass
 class Model:
@@ -190,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     c, d = F.lit(float(t)) - a, F.lit(float(n - t)) - b
     share = F.col("n") / F.lit(float(n))
     g2 = 2 * (part(a, share * t) + part(b, share * (n - t)) + part(c, (1 - share) * t) + part(d, (1 - share) * (n - t)))
-    best = counts.where((F.col("term") != "") & (a / F.col("n") >= max(PRECISION, t / n)) & (F.col("t") >= 2)).select("term", g2.alias("g2")).where(F.col("g2") > LEAST_G2).orderBy(F.desc("g2"), "term").limit(max_terms).collect()
+    best = counts.where((F.col("term") != "") & (a / F.col("n") > t / n) & (F.col("t") >= 2)).select("term", g2.alias("g2")).where(F.col("g2") > LEAST_G2).orderBy(F.desc("g2"), "term").limit(max_terms).collect()
     chosen = {r["term"]: i for i, r in enumerate(best)}
     if not chosen:
         return empty
@@ -249,11 +265,21 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(model.chosen)
+        known: dict[tuple, tuple] = {}  # many texts have the same few terms
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             scores, found = [], []
             for text in batch.column(1):
-                s, near, cosines = model.score(terms.count(text.as_py() or ""))
+                counts = terms.count(text.as_py() or "")
+                key = tuple(sorted(counts.items())) if len(counts) <= VECTOR_TERMS else None
+                answer = known.get(key)
+                if answer is None:
+                    answer = model.score(counts)
+                    if key is not None:
+                        if len(known) >= VECTORS:
+                            known.clear()
+                        known[key] = answer
+                s, near, cosines = answer
                 scores.append(min(1.0, max(0.0, s)))
                 found.append([{"doc_id": int(model.ids[i]), "toxic": int(model.toxic[i]), "cosine": float(c)} for i, c in zip(near[:3], cosines[:3], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(found, evidence)], names=["doc_id", "score", "predicted", "evidence"])

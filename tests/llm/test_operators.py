@@ -189,6 +189,16 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(documents(spark, []), spark.createDataFrame(labels, LABELS)).count() == 0
 
 
+def test_terms_above_the_base_rate_are_evidence(spark):
+    # "hint" is toxic in 24 of 120 documents, against a rate of 0.05: no proof, but far beyond chance
+    rows = [(i, f"{'hint' if i < 120 else 'none'} plain words") for i in range(1000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 24 or 500 <= i < 526)) for i in range(1000)], LABELS)
+    docs = documents(spark, rows)
+    assert "hint" in toxicity.fit(docs, labels).chosen
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert got[100]["score"] > got[900]["score"] and got[100]["evidence"] and not got[900]["evidence"]
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(1)
     vectors = []
