@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, shield
+from .common import BROADCAST_ROWS, broadcast_if_small, materialize, shield
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Code points on both sides of an entity whose words count as its context.
 WINDOW = 60
 #: A term discloses an entity if it stands near it in at least so many different contexts,
-SUPPORT = 3
-#: if at least this share of the documents that have the term also have it near the entity (above REMOVE it is removed, else generalised),
-SHARE, REMOVE = 0.5, 0.9
-#: and if seeing it makes the entity likelier by so many bits.
+SUPPORT = 1
+#: if at least this share of the documents that have the term also have it near the entity (above REMOVE and in SURE contexts it is removed, else generalised),
+SHARE, REMOVE, SURE = 0.5, 0.9, 3
+#: and if its contexts together make the entity likelier by so many bits.
 BITS = 6.0
+#: p(entity | term) is shrunken towards p(entity) by so many documents' worth.
+PRIOR = 0.5
 
 # What the kinds match, written so that Java's matcher neither tries a run of characters from its middle nor recurses: a match
 # can only begin where a run does, or where the last one ended (\G).
@@ -91,15 +93,21 @@ _NO_TERM = r"[^\p{L}\p{M}'-]+"
 
 
 def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> tuple[DataFrame, DataFrame] | None:
-    """(terms: term, bits, share), (hits: doc_id, term) of the terms that give a protected entity away, or None if there are none.
+    """(terms: term, bits, share, contexts), (hits: doc_id, term) of the terms that give a protected entity away, or None if there are none.
 
-    A term's documents, and those where it stands within window of an entity, are counted over the whole corpus; contexts that copies repeat count once. By these counts p(entity | term) is the share,
-    and log2 p(entity | term) / p(entity) the bits that the term reveals. Terms are words of three letters and more; what holds digits or @ is none.
+    A term's documents, and those where it stands within window of an entity, are counted over the whole corpus; contexts that copies repeat count once. The share is both / term's documents. p(entity | term)
+    is shrunken towards p(entity), so that one context counts, but for less than many; log2 p(entity | term) / p(entity) are the bits that the term reveals, and contexts times bits its evidence:
+    a rare entity needs one context, one that stands in many documents several, and one that stands in all is given away by nothing.
+    Terms are words of three letters and more, whole within the window; what holds digits or @ is none.
     """
+    # a code point more on either side shows where the window cuts a word, which is none then
+    padded = F.concat(F.lit(" "), "text", F.lit(" "))
+    before = F.substring(padded, F.greatest(F.lit(1), F.col("s.start") + 1 - window), F.least(F.lit(window), F.col("s.start")) + 1)
+    after = F.substring(padded, F.col("s.end") + 2, F.lit(window + 1))
     spans = docs.select("doc_id", "text", F.explode(base_spans(F.col("text"))).alias("s")).select(
         "doc_id",
         F.xxhash64("s.kind", F.lower("s.value")).alias("entity"),
-        F.concat_ws(" ", F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - window), F.least(F.lit(window), F.col("s.start"))), F.substring("text", F.col("s.end") + 1, F.lit(window))).alias("context"),
+        F.concat_ws(" ", F.regexp_replace(before, r"^[\p{L}\p{M}'-]+", ""), F.regexp_replace(after, r"[\p{L}\p{M}'-]+$", "")).alias("context"),
     )
     near = materialize(spans.withColumn("context", F.lower(F.regexp_replace("context", r"\S*[@0-9]\S*", " "))), "contexts")
     entities = near.groupBy("entity").agg(F.count_distinct("doc_id").alias("e_docs"))
@@ -112,9 +120,14 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPO
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _NO_TERM))).alias("term"))
     df = tokens.groupBy("term").agg(F.count("*").alias("t_docs"))
     total = docs.count()
-    p = F.least(F.lit(1.0), F.col("both") / F.col("t_docs"))
-    told = pairs.join(df, "term").join(entities, "entity").select("term", p.alias("share"), F.log2(p * total / F.col("e_docs")).alias("bits")).where((F.col("share") >= share) & (F.col("bits") >= bits))
-    terms = materialize(told.groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share")), "terms")
+    # a term's best count decides first, in one row for each term, so that a common word's many entities meet no join
+    top = pairs.groupBy("term").agg(F.max("both").alias("top")).join(df, "term").where(F.col("top") / F.col("t_docs") >= share)
+    top = materialize(top.select("term", "t_docs"), "near-terms")
+    own = pairs.join(broadcast_if_small(top), "term").where(F.col("both") / F.col("t_docs") >= share).join(entities, "entity")
+    rate = F.col("e_docs") / F.lit(float(max(total, 1)))
+    shrunken = (F.least("both", "t_docs") + PRIOR * rate) / (F.col("t_docs") + PRIOR)
+    told = own.select("term", "contexts", F.least(F.lit(1.0), F.col("both") / F.col("t_docs")).alias("share"), F.log2(shrunken / rate).alias("bits")).where(F.col("contexts") * F.col("bits") >= bits)
+    terms = materialize(told.groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"), F.max("contexts").alias("contexts")), "terms")
     n = terms.count()
     if not n:
         return None
@@ -136,7 +149,7 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int
     if found is None:
         return out.withColumn("spans", base_spans(F.col(text))).withColumn("removed", F.array().cast("array<string>"))
     terms, hits = found
-    own = hits.join(terms, "term").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("_removed"))
+    own = hits.join(terms, "term").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when((F.col("share") >= REMOVE) & (F.col("contexts") >= SURE), F.col("term"))).alias("_removed"))
     own = materialize(own, "terms-of")
     n = own.count()
     out = docs.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
@@ -159,7 +172,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitize(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """docs with the spans of find() replaced in text: patterns by their kind in brackets, terms by [TERM] or, above REMOVE, by nothing.
+    """docs with the spans of find() replaced in text: patterns by their kind in brackets, terms by [TERM] or, above REMOVE in SURE contexts, by nothing.
 
     Of spans that overlap the first replaces what it covers, later ones what is left of theirs. Null text stays null; n_chars, where docs has it, is counted anew.
     """

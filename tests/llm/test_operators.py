@@ -127,6 +127,21 @@ def test_terms_that_give_an_entity_away_are_found_and_common_ones_stay(spark):
     assert pii.find(documents(spark, [])).count() == 0
 
 
+def test_terms_near_entities_seen_once_and_near_common_ones(spark):
+    r = random.Random(7)
+    rows = [(i, f"the clerk wrote {prose(r, 20)}") for i in range(600)]
+    # once; twice; and an entity in a tenth of the documents, near which one name stands always and another only once
+    rows += [(1000, "the clerk Melkior wrote from melk@zor.example")] + [(1001 + i, f"the clerk Quendal of {prose(r, 2)} wrote quen@zor.example") for i in range(2)]
+    rows += [(2000 + i, f"the clerk {'Hothand' if i < 10 else 'Lonely' if i == 10 else ''} wrote to hot@zor.example {'abcdefghij'[i % 10] * 3}{'klmnopq'[i // 10] * 3}") for i in range(70)]
+    # the window cuts a word, whose end is a word elsewhere
+    rows += [(3000, f"xxxxxxabcrapist {'the ' * 14} cut@zor.example"), (3001, "rapist clerk")]
+    docs = documents(spark, rows)
+    terms = {t["term"] for t in pii.disclosing_terms(docs.select("doc_id", "text"))[0].collect()}
+    assert {"melkior", "quendal", "hothand"} <= terms and not {"the", "clerk", "wrote", "lonely", "rapist"} & terms
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitize(docs).collect()}
+    assert clean[1000].startswith("the clerk [TERM] wrote") and clean[2000].startswith("the clerk  wrote") and clean[3001] == "rapist clerk"
+
+
 # WARC
 
 
