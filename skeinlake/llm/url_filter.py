@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from .common import materialize
 from .components import connected_components
 
@@ -45,17 +46,85 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*$", "")
 
 
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "sol": "/", "colon": ":", "quest": "?", "equals": "=", "num": "#", "period": ".", "percnt": "%", "lowbar": "_", "plus": "+", "comma": ",", "semi": ";"}
+_ENTITY = r"(?i)&(?:#x[0-9a-f]+;?|#[0-9]+;?|(?:amp|lt|gt|quot)(?:;|(?![a-z0-9=;]))|(?:" + "|".join(_NAMED) + r");)"
+
+
+def decode_references(c: Column) -> Column:
+    """Text with its character references decoded once: numbers, and the names that URLs are written with. A named one without ; before = or a letter stays, as in attributes."""
+    found = F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0))
+    between = F.split(c, _ENTITY, -1)
+
+    def one(ref: Column) -> Column:
+        name = F.lower(F.regexp_replace(ref, "^&|;$", ""))
+        code = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 20), 16, 10)).otherwise(F.substring(name, 2, 20)).try_cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # UTF-32 of the code point; CHAR() knows Latin-1 only
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        out = F.when(name.startswith("#"), F.when(valid, char).otherwise(F.lit("\ufffd")))
+        for n, v in _NAMED.items():
+            out = out.when(name == n, F.lit(v))
+        return out.otherwise(ref)
+
+    pairs = F.arrays_zip(between.alias("between"), F.transform(found, one).alias("ref"))
+    decoded = F.array_join(F.transform(pairs, lambda x: F.concat(x["between"], F.coalesce(x["ref"], F.lit("")))), "")
+    return F.when(F.instr(c, "&") > 0, decoded).otherwise(c)
+
+
+def _no_dots(path: Column) -> Column:
+    """remove_dot_segments of RFC 3986, 5.2.4, for paths that start with /."""
+    segments = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(
+        segments, empty,
+        lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x)),
+    )
+    tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//$", "/")
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The URL that target means on a page at base, without fragment: RFC 3986, 5.2.2. Absolute ones stay as they are."""
+    tail = F.regexp_extract(target, r"(?s)(\?[^#]*)", 1)
+    own = urls.path(target)
+    site = F.concat(urls.part(base, 1), urls.part(base, 3))
+    folder = F.when((urls.path(base) == "") & (urls.authority(base) != ""), F.lit("/")).otherwise(F.regexp_replace(urls.path(base), "[^/]*$", ""))
+    joined = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(urls.part(base, 1), target))
+        .when(target.startswith("/"), F.concat(site, _no_dots(own), tail))
+        .when(own != "", F.concat(site, _no_dots(F.concat(folder, own)), tail))
+        .when(tail != "", F.concat(site, urls.path(base), tail))
+        .otherwise(base)
+    )
+    return without_fragment(joined)
+
+
+def _value(name: str) -> str:
+    return rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, references decoded, white space around it cut; empty without it."""
+    found = F.concat(*[F.regexp_extract(tag, _value(name), i) for i in (1, 2, 3)])
+    return F.regexp_replace(decode_references(found), r"^[\s\x00]+|[\s\x00]+$", "")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source, target) of the redirects and canonical links that pages state: link rel=canonical and meta refresh.
+    """(source, target) of the redirects and canonical links that pages state: every link rel=canonical and meta refresh.
 
-    Targets that start with / belong to the page's own site; other relative ones stand for nothing and are left out.
+    Values may have either quotes or none, and character references; relative targets are resolved against the page's URL.
     """
-    canonical = F.regexp_extract("html", r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("html", r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)""", 1)
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    found = pages.where("url is not null and html is not null").select(without_fragment(F.col("url")).alias("source"), site.alias("site"), F.explode(F.array(canonical, refresh)).alias("target"))
-    target = F.when(F.col("target").startswith("//"), F.concat(F.regexp_extract("site", r"(?s)^(.*?:)//", 1), "target")).when(F.col("target").startswith("/"), F.concat("site", "target")).otherwise(F.col("target"))
-    return found.select("source", without_fragment(target).alias("target")).where("source <> target and instr(target, '://') > 0")
+    tags = F.regexp_extract_all("html", F.lit(r"""(?is)<(?:link|meta)\b(?:"[^"]*"|'[^']*'|[^"'>])*+>"""), F.lit(0))
+    tags = F.filter(tags, lambda t: t.rlike("(?i)canonical|refresh"))
+    found = pages.where("url is not null and html is not null").select(without_fragment(F.col("url")).alias("source"), F.explode(tags).alias("tag"))
+    is_link = F.col("tag").rlike(r"(?i)^<link\b")
+    canonical = F.when(F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
+    content = _attribute(F.col("tag"), "content")
+    at = r"""(?is)^[^;,]*[;,\s]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'].*))"""
+    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.trim(F.concat(*[F.regexp_extract(content, at, i) for i in (1, 2, 3)])))
+    links = found.select("source", F.when(is_link, canonical).otherwise(refresh).alias("t")).where("t <> ''")
+    return links.select("source", resolve(F.col("source"), F.col("t")).alias("target")).where("source <> target and instr(target, '://') > 0")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -397,6 +397,27 @@ def test_blocks_spread_over_links_unless_allowed(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: ("net/es/", "block"), 4: (None, "allow"), 5: ("net/fr/", "block"), 6: (None, "allow"), 7: (None, "block"), 8: (None, "allow")}
 
 
+def test_links_in_all_common_forms(spark):
+    base = "http://a.org/b/c?q"
+    canonical = lambda x: f"<LINK rel=canonical href={x}>"
+    refresh = lambda x: f'<meta http-equiv="refresh" content="{x}">'
+    cases = {
+        canonical("page2.html"): ["http://a.org/b/page2.html"], canonical('"../x"'): ["http://a.org/x"], canonical("'?id=1'"): ["http://a.org/b/c?id=1"], canonical("./"): ["http://a.org/b/"], canonical("'../../../g/./h/..'"): ["http://a.org/g/"],
+        canonical("//n.net/x"): ["http://n.net/x"], canonical("/r?s=/../t"): ["http://a.org/r?s=/../t"], canonical("'#top'"): [], canonical("mailto:x@y"): [], canonical('"http://n.net/?a=1&amp;b=2&#x2f;&#51;&copy=4"'): ["http://n.net/?a=1&b=2/3&copy=4"],
+        '<link href=" http://n.net/o\'k " rel="alternate Canonical"><link rel="canonical" href="/two"><link rel="next" href="/no">': ["http://n.net/o'k", "http://a.org/two"],
+        refresh("0; url='http://x.net/'"): ["http://x.net/"], refresh("0;URL=next"): ["http://a.org/b/next"], refresh("5, url=/a?b&amp;c") + refresh("0; url=&quot;/d&quot;"): ["http://a.org/a?b&c", "http://a.org/d"], refresh("30"): [], "<meta http-equiv='refresh' content='0; url=\"/in\"'>": ["http://a.org/in"],
+        '<link title="a > b" rel="canonical" href="/gt">': ["http://a.org/gt"], '<link data-href="/no" rel="canonical" href="/yes">': ["http://a.org/yes"],
+    }
+    pages = spark.createDataFrame([(i, f"{base}&{i}#f", h.replace("?q", "")) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {}
+    for x in url_filter.page_links(pages).collect():
+        got.setdefault(int(x["source"].split("&")[1]), []).append(x["target"])
+    for i, (h, want) in enumerate(cases.items()):
+        assert sorted(got.get(i, [])) == sorted(want), h
+    alias = spark.createDataFrame([(1, "http://a.org/es/1", refresh("0; url='http://c.net/es/9?a&amp;b'")), (2, "http://c.net/es/9?a&b", ""), (3, "http://a.org/es/x", canonical("1"))], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(alias).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_stages_leave_columns_of_clashing_names_alone(spark):
     from skeinlake.llm import ngram_join
 
