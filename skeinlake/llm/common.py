@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast up to this many rows of a few numbers each (about 24 MB).
 BROADCAST_ROWS = 500_000
+#: Deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skeinlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,19 +35,29 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+
+    The shuffles behind it are deleted once it is written, not when their plan is collected as garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._skeinlake_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_skeinlake_path", None)
-    if path:
+    for df in frames:
+        path = getattr(df, "_skeinlake_path", None)
+        if not path:
+            continue
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

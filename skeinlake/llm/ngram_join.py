@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import BROADCAST_ROWS, materialize, shield
+from .common import BROADCAST_ROWS, broadcast_if_small, discard, materialize, shield
 from .components import connected_components
 
 #: Words that a worker remembers with their hashes; the memory is emptied when it is full.
-REMEMBERED = 300_000
-#: n-grams that one search task holds, about 32 MB; larger groups are cut.
-BLOCK_GRAMS = 4_000_000
+REMEMBERED = 100_000
+#: Bytes of text whose sets a task holds at once.
+PIECE_BYTES = 2_000_000
+#: n-grams (8 MB) and sets that one block of the search holds; larger groups are cut.
+BLOCK_GRAMS = 1_000_000
+BLOCK_SETS = 512
 #: Cost factor of a long list against a short one in the choice of how many lists are probed.
 MU = 0.0085
 
@@ -61,6 +67,16 @@ def grams(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of a column take PIECE_BYTES, or are one text."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        piece = (np.cumsum(lengths) - lengths) // PIECE_BYTES
+        edges = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def _text_column(batch: pa.RecordBatch, i: int) -> Iterator[bytes]:
     for x in batch.column(i):
         yield x.as_py() or b""
@@ -74,7 +90,7 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, set_id) of each row; set_id names the set of n-grams (64 bits of it), null where that is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             sets = [grams(t, n) for t in _text_column(batch, 1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"]
@@ -153,7 +169,7 @@ def _postings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
-        for batch in batches:
+        for batch in _pieces(batches):
             known: dict[int, np.ndarray] = {}
             for text in _text_column(batch, 0):
                 own = grams(text, n)
@@ -196,24 +212,59 @@ def _chain(postings: DataFrame) -> DataFrame:
     return postings.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(run, "u long, v long")
 
 
+def divide(lengths: np.ndarray, t: int) -> int:
+    """How many of the longest lists are probed rather than merged, by DivideSkip's rule for threshold t."""
+    return min(t - 1, int(t / (MU * math.log(int(lengths.max()) + 1) + 1)))
+
+
+def merge_skip(lists: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
+    """(id, count) of the ids that at least t of the sorted lists hold, in order.
+
+    A heap holds the head of each list. While the least id has fewer than t heads, the t - 1 least heads are taken off
+    and their lists skip, by binary search, to the id that is then on top: none before it can stand in t lists.
+    """
+    width = len(lists)
+    place = [0] * width
+    heap = [own[0] * width + i for i, own in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= t:
+        top = heap[0] // width
+        taken = []
+        while heap and heap[0] // width == top:
+            taken.append(heapq.heappop(heap) % width)
+        if len(taken) >= t:
+            yield top, len(taken)
+            for i in taken:
+                place[i] += 1
+        else:
+            taken += [heapq.heappop(heap) % width for _ in range(t - 1 - len(taken))]
+            edge = heap[0] // width
+            for i in taken:
+                place[i] = bisect_left(lists[i], edge, place[i])
+        for i in taken:
+            if place[i] < len(lists[i]):
+                heapq.heappush(heap, lists[i][place[i]] * width + i)
+
+
 class Index:
     """Inverted lists of the elements of a block of sets."""
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
+        self.num, self.den = num, den
         self.sizes = np.array([len(s) for s in sets], np.int64)
         elements = np.concatenate(sets)
-        owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
-        order = np.lexsort((owners, elements))
-        self.owners = owners[order]
-        self.keys, self.starts = np.unique(elements[order], return_index=True)
-        self.ends = np.r_[self.starts[1:], len(order)]
-
-    def search(self, query: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The sets among wanted (a flag for each) that are similar to query: T-occurrence search with DivideSkip.
-
-        A similar set has at least T elements of the query. The long lists are set aside; in the short ones, merged by
-        their owners, it must occur T - (number of long lists) times. What does is looked up in the long lists by binary search,
+        order = np.argsort(elements, kind="stable")  # owners stay ascending within an element
+        self.owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        elements = elements[order]
+        self.starts = np.flatnonzero(np.r_[True, elements[1:] != elements[:-1]])
+        self.keys = elements[self.starts]
+        self.ends = np.r_[self.starts[1:], len(elements)]
+
+    def search(self, query: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The sets (among wanted, a flag for each) that are similar to query: T-occurrence search with DivideSkip.
+
+        A similar set has at least T elements of the query. The long lists are set aside; a heap merges the short ones, in which
+        it must occur T - (number of long lists) times. What does is looked up in the long lists by binary search,
         and retained if it reaches the overlap that its own size requires.
         """
         m = len(query)
@@ -223,90 +274,167 @@ class Index:
         if len(at) < t:
             return np.empty(0, np.int64)
         lengths = self.ends[at] - self.starts[at]
-        order = np.argsort(lengths, kind="stable")
-        longest = int(lengths[order[-1]])
-        n_long = min(t - 1, int(t / (MU * math.log(longest + 1) + 1)))
+        at = at[np.argsort(lengths, kind="stable")]
+        n_long = divide(lengths, t)
         cut = len(at) - n_long
-        short, long_ = at[order[:cut]], at[order[cut:]]
-        merged = np.concatenate([self.owners[self.starts[i] : self.ends[i]] for i in short])
-        count = np.bincount(merged, minlength=len(self.sets))
+        merged = list(merge_skip([self.owners[self.starts[i] : self.ends[i]].tolist() for i in at[:cut]], t - n_long))
+        if not merged:
+            return np.empty(0, np.int64)
+        found, count = np.array(merged, np.int64).T
         # overlap >= num / (num + den) * (sum of the sizes), rounded up
-        need = -(-self.num * (m + self.sizes) // (self.num + self.den))
-        found = np.flatnonzero((count >= np.maximum(need - n_long, 1)) & wanted & (self.sizes * self.den >= self.num * m) & (self.sizes * self.num <= self.den * m))
-        count, need = count[found], need[found]
-        for done, i in enumerate(long_):
+        need = -(-self.num * (m + self.sizes[found]) // (self.num + self.den))
+        may = (count + n_long >= need) & (self.sizes[found] * self.den >= self.num * m) & (self.sizes[found] * self.num <= self.den * m)
+        if wanted is not None:
+            may &= wanted[found]
+        found, count, need = found[may], count[may], need[may]
+        for done, i in enumerate(at[cut:]):
             if not len(found):
                 break
             lst = self.owners[self.starts[i] : self.ends[i]]
-            if len(lst) == len(self.sets):
+            if len(lst) == len(self.sizes):
                 count = count + 1
             else:
                 p = np.searchsorted(lst, found)
                 count = count + (lst[np.minimum(p, len(lst) - 1)] == found)
             if done % 32 == 31:
-                may = count + (len(long_) - done - 1) >= need
+                may = count + (n_long - done - 1) >= need
                 found, count, need = found[may], count[may], need[may]
-        return found[count >= need].astype(np.int64)
+        return found[count >= need]
 
 
-def link_block(names: np.ndarray, sets: list[np.ndarray], asked: np.ndarray, num: int, den: int, only_asked: bool = False) -> list[tuple[int, int]]:
-    """Links that connect what the similar pairs of a block connect.
+class Block:
+    """The sets of a block, to which guests of other blocks are compared as they come; then its own are, as far as they aren't connected."""
 
-    The asked sets are searched first. Unless that is all, one more set is searched, and then
-    every set that isn't in the largest component; pairs within that are connected already, so nothing is lost.
-    """
-    index, links, done = Index(sets, num, den), [], np.zeros(len(names), bool)
-    labels = np.arange(len(names))
-
-    def ask(i: int) -> None:
-        done[i] = True
-        found = index.search(sets[i], labels != labels[i])
-        for label, at in zip(*np.unique(labels[found], return_index=True), strict=True):
-            links.append((int(names[i]), int(names[found[at]])))
-            labels[labels == label] = labels[i]
-
-    for i in np.flatnonzero(asked):
-        ask(i)
-    if only_asked:
-        return links
-    if not done.any():
-        ask(0)
-    while True:
-        values, counts = np.unique(labels, return_counts=True)
-        rest = np.flatnonzero(~done & (labels != values[np.argmax(counts)]))
-        if not len(rest):
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.names: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.asked: list[bool] = []
+        self.index: Index | None = None
+
+    def add(self, name: int, own: np.ndarray, asked: bool) -> None:
+        self.names.append(name)
+        self.sets.append(own)
+        self.asked.append(asked)
+
+    def _ready(self) -> Index:
+        if self.index is None:
+            self.index = Index(self.sets, self.num, self.den)
+            self.labels = np.arange(len(self.sets))
+        return self.index
+
+    def _join(self, name: int, found: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a set with one of each class among those found, which become one class."""
+        classes, at = np.unique(self.labels[found], return_index=True)
+        if len(classes) > 1:
+            self.labels[np.isin(self.labels, classes)] = classes[0]
+        return [(name, self.names[found[i]]) for i in at]
+
+    def guest(self, name: int, own: np.ndarray) -> list[tuple[int, int]]:
+        return self._join(name, self._ready().search(own)) if self.sets else []
+
+    def own_links(self, only_asked: bool) -> list[tuple[int, int]]:
+        """Links that connect what similar pairs of the block connect.
+
+        The asked sets are searched. Unless that is all, so is every set outside the largest class, which grows as they are;
+        pairs within that are connected already, so nothing is lost.
+        """
+        if len(self.sets) < 2:
+            return []
+        index, links, done = self._ready(), [], np.zeros(len(self.sets), bool)
+
+        def ask(i: int) -> None:
+            done[i] = True
+            found = index.search(self.sets[i], self.labels != self.labels[i])
+            links.extend(self._join(self.names[i], np.r_[found, i]) if len(found) else ())
+
+        for i in np.flatnonzero(self.asked):
+            ask(i)
+        if only_asked:
             return links
-        ask(rest[0])
+        if not done.any():
+            ask(0)
+        while True:
+            values, counts = np.unique(self.labels, return_counts=True)
+            rest = np.flatnonzero(~done & (self.labels != values[np.argmax(counts)]))
+            if not len(rest):
+                return links
+            ask(rest[0])
 
 
 def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, only_asked: bool = False) -> DataFrame:
-    """Verified (u, v) within blocks of members (rep, set_id, component, block, asked)."""
+    """Verified (u, v) within blocks of members (rep, set_id, component, block, asked, guest).
+
+    A task reads its blocks as a sorted stream: it holds the sets of one block, and of the guests one Arrow batch at a time.
+    """
     rows = members.count()
     members = F.broadcast(members) if rows <= BROADCAST_ROWS else members
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "block", "asked")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "block", "asked", "guest")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             own = [grams(t, n) for t in _text_column(batch, 0)]
             right = pa.array([bool(len(s)) and _set_id(s) == name for s, name in zip(own, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in own], pa.binary()), *batch.columns[1:]], names=["grams", *batch.schema.names[1:]]).filter(right)
 
-    def link(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["set_id", "asked"], ascending=[True, False]).drop_duplicates("set_id")
-        names = block["set_id"].to_numpy()
-        found = link_block(names, [np.frombuffer(b, _U) for b in block["grams"]], block["asked"].to_numpy(bool), num, den, only_asked) if len(names) > 1 else []
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
-    held = texts.mapInArrow(sets, "grams binary, set_id long, component long, block int, asked boolean")
-    return held.groupBy("component", "block").applyInPandas(link, "u long, v long")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, last = None, None, None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for own, name, component, number, asked, guest in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if key != (component, number):
+                    if block is not None:
+                        found += block.own_links(only_asked)
+                    key, block, last = (component, number), Block(num, den), None
+                if last == (guest, name):  # a repeated row
+                    continue
+                last = (guest, name)
+                held = np.frombuffer(own.as_buffer(), _U)
+                if guest:
+                    found += block.guest(name, held)
+                else:
+                    block.add(name, held.copy(), asked)
+            yield _pairs(found)
+        if block is not None:
+            yield _pairs(block.own_links(only_asked))
+
+    held = texts.mapInArrow(sets, "grams binary, set_id long, component long, block int, asked boolean, guest boolean")
+    return held.repartition("component", "block").sortWithinPartitions("component", "block", "guest", "set_id").mapInArrow(link, "u long, v long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _classes(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links), "classes")
 
 
-def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) of each row of docs (doc_id, text).
+def _meetings(docs: DataFrame, outside: DataFrame, placed: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(set_id, block) of the blocks in which a set of outside shares a signature with some set: similar sets do (see signatures())."""
+    rows = placed.count()
+    named = placed.select("rep", "set_id", "component", "block")
+    named = F.broadcast(named) if rows <= BROADCAST_ROWS else named
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels(num, den)
+        for batch in _pieces(batches):
+            own = [grams(t, n) for t in _text_column(batch, 0)]
+            sigs = [signatures(s, levels) if len(s) and _set_id(s) == name else np.empty(0, _U) for s, name in zip(own, batch.column(1).to_pylist(), strict=True)]
+            at = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
+            sig = np.concatenate(sigs).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), *(c.take(pa.array(at)) for c in batch.columns[1:])], names=["sig", *batch.schema.names[1:]])
+
+    listed = materialize(texts.mapInArrow(run, "sig long, set_id long, component long, block int"), "listed")
+    there = listed.groupBy("component", "sig").agg(F.collect_set("block").alias("there"))
+    asked = listed.join(outside.select(F.col("set_id").alias("o")), F.col("set_id") == F.col("o"), "left_semi")
+    return asked.join(there, ["component", "sig"]).select("set_id", F.explode("there").alias("block")).distinct()
+
+
+def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), block_grams: int = BLOCK_GRAMS, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(doc_id, n_shingles, set_id, class, component_id) of each row of docs (doc_id, text).
 
     Two documents link when the Jaccard similarity of their sets of word n-grams is at least similarity, a fraction of integers;
     component_id is the least doc_id that links reach.
@@ -314,9 +442,9 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
     1. Every text becomes a set of n-grams; equal sets are one node from here on, however many documents have them.
     2. Sets that share a signature (see signatures(): similar ones always do) form candidate groups, found as connected components.
     3. In each group a T-occurrence search over inverted lists finds the similar sets. Only one document of a set is read
-       again for it. Groups of more than block_grams n-grams are cut into blocks by hash; the group's first set is searched in all
-       blocks. If a group still isn't one component, the sets outside its largest component are
-       searched in all of its blocks: pairs within that are connected already.
+       again for it. Groups of more than block_grams n-grams or block_sets sets are cut into blocks by hash; the group's first set
+       is searched in all blocks. If a group still isn't one component, the sets outside its largest component are
+       searched in those of its blocks where some set shares a signature with them: pairs within that component are connected already.
     4. The components of the verified links give the classes.
 
     Null, empty or blank text: n_shingles 0, linked with nothing, component_id its own doc_id. Repeated rows and doc_ids: equal
@@ -331,28 +459,34 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
     groups = _classes(candidates)
     reps = own.where("set_id is not null").join(groups, F.col("set_id") == F.col("node")).groupBy("set_id", "component").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
     reps = materialize(reps, "reps")
-    sizes = reps.groupBy("component").agg(F.ceil(F.sum("size") / block_grams).cast("int").alias("blocks"), F.min("set_id").alias("first"))
+    discard(candidates, groups)
+    blocks = F.ceil(F.greatest(F.sum("size") / block_grams, F.count("*") / block_sets)).cast("int")
+    sizes = reps.groupBy("component").agg(blocks.alias("blocks"), F.min("set_id").alias("first"))
     placed = materialize(reps.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")), "placed")
-    cols = ("rep", "set_id", "component", "block", "asked")
-    home = placed.withColumn("asked", F.lit(False))
+    discard(reps)
+    cols = ("rep", "set_id", "component", "block", "asked", "guest")
+    home = placed.withColumn("asked", F.lit(False)).withColumn("guest", F.lit(False))
     large = placed.where("blocks > 1")
-
-    def guests(rows: DataFrame) -> DataFrame:
-        """rows in all other blocks of their group, to be searched there."""
-        other = rows.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return other.where("block <> home").withColumn("asked", F.lit(True)).select(*cols)
-
-    links = materialize(_links(docs, home.select(*cols).unionByName(guests(large.where("set_id = first"))), n, num, den), "links")
+    first = large.where("set_id = first").withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
+    links = materialize(_links(docs, home.select(*cols).unionByName(first.withColumn("asked", F.lit(True)).withColumn("guest", F.lit(True)).select(*cols)), n, num, den), "links")
     classes = _classes(links)
     if not large.isEmpty():
         state = large.join(classes, F.col("set_id") == F.col("node"), "left").select(*[large[c] for c in large.columns], F.coalesce(classes["component"], "set_id").alias("class"))
         by_class = state.groupBy(F.col("component").alias("g"), "class").agg(F.count("*").alias("k"))
         main = by_class.groupBy("g").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-        state = state.join(main, F.col("component") == F.col("g"))
-        outside = materialize(state.where("class <> main"), "outside")
+        state = materialize(state.join(main, F.col("component") == F.col("g")), "state")
+        outside = state.where("class <> main")
         if not outside.isEmpty():
-            members = state.withColumn("asked", F.col("class") != F.col("main")).select(*cols).unionByName(guests(outside))
-            classes = _classes(links.unionByName(materialize(_links(docs, members, n, num, den, only_asked=True), "links")))
+            meet = _meetings(docs, outside, state, n, num, den).select(F.col("set_id").alias("s"), F.col("block").alias("other"))
+            guests = outside.join(meet, F.col("set_id") == F.col("s")).where("other <> block").withColumn("block", F.col("other"))
+            members = state.withColumn("asked", F.col("class") != F.col("main")).withColumn("guest", F.lit(False)).select(*cols)
+            members = materialize(members.unionByName(guests.withColumn("asked", F.lit(True)).withColumn("guest", F.lit(True)).select(*cols)), "members")
+            more = materialize(_links(docs, members, n, num, den, only_asked=True), "links")
+            discard(members, classes)
+            classes = _classes(links.unionByName(more))
+            discard(more)
+        discard(state)
+    discard(links, placed)
     return _result(own, classes)
 
 
@@ -360,21 +494,44 @@ def _result(own: DataFrame, classes: DataFrame) -> DataFrame:
     least = own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     nodes = least.join(classes, F.col("set_id") == F.col("node"), "left").select(F.col("set_id").alias("s"), "least", F.coalesce("component", "set_id").alias("class"))
     by_class = nodes.groupBy("class").agg(F.min("least").alias("component_id"))
-    ids = materialize(nodes.join(by_class, "class").select("s", "component_id"), "ids")
-    return own.join(ids, F.col("set_id") == F.col("s"), "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = materialize(nodes.join(by_class, "class").select("s", "class", "component_id"), "ids")
+    discard(classes)
+    return own.join(ids, F.col("set_id") == F.col("s"), "left").select("doc_id", "n_shingles", "set_id", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
-    """The rows of docs, with all of their columns, but for those in whose component a smaller doc_id stands.
+    """The rows of docs, with all of their columns, but for those in whose component another comes first.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id one stays, whatever their texts.
+    Of each component the row with the least doc_id stays, and of rows that repeat it the one with the least set_id. Rows that share
+    a doc_id but neither text nor a link are different documents, and all stay; so do rows without a doc_id, and those without words
+    (each text of a doc_id).
     """
-    found = materialize(join(docs, n, similarity), "joined")
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = gone.count()
-    own, restore = shield(docs, ("doc_id",))
-    kept = own.join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    counts = found.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if counts["n"] > counts["d"]:
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return restore(kept)
+    own, restore = shield(docs, ("doc_id", "text"))
+    joined = materialize(join(docs, n, similarity), "joined")
+    found = joined.where("doc_id is not null and set_id is not null")
+    order = F.struct("doc_id", "set_id")
+    least = found.groupBy("class").agg(F.min(order).alias("least"))
+    gone = found.join(least, "class").where(order > F.col("least")).select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set")).distinct()
+    gone = materialize(gone, "gone")
+    ids = joined.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if ids.isEmpty():
+        # a doc_id names one row, so texts needn't be read again
+        discard(joined)
+        return restore(own.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti"))
+    discard(joined)
+    named = _with_set(own, n)
+    left = named.join(broadcast_if_small(gone), (F.col("doc_id") == F.col("_id")) & (F.col("_set_id") == F.col("_set")), "left_anti")
+    single = left.where("doc_id is null")
+    return restore(single.unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "_set_id"])))
+
+
+def _with_set(docs: DataFrame, n: int) -> DataFrame:
+    """docs with _set_id, the name of each text's set."""
+    schema = T.StructType([*docs.schema, T.StructField("_set_id", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (grams(t, n) for t in _text_column(batch, batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], names=schema.names)
+
+    return docs.select("*", F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, schema)

@@ -80,6 +80,30 @@ def test_keep_first_keeps_columns_and_one_of_each_group(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 8, None]
 
 
+def test_keep_first_keeps_different_texts_of_one_id(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (1, other), (1, other), (2, other + " end"), (3, text), (4, None), (4, ""), (5, " "), (None, other)]
+    kept = ngram_join.keep_first(frame(spark, rows))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text), (1, other), (4, None), (5, " "), (None, other)], key=str) or sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text), (1, other), (4, ""), (5, " "), (None, other)], key=str)
+
+
+@pytest.mark.parametrize("block_sets", [3, 17])
+def test_large_groups_of_few_links_cut_into_blocks(spark, block_sets):
+    """Texts that share long passages meet as candidates, though few are similar."""
+    rows = near_copies(11, 150, 120)
+    got = ngram_join.join(frame(spark, rows).repartition(3), 3, (6, 10), block_sets=block_sets).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 6, 10)
+
+
+def test_merge_skip_equals_counting():
+    r = random.Random(7)
+    for _ in range(200):
+        lists = [sorted(r.sample(range(40), r.randint(1, 25))) for _ in range(r.randint(1, 12))]
+        for t in range(1, len(lists) + 2):
+            counts = {i: sum(i in own for own in lists) for i in range(40)}
+            assert list(ngram_join.merge_skip(lists, t)) == [(i, c) for i, c in counts.items() if c >= t]
+
+
 def test_divide_skip_equals_counting():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 90, r.integers(3, 60)).astype(np.uint64)) for _ in range(150)]
