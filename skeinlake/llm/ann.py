@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import ship
-from .common import materialize
+from .common import materialize, tidy
 
 #: Vectors that the codebooks are fitted on, at most; which ones follows a hash of vec_id.
 FIT_ROWS = 8192
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 12, 256, 4
 #: Rows and queries that a search task holds.
 ROW_BLOCK, QUERY_BLOCK = 16_384, 4096
-#: Candidates of a block that are scored exactly for each query.
-RERANK = 400
+#: Candidates of a block that are scored exactly for each query: one in twenty.
+RERANK = 800
 
 
 @dataclass
@@ -35,6 +35,9 @@ class Codebooks:
         self.cross = (flat @ flat.T).astype(np.float32)
         self.norms = np.einsum("ij,ij->i", flat, flat).astype(np.float32)
 
+    def __reduce__(self):
+        return Codebooks, (self.words,)  # the products are made again where they are used
+
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes by beam search: book after book, the beam's best sums by squared error are kept."""
         books, k, d = self.words.shape
@@ -137,7 +140,7 @@ def search(
             norms = (books.decode(codes) ** 2).sum(1) if len(x) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float64())], names=["vec_id", "x", "code", "norm"])
 
-    index = materialize(rows.mapInArrow(encode, "vec_id long, x binary, code binary, norm double"), "index")
+    index = materialize(rows.mapInArrow(tidy(encode), "vec_id long, x binary, code binary, norm double"), "index")
     asked = index.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")).groupBy("query_id").agg(F.max("q").alias("q"))
     row_blocks = max(1, -(-index.count() // row_block))
     query_blocks = max(1, -(-asked.count() // query_block))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Deletes a query's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch that goes to Python.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,17 +46,51 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, what)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true", BATCH: BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._skeinlake_path = path
     return out
 
 
+#: What empties each memory that a worker keeps from task to task, by the memory's name.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], memory: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run as a task for mapInArrow that gives memory back: a worker serves many stages, and what one remembers is no use to the next.
+
+    All of MEMORIES but the one named are emptied at the start; at the end free pages go back to the system.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(memory)
+        try:
+            yield from run(batches)
+        finally:
+            release(memory)
+
+    return task
+
+
+def release(memory: str) -> None:
+    for name, forget in MEMORIES.items():
+        if name != memory:
+            forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which keeps its free pages
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     for df in frames:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import shield
+from .common import shield, tidy
 from pyspark.sql import types as T
 
 #: Characters of benchmark text that one pass over the documents looks for; a larger benchmark takes several passes.
@@ -193,7 +193,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
                 codes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], names=["code", "n"])
 
-        df = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        df = docs.select("text").mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         out.append(items.marked({r["code"]: r["n"] for r in df.collect()}))  # a row for each seed of the block at most
     return out
 
@@ -218,7 +218,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
                 hits = [(old.as_py() or []) + find(items, text.as_py() or "", distinct, threshold) for old, text in zip(before, batch.column(where), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([sorted(h, key=lambda x: (-x["score"], x["item_id"])) for h in hits], before.type)], schema=batch.schema)
 
-        out = out.mapInArrow(search, out.schema)
+        out = out.mapInArrow(tidy(search), out.schema)
     return out
 
 

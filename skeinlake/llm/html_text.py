@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, tidy
 from .url_filter import url_host
 
 #: Elements whose content is no article text.
@@ -152,7 +152,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     feature.append(f)
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(feature, pa.int64())], names=["host", "path", "feature"])
 
-    found = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, feature long")
+    found = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(tidy(run), "host string, path string, feature long")
     counts = found.groupBy("host", "path", "feature").agg(F.count("*").alias("k"))
     sites = pages.groupBy(url_host(F.col("url")).alias("h")).agg(F.count("*").alias("m"))
     sums = counts.groupBy("host", "path").agg(F.sum(F.col("k") * F.log("k")).alias("e"), F.sum("k").alias("n"), F.max("k").alias("most"))
@@ -197,4 +197,4 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES)
                 text.append(page_text(page, sets.setdefault(key, frozenset(key))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import BROADCAST_ROWS, broadcast_if_small, discard, materialize, shield
+from .common import BROADCAST_ROWS, MEMORIES, broadcast_if_small, discard, materialize, shield, tidy
 from .components import connected_components
 
 #: Words that a worker remembers with their hashes; the memory is emptied when it is full.
@@ -42,6 +42,7 @@ class _WordHash(dict):
 
 
 _WORDS = _WordHash()
+MEMORIES["words"] = _WORDS.clear
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"]
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidy(run, "words"), "doc_id long, n_shingles long, set_id long")
 
 
 class Levels:
@@ -189,7 +190,7 @@ def _postings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             name = np.concatenate([names[first], *(tied.T if len(tied) else ())])
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(name, pa.int64())], names=["sig", "set_id"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "sig long, set_id long")
+    return docs.select(F.col("text").cast("binary")).mapInArrow(tidy(run, "words"), "sig long, set_id long")
 
 
 def _chain(postings: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def _chain(postings: DataFrame) -> DataFrame:
                 pairs = np.unique(np.column_stack([before[keep], name[keep]]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return postings.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(run, "u long, v long")
+    return postings.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(tidy(run, "words"), "u long, v long")
 
 
 def divide(lengths: np.ndarray, t: int) -> int:
@@ -398,8 +399,8 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, only
         if block is not None:
             yield _pairs(block.own_links(only_asked))
 
-    held = texts.mapInArrow(sets, "grams binary, set_id long, component long, block int, asked boolean, guest boolean")
-    return held.repartition("component", "block").sortWithinPartitions("component", "block", "guest", "set_id").mapInArrow(link, "u long, v long")
+    held = texts.mapInArrow(tidy(sets, "words"), "grams binary, set_id long, component long, block int, asked boolean, guest boolean")
+    return held.repartition("component", "block").sortWithinPartitions("component", "block", "guest", "set_id").mapInArrow(tidy(link, "words"), "u long, v long")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -427,7 +428,7 @@ def _meetings(docs: DataFrame, outside: DataFrame, placed: DataFrame, n: int, nu
             sig = np.concatenate(sigs).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig), *(c.take(pa.array(at)) for c in batch.columns[1:])], names=["sig", *batch.schema.names[1:]])
 
-    listed = materialize(texts.mapInArrow(run, "sig long, set_id long, component long, block int"), "listed")
+    listed = materialize(texts.mapInArrow(tidy(run, "words"), "sig long, set_id long, component long, block int"), "listed")
     there = listed.groupBy("component", "sig").agg(F.collect_set("block").alias("there"))
     asked = listed.join(outside.select(F.col("set_id").alias("o")), F.col("set_id") == F.col("o"), "left_semi")
     return asked.join(there, ["component", "sig"]).select("set_id", F.explode("there").alias("block")).distinct()
@@ -534,4 +535,4 @@ def _with_set(docs: DataFrame, n: int) -> DataFrame:
             sets = (grams(t, n) for t in _text_column(batch, batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], names=schema.names)
 
-    return docs.select("*", F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    return docs.select("*", F.col("text").cast("binary").alias("_bytes")).mapInArrow(tidy(run, "words"), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import ship
-from .common import materialize
+from .common import MEMORIES, materialize, tidy
 
 CAPACITY = 4096
 #: Runs, and words in them, that a worker remembers with their ids; a memory is emptied when it is full.
@@ -75,6 +75,7 @@ class _Ids(dict):
 
 #: Kept between the tasks of a worker.
 _KEPT: dict[str, _Ids] = {}
+MEMORIES["ids"] = _KEPT.clear
 
 
 def remembered_ids(name_or_path: str) -> _Ids:
@@ -123,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)][: 6 if with_ids else 5], names=list(names[: 6 if with_ids else 5]))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut, "ids"), schema)
 
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> list[tuple[int, int]]:
@@ -229,4 +230,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place, "ids"), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import broadcast_if_small, materialize, shield
+from .common import broadcast_if_small, materialize, shield, tidy
 
 #: Labelled documents that the document classifier is fitted on, at most; which ones follows a hash of doc_id.
 FIT_ROWS = 20_000
@@ -49,7 +49,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
             own = [pa.array(c, pa.int64()) for c in (zip(*counts, strict=True) if counts else [[]] * len(names))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *own], names=[*keep, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def features() -> dict[str, Column]:

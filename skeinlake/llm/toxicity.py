@@ -1,142 +1,163 @@
-"""Toxicity from the nearest labelled examples by TF-IDF cosine, over a block-max inverted index."""
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .common import MEMORIES, discard, materialize, tidy
 
-#: Labelled examples in the index, at most; which ones follows a hash of doc_id.
-EXAMPLES = 20_000
-#: Terms of the vector space, at most: those that tell the labels apart best.
-TERMS = 4096
-#: A term is evidence if its toxic share is above the examples' own and its G2 statistic (one degree of freedom) above this.
-LEAST_G2 = 12.0
+#: Labelled examples in the index, at most, and their characters together, at most; which ones follows a hash of doc_id.
+EXAMPLES, EXAMPLE_CHARS = 20_000, 80_000_000
 #: Examples in a block of the index.
 BLOCK = 64
+#: Terms of more than this share of the examples are held as columns rather than as lists.
+COMMON = 0.125
 NEIGHBOURS = 15
 #: Examples that are scored against the others for calibration, at most.
 CALIBRATED = 4000
-#: Vectors of at most so many terms that a worker remembers with their scores; the memory is emptied when it is full.
-VECTORS, VECTOR_TERMS = 20_000, 4
+#: Texts that are scored together.
+TOGETHER = 128
 #: Words that a worker remembers with their terms; the memory is emptied when it is full.
-REMEMBERED = 300_000
-PREFIXES = (4, 5, 6)
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"\w+")
 
 
-def word_terms(word: str) -> list[str]:
-    """A word, and its beginnings, which its inflected forms share."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 class Terms(dict):
-    """The numbers of the chosen terms of a word."""
+    """The place of a word among the sorted hashes of the vocabulary; -1 where it isn't in it."""
 
-    def __init__(self, chosen: dict[str, int]):
+    def __init__(self, vocabulary: np.ndarray):
         super().__init__()
-        self.chosen = chosen
+        self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = tuple(self.chosen[t] for t in word_terms(word) if t in self.chosen)
+        h = np.uint64(_hash(word))
+        at = int(np.searchsorted(self.vocabulary, h))
+        found = self[word] = at if at < len(self.vocabulary) and self.vocabulary[at] == h else -1
         return found
 
-    def count(self, text: str) -> Counter:
-        return Counter(i for own in map(self.__getitem__, _WORD.findall(text.lower())) if own for i in own)
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, counts) of a text, as far as the vocabulary has them."""
+        words = _WORD.findall(text.lower())
+        own = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        terms, counts = np.unique(own, return_counts=True)
+        known = np.searchsorted(terms, 0)
+        return terms[known:], counts[known:]
 
 
-def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights) of length 1: (1 + log tf) idf."""
-    terms = np.fromiter(counts, np.int64, len(counts))
-    order = np.argsort(terms)
-    weights = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[terms]
-    norm = np.sqrt((weights * weights).sum())
-    return terms[order], weights[order] / norm if norm else weights[order]
+def vector(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weights (1 + log tf) times the term's own, to length 1."""
+    found = (1 + np.log(counts)) * weight[terms]
+    norm = np.sqrt((found * found).sum())
+    return found / norm if norm else found
+
+
+def _ranges(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers lo[i] to lo[i] + sizes[i] - 1 of all i in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - sizes), sizes)
 
 
 class BlockMaxIndex:
-    """Inverted lists of the examples' vectors, in blocks of BLOCK examples with each term's greatest weight in each."""
+    """The examples' vectors by term: common terms as columns, the others as inverted lists in blocks of examples with the greatest weight in each."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, step: int = 8):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, step: int = 8, common: float = COMMON):
         self.n, self.block, self.step = len(vectors), block, step
         self.n_blocks = -(-self.n // block)
-        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
         terms = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        weights = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        weights = np.concatenate([w for _, w in vectors]).astype(np.float32) if vectors else np.empty(0, np.float32)
+        frequency = np.bincount(terms, minlength=n_terms)
+        heads = np.flatnonzero(frequency > common * self.n)
+        self.head = np.full(n_terms, -1, np.int32)  # a common term's column
+        self.head[heads] = np.arange(len(heads))
+        own = self.head[terms] >= 0
+        self.columns = np.zeros((len(heads), self.n_blocks * block), np.float32)
+        self.columns[self.head[terms[own]], owner[own]] = weights[own]
+        owner, terms, weights = owner[~own], terms[~own], weights[~own]
         order = np.lexsort((owner, terms))
-        self.owner, self.weights = owner[order], weights[order]
-        cell = terms[order] * self.n_blocks + self.owner // block
-        self.edges = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        top = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(top, cell, self.weights)
-        self.top = top.reshape(n_terms, self.n_blocks) if self.n_blocks else top.reshape(n_terms, 0)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, exactly, ties to the smaller number; examples without a common term are none.
-
-        The step blocks of the greatest upper bounds, the sums of the query's weights times the blocks' greatest weights, come first; then, at once,
-        all blocks whose bound reaches the k-th best cosine so far.
-        """
+        self.owner, self.weights, terms = owner[order], weights[order], terms[order]
+        cell = terms * max(1, self.n_blocks) + self.owner // block
+        self.cell_starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+        self.cell_ends = np.r_[self.cell_starts[1:], len(cell)] if len(cell) else np.empty(0, np.int64)
+        self.top = np.maximum.reduceat(self.weights, self.cell_starts) if len(cell) else np.empty(0, np.float32)
+        first = cell[self.cell_starts] if len(cell) else np.empty(0, np.int64)
+        self.cell_block = (first % max(1, self.n_blocks)).astype(np.int32)
+        self.edges = np.searchsorted(first // max(1, self.n_blocks), np.arange(n_terms + 1))  # a term's cells
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the (examples, cosines) of the k nearest, exactly, ties to the smaller number; examples without a common term are none."""
+        asked = np.zeros((len(queries), len(self.columns)), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            own = self.head[terms] >= 0
+            asked[i, self.head[terms[own]]] = weights[own]
+        dense = asked @ self.columns
+        return [self._nearest(t, w, dense[i], k, without[i] if without else -1) for i, (t, w) in enumerate(queries)]
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks with the greatest upper bounds (what the columns give the best of their examples, and the query's weights times the lists'
+        greatest weights there) come first; then, at once, all blocks whose bound reaches the k-th best cosine so far."""
         if not len(terms) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        bound = weights @ self.top[terms]
-        first = bound.argsort(kind="stable")[::-1][: self.step]
-        total = self._cosines(terms, weights, first)
-        if 0 <= without < self.n:
-            total[without] = 0.0
-        least = np.partition(total, -k)[-k] if len(total) > k else 0.0
-        more = bound > 0
-        if least > 0:
-            more &= bound >= least - 1e-12
-        more[first] = False
-        rest = np.flatnonzero(more)
-        if 4 * len(rest) > self.n_blocks:
-            total = self._all_cosines(terms, weights)
-        elif len(rest):
-            total += self._cosines(terms, weights, rest)
-        if 0 <= without < self.n:
+        total = dense.astype(np.float64)
+        lo = self.edges[terms]
+        sizes = self.edges[terms + 1] - lo
+        cells = _ranges(lo, sizes)
+        weight = np.repeat(weights, sizes)
+        at = self.cell_block[cells]
+        lists = np.bincount(at, weights=weight * self.top[cells], minlength=self.n_blocks)
+        bound = lists + total.reshape(self.n_blocks, self.block).max(1)
+
+        def add(chosen: np.ndarray) -> None:
+            own = chosen[at]
+            start = self.cell_starts[cells[own]]
+            size = self.cell_ends[cells[own]] - start
+            p = _ranges(start, size)
+            if len(p):
+                total[:] += np.bincount(self.owner[p], weights=np.repeat(weight[own], size) * self.weights[p], minlength=len(total))
+
+        def least() -> float:
+            seen = total if without < 0 else np.delete(total, without)
+            return float(np.partition(seen, -k)[-k]) if len(seen) > k else 0.0
+
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argpartition(bound, -min(self.step, self.n_blocks))[-min(self.step, self.n_blocks) :]] = True
+        add(first)
+        # a block without more in its lists is complete; float sums of bounds may round below the cosine
+        rest = ~first & (lists > 0) & (bound >= least() - 1e-5)
+        add(rest)
+        if without >= 0:
             total[without] = 0.0
-        least = np.partition(total, -k)[-k] if len(total) > k else 0.0
-        ids = np.flatnonzero((total > 0) & (total >= least))
+        # blocks that were passed over hold less than the k-th best, even with what their lists would add
+        floor = least()
+        ids = np.flatnonzero((total > 0) & (total >= floor))
         ids = ids[np.lexsort((ids, -total[ids]))][:k]
         return ids, total[ids]
 
-    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """The examples' cosines, 0 outside the blocks; the lists of all terms in them are gathered at once."""
-        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
-        lo = self.edges[cells]
-        sizes = self.edges[cells + 1] - lo
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(lo - (ends - sizes), sizes)
-        return np.bincount(self.owner[at], weights=np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at], minlength=self.n_blocks * self.block)
-
-    def _all_cosines(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The same from whole lists, for when most blocks are wanted."""
-        lo, hi = self.edges[terms * self.n_blocks].tolist(), self.edges[(terms + 1) * self.n_blocks].tolist()
-        owner = np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)])
-        product = np.concatenate([w * self.weights[a:b] for w, a, b in zip(weights.tolist(), lo, hi, strict=True)])
-        return np.bincount(owner, weights=product, minlength=self.n_blocks * self.block)
-
 
 @dataclass
 class Model:
-    chosen: dict[str, int]
-    idf: np.ndarray
+    vocabulary: np.ndarray  # sorted hashes of the examples' words
+    weight: np.ndarray
     index: BlockMaxIndex
     ids: np.ndarray
     toxic: np.ndarray
-    prior: float  # share of toxic examples among those without a chosen term
+    prior: float  # share of toxic examples among those without words
     steps: np.ndarray  # raw votes
     values: np.ndarray  # and what they mean
 
@@ -145,14 +166,26 @@ class Model:
         weight = 1 / (0.1 + np.arccos(np.clip(cosines, -1, 1)))
         return float((weight @ self.toxic[near] + self.prior) / (weight.sum() + 1))
 
-    def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        if not counts:
-            return self.prior, np.empty(0, np.int64), np.empty(0)
-        near, cosines = self.index.nearest(*vector(counts, self.idf), NEIGHBOURS)
-        if not len(near):
-            return self.prior, near, cosines
-        raw = self.raw(near, cosines)
-        return float(np.interp(raw, self.steps, self.values)) if len(self.steps) else raw, near, cosines
+    def score(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, neighbours, cosines) of each text's (terms, counts)."""
+        out = []
+        for at in range(0, len(counts), TOGETHER):
+            for near, cosines in self.index.search([(t, vector(t, c, self.weight)) for t, c in counts[at : at + TOGETHER]], NEIGHBOURS):
+                raw = self.raw(near, cosines) if len(near) else None
+                out.append((self.prior if raw is None else float(np.interp(raw, self.steps, self.values)) if len(self.steps) else raw, near, cosines))
+        return out
+
+
+#: The model that a worker holds, by the broadcast's number.
+_TERMS: dict[int, Terms] = {}
+MEMORIES["terms"] = _TERMS.clear
+
+
+def _terms(number: int, vocabulary: np.ndarray) -> Terms:
+    if number not in _TERMS:
+        _TERMS.clear()
+        _TERMS[number] = Terms(vocabulary)
+    return _TERMS[number]
 
 
 def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,118 +203,118 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0.0, steps, 1.0], np.clip(0.98 * np.r_[values[0], values, values[-1]] + 0.02 * np.r_[0.0, steps, 1.0], 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, max_terms: int = TERMS) -> Model:
-    """Chooses examples and terms, counts the terms in all documents, and builds the index.
+def relevance(n: np.ndarray, toxic: np.ndarray, examples: int, rate: float) -> np.ndarray:
+    """How much a term says about the label: the absolute log odds ratio of the toxic among the n examples that have it to all, shrunken by two examples at the overall rate."""
+    return np.abs(np.log((toxic + 2 * rate) / (n - toxic + 2 * (1 - rate))) - np.log(rate / (1 - rate)))
 
-    Of the labelled documents at most examples take part. Terms are counted over them in Spark; the max_terms that
-    point to the label most clearly (by their G2 statistic) span the space. Their document frequencies come from all of docs.
-    """
+
+def _examples(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> DataFrame:
+    """(id, y, text) of at most rows labelled documents with at most chars characters together, in the order of a hash of their id."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(examples)
-    own = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "y", "text")  # at most examples rows on one side
+    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    own = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id"))  # at most rows rows on one side
+    own = materialize(own.groupBy("id", "y").agg(F.max("text").alias("text")), "examples")
+    sizes = own.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("id"), "id").collect()  # at most rows rows
+    if sum(r["n"] for r in sizes) <= chars:
+        return own
+    kept, room = [], chars
+    for r in sizes:
+        room -= r["n"]
+        if room < 0:
+            break
+        kept.append((r["id"],))
+    return own.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long")), "id", "left_semi").select("id", "y", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Model:
+    """Chooses examples, counts the words of their texts in all documents, and builds the index.
+
+    Vectors hold every word of a text. A word weighs its inverse document frequency, over all of docs, times its relevance()
+    in the examples (delta TF-IDF): words that say nothing about the label count for little, but none is left out.
+    """
+    own = _examples(docs, labels, label, examples, chars)
 
-    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: dict[str, list[int]] = {}
-            docs_, toxic = 0, 0
-            for y, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                docs_ += 1
-                toxic += y
-                for t in {t for w in set(_WORD.findall((text.as_py() or "").lower())) for t in word_terms(w)}:
-                    c = count.setdefault(t, [0, 0])
-                    c[0] += 1
-                    c[1] += y
-            count[""] = [docs_, toxic]
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[0] for c in count.values()], pa.int64()), pa.array([c[1] for c in count.values()], pa.int64())], names=["term", "n", "t"])
-
-    counts = own.mapInArrow(terms_of, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    total = counts.where("term = ''").first()
-    n, t = (total["n"], total["t"]) if total else (0, 0)
-    empty = Model({}, np.empty(0), BlockMaxIndex([], 0), np.empty(0, np.int64), np.empty(0), (t + 0.5) / (n + 1) if n else 0.0, np.empty(0), np.empty(0))
-    if not n or not t or t == n:
-        return empty
-    # G2 of a term against the label, for terms that point to toxic
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, b = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double")
-    c, d = F.lit(float(t)) - a, F.lit(float(n - t)) - b
-    share = F.col("n") / F.lit(float(n))
-    g2 = 2 * (part(a, share * t) + part(b, share * (n - t)) + part(c, (1 - share) * t) + part(d, (1 - share) * (n - t)))
-    best = counts.where((F.col("term") != "") & (a / F.col("n") > t / n) & (F.col("t") >= 2)).select("term", g2.alias("g2")).where(F.col("g2") > LEAST_G2).orderBy(F.desc("g2"), "term").limit(max_terms).collect()
-    chosen = {r["term"]: i for i, r in enumerate(best)}
-    if not chosen:
-        return empty
+            hashes, counts = [], []
+            for text in batch.column(2):
+                words = np.array([_hash(w) for w in _WORD.findall((text.as_py() or "").lower())], np.uint64)
+                terms, n = np.unique(words, return_counts=True)
+                hashes.append(terms.view(np.int64))
+                counts.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "y", "terms", "counts"])
+
+    held = own.mapInArrow(tidy(example), "id long, y int, terms array<long>, counts array<int>").toArrow().sort_by("id")  # bounded by examples and chars
+    discard(own)
+    ids, y = held["id"].to_numpy(), held["y"].to_numpy().astype(float)
+    rate = float(y.mean()) if len(y) else 0.0
+    if not 0 < rate < 1:
+        return Model(np.empty(0, np.uint64), np.empty(0), BlockMaxIndex([], 0), np.empty(0, np.int64), np.empty(0), rate, np.empty(0), np.empty(0))
+    lists = [np.asarray(t, np.int64).view(np.uint64) for t in held["terms"].to_numpy()]
+    counts = [np.asarray(c) for c in held["counts"].to_numpy()]
+    vocabulary, place = np.unique(np.concatenate(lists), return_inverse=True)
+    terms = np.split(place, np.cumsum([len(t) for t in lists])[:-1])
+    n = np.bincount(place, minlength=len(vocabulary)).astype(float)
+    toxic = np.bincount(place, weights=np.repeat(y, [len(t) for t in terms]), minlength=len(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    number = shared._jbroadcast.id()
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(chosen)
-        df = np.zeros(len(chosen) + 1, np.int64)
+        words = _terms(number, shared.value)
+        df = np.zeros(len(words.vocabulary) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 df[-1] += 1
-                df[list(terms.count(text.as_py() or ""))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["i", "n"])
-
-    rows = docs.select("text").mapInArrow(frequency, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()  # max_terms + 1 rows
-    df = np.zeros(len(chosen) + 1)
-    for r in rows:
-        df[r["i"]] = r["n"]
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3
-
-    def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(chosen)
-        for batch in batches:
-            found = [terms.count(x.as_py() or "") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "y", "terms", "counts"])
-
-    held = sorted(own.mapInArrow(example, "id long, y int, terms array<int>, counts array<int>").collect(), key=lambda r: r["id"])
-    bare = [r["y"] for r in held if not r["terms"]]
-    with_terms = [(r["id"], r["y"], vector(Counter(dict(zip(r["terms"], r["counts"], strict=True))), idf)) for r in held if r["terms"]]
+                df[words.count(text.as_py() or "")[0]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["i", "n"])
+
+    found = docs.select("text").mapInArrow(tidy(frequency, "terms"), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the examples at most
+    df = np.zeros(len(vocabulary) + 1)
+    df[found["i"].to_numpy()] = found["n"].to_numpy()
+    weight = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3) * (relevance(n, toxic, len(y), rate) + 1e-3)
+    shared.unpersist()
+    bare = [v for v, t in zip(y, terms, strict=True) if not len(t)]
+    vectors = [(i, v, t, vector(t, c, weight)) for i, v, t, c in zip(ids, y, terms, counts, strict=True) if len(t)]
     # neighbours in the index share their heaviest terms, so that the bounds of blocks differ
-    with_terms.sort(key=lambda r: (int(r[2][0][np.argmax(r[2][1])]), r[0]))
-    prior = (sum(bare) + 0.5 * t / n) / (len(bare) + 0.5)
-    index = BlockMaxIndex([v for _, _, v in with_terms], len(chosen))
-    model = Model(chosen, idf, index, np.array([i for i, _, _ in with_terms], np.int64), np.array([y for _, y, _ in with_terms], float), prior, np.empty(0), np.empty(0))
-    step = max(1, len(with_terms) // CALIBRATED)
-    raw, y = [], []
-    for i in range(0, len(with_terms), step):
-        near, cosines = index.nearest(*with_terms[i][2], NEIGHBOURS, without=i)
-        raw.append(model.raw(near, cosines) if len(near) else prior)
-        y.append(with_terms[i][1])
-    model.steps, model.values = _calibrate(np.array(raw), np.array(y, float))
+    vectors.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[0]))
+    prior = (sum(bare) + 0.5 * rate) / (len(bare) + 0.5)
+    index = BlockMaxIndex([(t, w) for *_, t, w in vectors], len(vocabulary))
+    model = Model(vocabulary, weight, index, np.array([r[0] for r in vectors], np.int64), np.array([r[1] for r in vectors], float), prior, np.empty(0), np.empty(0))
+    asked = list(range(0, len(vectors), max(1, -(-len(vectors) // CALIBRATED))))
+    raw = []
+    for at in range(0, len(asked), TOGETHER):
+        part = asked[at : at + TOGETHER]
+        raw += [model.raw(*x) if len(x[0]) else prior for x in index.search([vectors[i][2:] for i in part], NEIGHBOURS, part)]
+    model.steps, model.values = _calibrate(np.array(raw), np.array([vectors[i][1] for i in asked]))
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, max_terms: int = TERMS, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted, evidence) of each row of docs (doc_id, text), from nothing but its text.
 
     score is the calibrated vote of the nearest labelled examples, evidence their doc_id, label and cosine, nearest first.
-    The model is bounded by examples and max_terms, so it can go to the documents, which are not shuffled.
+    The model is bounded by the examples and their characters, so it can be broadcast to the documents, which are not shuffled.
 
-    A text without any chosen term, empty and null ones included, has no neighbours and gets the share of toxic examples among those without such a term.
-    Without labels of both kinds all get that share (0 without any). Repeated labels: toxic if one says so. Repeated rows are scored each.
+    A text without any word of an example, empty and null ones included, has no neighbours and gets the share of toxic examples among those without words.
+    Without labels of both kinds all get that label's share (0 without any). Repeated labels: toxic if one says so. Repeated rows are scored each.
     Empty table: no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    model = fit(docs, labels, label, examples, max_terms)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, examples))
+    number = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(model.chosen)
-        known: dict[tuple, tuple] = {}  # many texts have the same few terms
-        evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-        for batch in batches:
-            scores, found = [], []
-            for text in batch.column(1):
-                counts = terms.count(text.as_py() or "")
-                key = tuple(sorted(counts.items())) if len(counts) <= VECTOR_TERMS else None
-                answer = known.get(key)
-                if answer is None:
-                    answer = model.score(counts)
-                    if key is not None:
-                        if len(known) >= VECTORS:
-                            known.clear()
-                        known[key] = answer
-                s, near, cosines = answer
-                scores.append(min(1.0, max(0.0, s)))
-                found.append([{"doc_id": int(model.ids[i]), "toxic": int(model.toxic[i]), "cosine": float(c)} for i, c in zip(near[:3], cosines[:3], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(found, evidence)], names=["doc_id", "score", "predicted", "evidence"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+        model = shared.value
+        terms = _terms(number, model.vocabulary)
+        evidence = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                answers = model.score([terms.count(text.as_py() or "") for text in batch.column(1)])
+                scores = np.array([min(1.0, max(0.0, s)) for s, *_ in answers])
+                near = np.concatenate([a[1] for a in answers])
+                parts = [pa.array(model.ids[near]), pa.array(model.toxic[near].astype(np.int32)), pa.array(np.concatenate([a[2] for a in answers]))]
+                found = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(a[1]) for a in answers])].astype(np.int32), pa.StructArray.from_arrays(parts, fields=list(evidence)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), found], names=["doc_id", "score", "predicted", "evidence"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, "terms"), "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import broadcast_if_small, materialize, new_path
+from .common import broadcast_if_small, materialize, new_path, tidy
 
 #: Bytes of an archive file after which the next one begins; a single larger capture has a file of its own.
 ARCHIVE_BYTES = 8 << 20
@@ -119,7 +119,7 @@ def write(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED, archive
         if held:
             yield full()
 
-    blobs = marked.mapInArrow(archives, "value binary").select(F.col("value").cast("string").alias("value"))
+    blobs = marked.mapInArrow(tidy(archives), "value binary").select(F.col("value").cast("string").alias("value"))
     blobs.write.option("lineSep", "\r\n").option("maxRecordsPerFile", 1).option("compression", compression).text(path)
 
 
@@ -168,7 +168,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    found = files.mapInArrow(parse, schema)
+    found = files.mapInArrow(tidy(parse), schema)
     of = lambda *kinds: found.where(F.col("kind").isin(*kinds))
     main = of("response", "revisit").groupBy("id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("kind", "target", "digest", "refers", "bytes", *(["payload"] if with_payload else []))])
     request = of("request").groupBy("main").agg(F.first(F.struct("id", "method", F.col("target").alias("url"))).alias("request")).withColumnRenamed("main", "r_main")
