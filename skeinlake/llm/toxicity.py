@@ -16,11 +16,11 @@ from ..runtime import ship
 from .common import MEMORIES, discard, materialize, tidy
 
 #: Labelled examples in the index, at most, and their characters together, at most; which ones follows a hash of doc_id.
-EXAMPLES, EXAMPLE_CHARS = 20_000, 80_000_000
+EXAMPLES, EXAMPLE_CHARS = 8000, 40_000_000
 #: Examples in a block of the index.
 BLOCK = 64
 #: Terms of more than this share of the examples are held as columns rather than as lists.
-COMMON = 0.125
+COMMON = 0.03
 NEIGHBOURS = 15
 #: Examples that are scored against the others for calibration, at most.
 CALIBRATED = 4000
@@ -93,10 +93,10 @@ class BlockMaxIndex:
         order = np.lexsort((owner, terms))
         self.owner, self.weights, terms = owner[order], weights[order], terms[order]
         cell = terms * max(1, self.n_blocks) + self.owner // block
-        self.cell_starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
-        self.cell_ends = np.r_[self.cell_starts[1:], len(cell)] if len(cell) else np.empty(0, np.int64)
-        self.top = np.maximum.reduceat(self.weights, self.cell_starts) if len(cell) else np.empty(0, np.float32)
-        first = cell[self.cell_starts] if len(cell) else np.empty(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+        self.top = np.maximum.reduceat(self.weights, starts) if len(cell) else np.empty(0, np.float32)
+        first = cell[starts]
+        self.cell_starts = np.r_[starts, len(cell)].astype(np.int32)  # a cell ends where the next one starts
         self.cell_block = (first % max(1, self.n_blocks)).astype(np.int32)
         self.edges = np.searchsorted(first // max(1, self.n_blocks), np.arange(n_terms + 1))  # a term's cells
 
@@ -125,8 +125,9 @@ class BlockMaxIndex:
 
         def add(chosen: np.ndarray) -> None:
             own = chosen[at]
-            start = self.cell_starts[cells[own]]
-            size = self.cell_ends[cells[own]] - start
+            chosen_cells = cells[own]
+            start = self.cell_starts[chosen_cells].astype(np.int64)
+            size = self.cell_starts[chosen_cells + 1] - start
             p = _ranges(start, size)
             if len(p):
                 total[:] += np.bincount(self.owner[p], weights=np.repeat(weight[own], size) * self.weights[p], minlength=len(total))
@@ -154,13 +155,26 @@ class BlockMaxIndex:
 class Model:
     vocabulary: np.ndarray  # sorted hashes of the examples' words
     weight: np.ndarray
-    index: BlockMaxIndex
+    sizes: np.ndarray  # terms of each example
+    terms: np.ndarray  # of all examples in turn
+    counts: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     prior: float  # share of toxic examples among those without words
     steps: np.ndarray  # raw votes
     values: np.ndarray  # and what they mean
 
+    def __post_init__(self):
+        ends = np.cumsum(self.sizes)[:-1]
+        pairs = zip(np.split(self.terms, ends), np.split(self.counts, ends), strict=True) if len(self.sizes) else ()
+        self.vectors = [(t, vector(t, c, self.weight)) for t, c in pairs]
+        self.index = BlockMaxIndex(self.vectors, len(self.vocabulary))
+
+    def __reduce__(self):
+        """Terms as packed differences; the index is made again where it is used."""
+        packed = [(pa.compress(x.astype(np.int32).tobytes(), codec="zstd", asbytes=True), len(x)) for x in (np.diff(self.terms, prepend=0), self.counts)]
+        return _unpack, (*packed, self.vocabulary, self.weight, self.sizes, self.ids, self.toxic, self.prior, self.steps, self.values)
+
     def raw(self, near: np.ndarray, cosines: np.ndarray) -> float:
         """Votes weighted by the cosine's angle distance, with one vote for the prior."""
         weight = 1 / (0.1 + np.arccos(np.clip(cosines, -1, 1)))
@@ -176,7 +190,12 @@ class Model:
         return out
 
 
-#: The model that a worker holds, by the broadcast's number.
+def _unpack(terms: tuple[bytes, int], counts: tuple[bytes, int], vocabulary: np.ndarray, weight: np.ndarray, sizes: np.ndarray, *rest) -> Model:
+    differences, held = (np.frombuffer(pa.decompress(b, 4 * n, codec="zstd", asbytes=True), np.int32).astype(np.int64) for b, n in (terms, counts))
+    return Model(vocabulary, weight, sizes, np.cumsum(differences), held, *rest)
+
+
+#: The words that a worker knows, by the broadcast's number.
 _TERMS: dict[int, Terms] = {}
 MEMORIES["terms"] = _TERMS.clear
 
@@ -249,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     ids, y = held["id"].to_numpy(), held["y"].to_numpy().astype(float)
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
-        return Model(np.empty(0, np.uint64), np.empty(0), BlockMaxIndex([], 0), np.empty(0, np.int64), np.empty(0), rate, np.empty(0), np.empty(0))
+        none = np.empty(0, np.int64)
+        return Model(np.empty(0, np.uint64), np.empty(0), none, none, none, none, np.empty(0), rate, np.empty(0), np.empty(0))
     lists = [np.asarray(t, np.int64).view(np.uint64) for t in held["terms"].to_numpy()]
     counts = [np.asarray(c) for c in held["counts"].to_numpy()]
     vocabulary, place = np.unique(np.concatenate(lists), return_inverse=True)
@@ -275,18 +295,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     weight = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3) * (relevance(n, toxic, len(y), rate) + 1e-3)
     shared.unpersist()
     bare = [v for v, t in zip(y, terms, strict=True) if not len(t)]
-    vectors = [(i, v, t, vector(t, c, weight)) for i, v, t, c in zip(ids, y, terms, counts, strict=True) if len(t)]
+    with_words = [i for i, t in enumerate(terms) if len(t)]
     # neighbours in the index share their heaviest terms, so that the bounds of blocks differ
-    vectors.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[0]))
+    with_words.sort(key=lambda i: (int(terms[i][np.argmax(vector(terms[i], counts[i], weight))]), ids[i]))
     prior = (sum(bare) + 0.5 * rate) / (len(bare) + 0.5)
-    index = BlockMaxIndex([(t, w) for *_, t, w in vectors], len(vocabulary))
-    model = Model(vocabulary, weight, index, np.array([r[0] for r in vectors], np.int64), np.array([r[1] for r in vectors], float), prior, np.empty(0), np.empty(0))
-    asked = list(range(0, len(vectors), max(1, -(-len(vectors) // CALIBRATED))))
+    all_terms, all_counts = (np.concatenate([x[i] for i in with_words] or [np.empty(0, np.int64)]).astype(np.int64) for x in (terms, counts))
+    model = Model(vocabulary, weight, np.array([len(terms[i]) for i in with_words], np.int64), all_terms, all_counts, ids[with_words], y[with_words], prior, np.empty(0), np.empty(0))
+    asked = list(range(0, len(with_words), max(1, -(-len(with_words) // CALIBRATED))))
     raw = []
     for at in range(0, len(asked), TOGETHER):
         part = asked[at : at + TOGETHER]
-        raw += [model.raw(*x) if len(x[0]) else prior for x in index.search([vectors[i][2:] for i in part], NEIGHBOURS, part)]
-    model.steps, model.values = _calibrate(np.array(raw), np.array([vectors[i][1] for i in asked]))
+        raw += [model.raw(*x) if len(x[0]) else prior for x in model.index.search([model.vectors[i] for i in part], NEIGHBOURS, part)]
+    model.steps, model.values = _calibrate(np.array(raw), model.toxic[asked])
     return model
 
 
