@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 #: Characters of benchmark text that one pass over the documents looks for; a larger benchmark takes several passes.
 BLOCK_CHARS = 16 << 20
 SEED_WORDS = 4
-#: Items of fewer words can't be told from chance and are not looked for.
-LEAST_WORDS = 8
+#: Items of fewer words than a seed can't be told from chance and are not looked for;
+LEAST_WORDS = SEED_WORDS
+#: those of fewer words than this count only where all of their words stand in their order.
+SHORT_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score that an alignment reaches at least.
 THRESHOLD = 0.5
@@ -149,18 +151,19 @@ def find(items: Items, text: str, distinct: np.ndarray, threshold: float = THRES
     for i, f, t in zip(own.tolist(), first, [*first[1:], len(owner)], strict=True):
         item = items.texts[i]
         m = len(item)
-        if not rare[f:t].any() and not _enough(present[item], threshold):
+        needed = 1.0 if m < SHORT_WORDS else threshold
+        if not rare[f:t].any() and not _enough(present[item], needed):
             continue
         best = (0, 0, 0)
         edges = [f, *(np.flatnonzero(np.diff(begins[f:t]) > m) + f + 1), t]
         for x, y in pairwise(edges):
             lo, hi = max(0, int(begins[x]) - m // 2), min(len(numbers), int(begins[y - 1]) + m + m // 2 + 1)
-            if not rare[x:y].any() and not _enough(np.isin(item, numbers[lo:hi]), threshold):
+            if not rare[x:y].any() and not _enough(np.isin(item, numbers[lo:hi]), needed):
                 continue
             score, end = local_alignment(item, numbers[lo:hi])
             if score > best[0]:
                 best = (score, lo, lo + end)
-        if best[0] >= threshold * MATCH * m:
+        if best[0] >= needed * MATCH * m:
             back, length = local_alignment(item[::-1], numbers[best[1] : best[2]][::-1])
             spans = spans or [w.span() for w in _WORD.finditer(text.lower())]
             first = best[2] - length if back == best[0] else best[1]
@@ -203,7 +206,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
     A document never leaves its row: the block's items go to the documents, with their bounded size, and no document is shuffled.
 
-    Null or empty text: no hits. Long texts are searched whole. Null item_id or text, and items of fewer than LEAST_WORDS words, are not looked for;
+    Null or empty text: no hits. Long texts are searched whole. Null item_id or text, and items of fewer than LEAST_WORDS words, are not looked for; those of fewer than SHORT_WORDS must be there unaltered;
     repeated items count once. Empty benchmark: no hits anywhere. Other columns stay as they are.
     """
     ship(docs.sparkSession)

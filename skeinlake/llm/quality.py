@@ -114,7 +114,7 @@ def _strength(groups: DataFrame, parent: Column) -> float:
 
 
 def site_rates(evidence: DataFrame, rate: float) -> DataFrame:
-    """(host, path, host_rate, path_rate) from (host, path, llr): path posteriors shrunk to their host's, hosts' to the whole corpus's.
+    """(host, path, host_rate, path_rate, weight) from (host, path, llr): path posteriors shrunk to their host's, hosts' to the whole corpus's.
 
     One grouped aggregation over the documents with partial sums before the shuffle; the rest works on its result.
     """
@@ -127,7 +127,14 @@ def site_rates(evidence: DataFrame, rate: float) -> DataFrame:
     hosts = hosts.withColumn("host_rate", (F.col("good") + k * mu) / (F.col("n") + k)).select(F.col("host").alias("h"), "host_rate")
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     k = _strength(both, F.col("host_rate"))
-    return materialize(both.select("host", "path", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "rates")
+    weight = F.col("n") + F.lit(k)
+    return materialize(both.select("host", "path", "host_rate", ((F.col("good") + k * F.col("host_rate")) / weight).alias("path_rate"), weight.alias("weight")), "rates")
+
+
+def _others(rate: float) -> Column:
+    """The section's posterior from all documents but the row's own, whose evidence would count twice otherwise."""
+    own = 1 / (1 + F.exp(-(F.col("_q_llr") + F.lit(float(np.log(rate / (1 - rate)))))))
+    return (F.col("_q_path_rate") * F.col("_q_weight") - own) / (F.col("_q_weight") - 1)
 
 
 def _posterior() -> Column:
@@ -143,13 +150,13 @@ def _with_scores(docs: DataFrame, labels: DataFrame, host: str, path: str, text:
     rates = site_rates(own.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col("_q_llr").alias("llr")), model.rate)
     rates = broadcast_if_small(rates.select(*[F.col(c).alias(f"_q_{c}") for c in rates.columns]))
     joined = own.join(rates, F.col(host).eqNullSafe(F.col("_q_host")) & F.col(path).eqNullSafe(F.col("_q_path")))
-    return joined.withColumn("_q_score", _posterior())
+    return joined.withColumn("_q_path_rate", _others(model.rate)).withColumn("_q_score", _posterior())
 
 
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, llr, host_rate, path_rate, score, keep) of each row of docs.
 
-    llr is the document classifier's evidence, host_rate and path_rate the posteriors of the site and of its section,
+    llr is the document classifier's evidence, host_rate and path_rate the posteriors of the site and, from its other documents, of its section,
     score the posterior probability that the document is good, keep whether that reaches threshold.
 
     Null or empty text: no evidence (llr 0), so the section's rate decides. Null host or path: a site of its own. Repeated rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from ..runtime import ship
 from .common import MEMORIES, discard, materialize, tidy
 
 #: Labelled examples in the index, at most, and their characters together, at most; which ones follows a hash of doc_id.
-EXAMPLES, EXAMPLE_CHARS = 8000, 40_000_000
+EXAMPLES, EXAMPLE_CHARS = 6000, 40_000_000
 #: Examples in a block of the index.
 BLOCK = 64
 #: Terms of more than this share of the examples are held as columns rather than as lists.
@@ -27,7 +28,7 @@ CALIBRATED = 4000
 #: Texts that are scored together.
 TOGETHER = 128
 #: Words that a worker remembers with their terms; the memory is emptied when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 _WORD = re.compile(r"\w+")
 
@@ -43,21 +44,27 @@ class Terms(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = np.uint64(_hash(word))
-        at = int(np.searchsorted(self.vocabulary, h))
-        found = self[word] = at if at < len(self.vocabulary) and self.vocabulary[at] == h else -1
-        return found
+    def learn(self, words: list[str]) -> None:
+        hashes = np.fromiter(map(_hash, words), np.uint64, len(words))
+        at = np.searchsorted(self.vocabulary, hashes)
+        found = np.zeros(len(words), bool)
+        inside = np.flatnonzero(at < len(self.vocabulary))
+        found[inside] = self.vocabulary[at[inside]] == hashes[inside]
+        self.update(zip(words, np.where(found, at, -1).tolist(), strict=True))
 
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, counts) of a text, as far as the vocabulary has them."""
-        words = _WORD.findall(text.lower())
-        own = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        terms, counts = np.unique(own, return_counts=True)
-        known = np.searchsorted(terms, 0)
-        return terms[known:], counts[known:]
+        words = Counter(_WORD.findall(text.lower()))
+        if new := [w for w in words if w not in self]:
+            if len(self) + len(new) > REMEMBERED:
+                self.clear()
+                new = list(words)
+            self.learn(new)
+        terms = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        counts = np.fromiter(words.values(), np.int64, len(words))
+        known = np.flatnonzero(terms >= 0)
+        order = known[np.argsort(terms[known])]
+        return terms[order], counts[order]
 
 
 def vector(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:

@@ -403,6 +403,22 @@ def test_style_tree_finds_what_a_site_repeats(spark):
         assert "Everywhere" not in t["text"] and t["text"].startswith("wort")
 
 
+def test_marks_of_what_a_page_has_are_no_noise():
+    wrapped = "<body class='has-sidebar comments-open'><div class='with-sidebar no-ads nav-open'><article><header class='entry-header'><h1>Title</h1></header><p title=\"x>one</p><p>two</p><div class='share-bar'>s</div></article></div><div class='sidebar-left'>w</div></body>"
+    assert html_text.page_text(wrapped) == "Title\none\ntwo"
+    assert html_text.page_text("<div class=sidebar><article><p>x</p></article></div><section class=comments><article class=comment>c</article></section>") == "x"
+
+
+def test_the_tree_decides_in_main_elements_too(spark):
+    r = random.Random(4)
+    shared = prose(r, 15)
+    rows = [(i, f"http://site/{i}", f"<body><article><h1>{prose(r, 4)}</h1><p>{shared}</p><p>{prose(r, 12)}</p><div class='xk'>Read on in our shop</div></article></body>") for i in range(30)]
+    rows += [(100 + i, "http://copies/", "<article><div class='q'>one and the same</div></article>") for i in range(30)]
+    got = {t["page_id"]: t["text"] for t in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("shop" not in got[i] and shared in got[i] and len(got[i].split("\n")) == 3 for i in range(30))
+    assert {got[100 + i] for i in range(30)} == {"one and the same"}
+
+
 # URLs
 
 
@@ -470,3 +486,17 @@ def test_stages_leave_columns_of_clashing_names_alone(spark):
 def test_materialize_reads_back(spark):
     df = materialize(spark.range(5), "t")
     assert df.count() == 5
+
+
+def test_short_benchmark_items_must_stand_unaltered(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "one two three")], "item_id long, text string")
+    docs = documents(spark, [(1, "so Alpha beta, gamma delta epsilon then"), (2, "alpha beta gamma delta zeta"), (3, "one two three"), (4, None)])
+    assert {r["doc_id"]: r["contaminated"] for r in decontamination.flag(docs, items).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_a_document_alone_in_its_section_has_its_sites_rate(spark):
+    rows = [(i, "Good words stand here in a line of text. " * 3 if i % 3 else "!! bad %% && ## !! bad ** $$ !!" * 3, "x", "host") for i in range(60)] + [(100, "Good words stand here in a line of text.", "only", "host")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], LABELS)
+    got = {r["doc_id"]: r for r in quality.score(documents(spark, rows), labels).collect()}
+    assert abs(got[100]["path_rate"] - got[100]["host_rate"]) < 1e-9
+    assert all(got[i]["keep"] == (i % 3 > 0) for i in range(60))
