@@ -412,12 +412,29 @@ def _classes(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links), "classes")
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column those whose value another row has; a value that stands once, as most do, goes no further."""
+    last, told = None, False  # the row before this batch, and whether it has been given
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = batch if last is None else pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(last.columns, batch.columns, strict=True)], names=batch.schema.names)
+        value = table.column(0).to_numpy()
+        same = value[1:] == value[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        here = bool(keep[-1])
+        if told:
+            keep[0] = False
+        last, told = table.slice(table.num_rows - 1), here
+        yield table.filter(pa.array(keep))
+
+
 def _meetings(docs: DataFrame, outside: DataFrame, placed: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(set_id, block) of the blocks in which a set of outside shares a signature with some set: similar sets do (see signatures())."""
     rows = placed.count()
-    named = placed.select("rep", "set_id", "component", "block")
+    named = placed.select("rep", "set_id", "block")
     named = F.broadcast(named) if rows <= BROADCAST_ROWS else named
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "block")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
@@ -428,10 +445,14 @@ def _meetings(docs: DataFrame, outside: DataFrame, placed: DataFrame, n: int, nu
             sig = np.concatenate(sigs).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig), *(c.take(pa.array(at)) for c in batch.columns[1:])], names=["sig", *batch.schema.names[1:]])
 
-    listed = materialize(texts.mapInArrow(tidy(run, "words"), "sig long, set_id long, component long, block int"), "listed")
-    there = listed.groupBy("component", "sig").agg(F.collect_set("block").alias("there"))
-    asked = listed.join(outside.select(F.col("set_id").alias("o")), F.col("set_id") == F.col("o"), "left_semi")
-    return asked.join(there, ["component", "sig"]).select("set_id", F.explode("there").alias("block")).distinct()
+    schema = "sig long, set_id long, block int"
+    listed = texts.mapInArrow(tidy(run, "words"), schema).repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(_repeated), schema)
+    listed = materialize(listed, "listed")
+    there = listed.groupBy("sig").agg(F.collect_set("block").alias("there"))
+    asked = listed.join(outside.select(F.col("set_id").alias("o")), F.col("set_id") == F.col("o"), "left_semi").select("sig", "set_id")
+    met = materialize(asked.join(there, "sig").select("set_id", F.explode("there").alias("block")).distinct(), "met")
+    discard(listed)
+    return met
 
 
 def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), block_grams: int = BLOCK_GRAMS, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -478,12 +499,13 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
         state = materialize(state.join(main, F.col("component") == F.col("g")), "state")
         outside = state.where("class <> main")
         if not outside.isEmpty():
-            meet = _meetings(docs, outside, state, n, num, den).select(F.col("set_id").alias("s"), F.col("block").alias("other"))
+            met = _meetings(docs, outside, state, n, num, den)
+            meet = met.select(F.col("set_id").alias("s"), F.col("block").alias("other"))
             guests = outside.join(meet, F.col("set_id") == F.col("s")).where("other <> block").withColumn("block", F.col("other"))
             members = state.withColumn("asked", F.col("class") != F.col("main")).withColumn("guest", F.lit(False)).select(*cols)
             members = materialize(members.unionByName(guests.withColumn("asked", F.lit(True)).withColumn("guest", F.lit(True)).select(*cols)), "members")
             more = materialize(_links(docs, members, n, num, den, only_asked=True), "links")
-            discard(members, classes)
+            discard(members, classes, met)
             classes = _classes(links.unionByName(more))
             discard(more)
         discard(state)

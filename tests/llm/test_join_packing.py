@@ -95,6 +95,18 @@ def test_large_groups_of_few_links_cut_into_blocks(spark, block_sets):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 6, 10)
 
 
+def test_repeated_values_across_batches():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    for _ in range(100):
+        values = sorted(r.choices(range(12), k=r.randint(0, 20)))
+        cuts = sorted(r.choices(range(len(values) + 1), k=3))
+        parts = [values[a:b] for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
+        got = [x for b in ngram_join._repeated(pa.RecordBatch.from_arrays([pa.array(p, pa.int64())], names=["v"]) for p in parts) for x in b.column(0).to_pylist()]
+        assert got == [v for v in values if values.count(v) > 1]
+
+
 def test_merge_skip_equals_counting():
     r = random.Random(7)
     for _ in range(200):
