@@ -368,9 +368,9 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, only
 
     A task reads its blocks as a sorted stream: it holds the sets of one block, and of the guests one Arrow batch at a time.
     """
-    rows = members.count()
-    members = F.broadcast(members) if rows <= BROADCAST_ROWS else members
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "block", "asked", "guest")
+    # a text is hashed once, however many blocks its set visits
+    members = members.groupBy("rep", "set_id", "component").agg(F.collect_list(F.struct("block", "asked", "guest")).alias("places"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "places")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
@@ -399,7 +399,8 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, only
         if block is not None:
             yield _pairs(block.own_links(only_asked))
 
-    held = texts.mapInArrow(tidy(sets, "words"), "grams binary, set_id long, component long, block int, asked boolean, guest boolean")
+    held = texts.mapInArrow(tidy(sets, "words"), "grams binary, set_id long, component long, places array<struct<block:int,asked:boolean,guest:boolean>>")
+    held = held.withColumn("p", F.explode("places")).select("grams", "set_id", "component", "p.block", "p.asked", "p.guest")
     return held.repartition("component", "block").sortWithinPartitions("component", "block", "guest", "set_id").mapInArrow(tidy(link, "words"), "u long, v long")
 
 
