@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,9 +72,16 @@ def path_hints(url: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike("|".join(p)), k) for k, p in PATH_HINTS.items()]))
 
 
-#: weight, reason, what is looked at, pattern
+#: Forms of credentials in search results.
+CREDENTIALS = (
+    r"\bAKIA[0-9A-Z]{16}\b", r"(?i)\b(?:ghp|github_pat|glpat)-[A-Za-z0-9_-]{16,}\b", r"(?i)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", r"(?i)\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
+    r"(?i)\b(?:api[_-]?key|access[_-]?token|client[_-]?secret|password|passwd|authorization)\b\s*[:=]\s*['\"]?[^\s'\",;<>]{4,}",
+)
+#: Weight, reason, what is looked at, pattern; the signals of one reason count once.
 SIGNALS = (
     (5, "sensitive file", "path", r"(?:^|/)(?:\.env|\.git(?:/|$)|\.svn(?:/|$)|[^/]+\.(?:sql|bak|backup|old|dump|pem|key|p12|pfx|log|conf|ini|yml|yaml|cfg))(?:$|/)"),
+    *((6, "credential", "raw", p) for p in CREDENTIALS),
+    (5, "directory listing", "title", r"index of|directory listing|parent directory"),
     (5, "directory listing", "path", r"(?:^|/)(?:index\.of|directory|listing)(?:/|$)"),
     (3, "api documentation", "path", r"(?:^|/)(?:swagger(?:-ui)?|api-docs|openapi(?:\.json)?|graphql|graphiql)(?:/|$)"),
     (4, "diagnostics", "path", r"(?:^|/)(?:phpinfo(?:\.php)?|server-status|server-info|debug|\.git)(?:/|$)"),
@@ -80,10 +90,14 @@ SIGNALS = (
 )
 
 
-def search_score(link: Column, text: Column) -> Column:
+def search_score(link: Column, text: Column, title: Column | None = None) -> Column:
     """struct(score, confidence, reason) of a search result: weights of its signals, 10 at most; the first one is the reason."""
-    path, low = F.lower(u.path(link)), F.lower(text)
-    found = F.array_compact(F.array(*[F.when((path if on == "path" else low).rlike(p), F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"))) for w, r, on, p in SIGNALS]))
+    title = F.lit("") if title is None else F.coalesce(title, F.lit(""))
+    raw = F.concat_ws(" ", title, text)
+    seen = {"path": F.lower(u.path(link)), "title": F.lower(title), "text": F.lower(raw), "raw": raw}
+    reasons = dict.fromkeys((r, w) for w, r, *_ in SIGNALS)
+    holds = {r: reduce(or_, [seen[on].rlike(p) for _, reason, on, p in SIGNALS if reason == r]) for r, _ in reasons}
+    found = F.array_compact(F.array(*[F.when(holds[r], F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"))) for r, w in reasons]))
     score = F.least(F.lit(10), F.aggregate(found, F.lit(0), lambda a, x: a + x["w"]))
     return F.struct(score.alias("score"), F.when(score >= 6, "high").when(score >= 3, "medium").otherwise("low").alias("confidence"), F.coalesce(F.try_element_at(found, F.lit(1))["r"], F.lit("in scope")).alias("reason"))
 

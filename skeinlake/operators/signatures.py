@@ -32,6 +32,7 @@ ERRORS = (
     ("PHP Fatal Error", r"Fatal error:.+in .+\.php on line \d+"), ("PHP Warning", r"<b>Warning</b>:.+on line <b>\d+</b>"), ("Rails Error", r"ActiveRecord::\w+Error|ActionController::\w+Error"), ("Django Error", r"django\.core\.exceptions|Django Version:"),
     ("Oracle Error", r"ORA-\d{5}:"), ("MySQL Error", r"You have an error in your SQL syntax|MySQL server version"), ("MSSQL Error", r"Microsoft OLE DB Provider for SQL Server"), ("PostgreSQL Error", r"pg_query\(\)|ERROR:  syntax error at or near"),
     ("MongoDB Error", r"MongoError:|MongoServerError:"), ("PDO SQL Error", r"SQLSTATE\["), ("Node.js Error", r"Error: Cannot find module|UnhandledPromiseRejection"),
+    ("Spring Boot Error", r"org\.springframework\.|java\.lang\.\w+Exception"),
 )
 LISTING = ("Index of /", "Directory listing for", "Parent Directory", "[PARENTDIR]", "<title>Index of", "Last modified</a>")
 METHODS = ("PUT", "DELETE", "TRACE", "CONNECT")

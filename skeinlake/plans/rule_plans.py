@@ -143,9 +143,15 @@ def agg_15_simhash(spark, d):
     return web.with_simhash(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "simhash")
 
 
-@query("SELECT page_id, 'see ' || CASE WHEN instr(url, '?') > 0 THEN NULL ELSE url END AS safe FROM pages WHERE instr(url, '?') = 0")
+#: The names of the pages' query parameters are plain, so that a twin can hide their values with one pattern; a query without = and a fragment behind it are told apart.
+_REDACTED = "CASE WHEN instr(url, '?') = 0 THEN url WHEN instr(split_part(split_part(url, '#', 1), '?', 2), '=') = 0 THEN split_part(url, '?', 1) || '?query=%5BREDACTED%5D' ELSE regexp_replace(split_part(url, '#', 1), '([?&])([A-Za-z0-9_.~-]+)=[^&]*', '\\1\\2=%5BREDACTED%5D', 'g') END"
+
+
+@query(f"SELECT page_id, 'see ' || {_REDACTED.replace('url', 'u')} || ' and token=<redacted>' AS safe FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '?a=' || page_id || '&b_c=x%20y' WHEN 1 THEN '?plain' WHEN 2 THEN '?q=1#part' ELSE '' END AS u FROM pages WHERE instr(url, '?') = 0 AND instr(url, '#') = 0) UNION ALL SELECT page_id, 'see ' || {_REDACTED} || ' and token=<redacted>' FROM pages WHERE instr(url, '?') > 0 OR instr(url, '#') > 0")
 def fn_01_redact(spark, d):
-    rows = table(spark, d, "pages").where("instr(url, '?') = 0").select("page_id", F.concat(F.lit("see "), "url").alias("t"))
+    k, plain = F.col("page_id") % 4, (F.instr("url", "?") == 0) & (F.instr("url", "#") == 0)
+    tail = F.when(~plain, "").when(k == 0, F.concat(F.lit("?a="), F.col("page_id").cast("string"), F.lit("&b_c=x%20y"))).when(k == 1, "?plain").when(k == 2, "?q=1#part").otherwise("")
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("see "), "url", tail, F.lit(" and token: abcdef")).alias("t"))
     return web.with_redacted(rows, "t", "safe").select("page_id", "safe")
 
 
@@ -166,10 +172,9 @@ def snk_04_csv(spark, d):
     return sinks.findings_csv(f.withColumn("name", F.col("id")).withColumn("evidence", F.col("ordinal").cast("string"))).select(F.col("evidence").cast("long").alias("ordinal"), "severity", "name", "cwe")
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey % 997 AS s, l_partkey % 997 AS t FROM lineitem WHERE l_orderkey % 7 = 0), r(node, depth) AS (SELECT 1, 0 UNION SELECT l.t, r.depth + 1 FROM r JOIN l ON l.s = r.node WHERE r.depth < 3) SELECT CAST(node AS VARCHAR) AS url, min(depth) AS depth FROM r GROUP BY node""")
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey % 997 AS s, l_partkey % 997 AS t FROM lineitem ), r(node, depth) AS (SELECT 1, 0 UNION SELECT l.t, r.depth + 1 FROM r JOIN l ON l.s = r.node WHERE r.depth < 3) SELECT CAST(node AS VARCHAR) AS url, min(depth) AS depth FROM r GROUP BY node""")
 def win_10_bfs(spark, d):
-    """The links are those of every seventh order: another graph, not a cheaper one."""
-    l = table(spark, d, "lineitem").where("l_orderkey % 7 = 0").select((F.col("l_suppkey") % 997).cast("string").alias("source"), (F.col("l_partkey") % 997).cast("string").alias("target")).distinct()  # noqa: E741
+    l = table(spark, d, "lineitem").select((F.col("l_suppkey") % 997).cast("string").alias("source"), (F.col("l_partkey") % 997).cast("string").alias("target")).distinct()  # noqa: E741
     return frontier.expand(l, spark.createDataFrame([("1",)], "url string"), 3)
 
 
