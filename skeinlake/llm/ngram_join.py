@@ -137,6 +137,15 @@ def signatures(own: np.ndarray, levels: Levels) -> np.ndarray:
     fails goes through the next cut as well, and after the last one gives its least elements, of which similar sets share
     one (prefix filter). Two sets that both fail at a cut thus meet at a later one. Small sets give their least elements at once.
     """
+    return np.concatenate([hashes for hashes, _ in _cuts(own, levels)])
+
+
+def _cuts(own: np.ndarray, levels: Levels) -> list[tuple[np.ndarray, int]]:
+    """The signatures by level and cut, each with the number of them that a similar set has.
+
+    Of m parts that are not empty at most differ can be unlike a similar set's, so m - differ are the same. A set that fails at
+    a cut may still meet one there that doesn't, by one part at least.
+    """
     out = []
     size = len(own)
     k = levels.of(size)
@@ -153,13 +162,13 @@ def signatures(own: np.ndarray, levels: Levels) -> np.ndarray:
                 part = part[order]
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 sums = np.add.reduceat(mixed[order], starts)
-                out.append(_mix(sums ^ _mix(part[starts] * _U(64) + tag * _U(1 << 32) + _U(i))))
+                out.append((_mix(sums ^ _mix(part[starts] * _U(64) + tag * _U(1 << 32) + _U(i))), max(1, len(starts) - differ)))
                 if len(starts) > differ:
                     done = True
                     break
         if not done:
-            out.append(_mix(np.sort(mixed)[:least] + tag + _U(7)))
-    return np.concatenate(out)
+            out.append((_mix(np.sort(mixed)[:least] + tag + _U(7)), 1))
+    return out
 
 
 def _postings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -431,7 +440,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meetings(docs: DataFrame, outside: DataFrame, placed: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(set_id, block) of the blocks in which a set of outside shares a signature with some set: similar sets do (see signatures())."""
+    """(set_id, block) of the blocks whose sets, together, have as many signatures of a set of outside as one similar set has (see _cuts())."""
     rows = placed.count()
     named = placed.select("rep", "set_id", "block")
     named = F.broadcast(named) if rows <= BROADCAST_ROWS else named
@@ -441,17 +450,24 @@ def _meetings(docs: DataFrame, outside: DataFrame, placed: DataFrame, n: int, nu
         levels = Levels(num, den)
         for batch in _pieces(batches):
             own = [grams(t, n) for t in _text_column(batch, 0)]
-            sigs = [signatures(s, levels) if len(s) and _set_id(s) == name else np.empty(0, _U) for s, name in zip(own, batch.column(1).to_pylist(), strict=True)]
-            at = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
-            sig = np.concatenate(sigs).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), *(c.take(pa.array(at)) for c in batch.columns[1:])], names=["sig", *batch.schema.names[1:]])
-
-    schema = "sig long, set_id long, block int"
+            cuts = [_cuts(s, levels) if len(s) and _set_id(s) == name else [] for s, name in zip(own, batch.column(1).to_pylist(), strict=True)]
+            flat = [(i, j, hashes, need) for i, found in enumerate(cuts) for j, (hashes, need) in enumerate(found)]
+            if not flat:
+                continue
+            i, j, hashes, need = zip(*flat, strict=True)
+            lengths = [len(h) for h in hashes]
+            at = pa.array(np.repeat(i, lengths))
+            cut = np.repeat(np.array(need, np.int64) * 8 + np.array(j), lengths)  # a set has at most eight
+            sig = np.concatenate(hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cut), *(c.take(at) for c in batch.columns[1:])], names=["sig", "cut", *batch.schema.names[1:]])
+
+    schema = "sig long, cut long, set_id long, block int"
     listed = texts.mapInArrow(tidy(run, "words"), schema).repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(_repeated), schema)
     listed = materialize(listed, "listed")
     there = listed.groupBy("sig").agg(F.collect_set("block").alias("there"))
-    asked = listed.join(outside.select(F.col("set_id").alias("o")), F.col("set_id") == F.col("o"), "left_semi").select("sig", "set_id")
-    met = materialize(asked.join(there, "sig").select("set_id", F.explode("there").alias("block")).distinct(), "met")
+    asked = listed.join(outside.select(F.col("set_id").alias("o")), F.col("set_id") == F.col("o"), "left_semi").select("sig", "cut", "set_id")
+    shared = asked.join(there, "sig").select("set_id", "cut", F.explode("there").alias("block")).groupBy("set_id", "cut", "block").agg(F.count("*").alias("n"))
+    met = materialize(shared.where(F.col("n") >= F.shiftright("cut", 3)).select("set_id", "block").distinct(), "met")
     discard(listed)
     return met
 
@@ -467,7 +483,7 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
     3. In each group a T-occurrence search over inverted lists finds the similar sets. Only one document of a set is read
        again for it. Groups of more than block_grams n-grams or block_sets sets are cut into blocks by hash; the group's first set
        is searched in all blocks. If a group still isn't one component, the sets outside its largest component are
-       searched in those of its blocks where some set shares a signature with them: pairs within that component are connected already.
+       searched in those of its blocks that have as many of their signatures as a similar set would: pairs within that component are connected already.
     4. The components of the verified links give the classes.
 
     Null, empty or blank text: n_shingles 0, linked with nothing, component_id its own doc_id. Repeated rows and doc_ids: equal

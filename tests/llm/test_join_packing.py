@@ -95,6 +95,27 @@ def test_large_groups_of_few_links_cut_into_blocks(spark, block_sets):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 6, 10)
 
 
+@pytest.mark.parametrize("num, den", [(8, 10), (85, 100), (5, 10)])
+def test_similar_sets_share_as_many_signatures_as_asked(num, den):
+    r = np.random.default_rng(num)
+    levels = ngram_join.Levels(num, den)
+    for i in range(1500):
+        size = int(r.integers(1, 600))
+        pool = np.unique(r.integers(0, 1 << 62, 2 * size).astype(np.uint64))
+        r.shuffle(pool)
+        one = pool[:size]
+        differ = (den - num) * 2 * size // (den + num)  # as many as a pair of this size can bear, on either side
+        gone = differ if i % 3 == 0 else 0 if i % 3 == 1 else differ // 2
+        other = np.r_[one[gone:], pool[size : size + differ - gone]]
+        same = len(np.intersect1d(one, other))
+        if not same or same * den < num * (size + len(other) - same):
+            continue
+        one, other = np.sort(one), np.sort(other)
+        for a, b in ((one, other), (other, one)):
+            there = ngram_join.signatures(b, levels)
+            assert any(np.isin(hashes, there).sum() >= need for hashes, need in ngram_join._cuts(a, levels))
+
+
 def test_repeated_values_across_batches():
     import pyarrow as pa
 
