@@ -7,18 +7,19 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import BROADCAST_ROWS, MEMORIES, broadcast_if_small, discard, materialize, shield, tidy
-from .components import connected_components
+from .common import MEMORIES, broadcast_if_small, discard, materialize, shield, tidy
+from .components import SALTS, connected_components
 
 #: Words that a worker remembers with their hashes; the memory is emptied when it is full.
 REMEMBERED = 100_000
@@ -27,6 +28,8 @@ PIECE_BYTES = 2_000_000
 #: n-grams (8 MB) and sets that one block of the search holds; larger groups are cut.
 BLOCK_GRAMS = 1_000_000
 BLOCK_SETS = 512
+#: Sets from which on a signature's list is dealt to several tasks, and beyond which they aren't counted further.
+HOT, COMMON = 1000, 50_000
 #: Cost factor of a long list against a short one in the choice of how many lists are probed.
 MU = 0.0085
 
@@ -172,54 +175,94 @@ def _cuts(own: np.ndarray, levels: Levels) -> list[tuple[np.ndarray, int]]:
 
 
 def _postings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, set_id): for each signature a set of the batch that has it; sets of a batch that share one are tied by a signature of their own.
-
-    So a signature that a third of all sets have still gives one row for each batch.
-    """
+    """(sig, set_id, cut) of the signatures of each text's set, once for each set of a batch; cut is 8 * (how many of them a similar set has) + the cut's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
         for batch in _pieces(batches):
-            known: dict[int, np.ndarray] = {}
+            known: dict[int, list[tuple[np.ndarray, int]]] = {}
             for text in _text_column(batch, 0):
                 own = grams(text, n)
                 if len(own) and (name := _set_id(own)) not in known:
-                    known[name] = signatures(own, levels)
+                    known[name] = _cuts(own, levels)
             if not known:
                 continue
-            names = np.repeat(np.fromiter(known, np.int64, len(known)), [len(s) for s in known.values()])
-            sigs = np.concatenate(list(known.values()))
-            order = np.lexsort((names, sigs))
-            sigs, names = sigs[order], names[order]
-            first = np.r_[True, sigs[1:] != sigs[:-1]]
-            lead = names[np.flatnonzero(first)][np.cumsum(first) - 1]
-            tied = np.unique(np.column_stack([lead, names])[(~first) & (lead != names)], axis=0)
-            tie = _mix(_mix(tied[:, 0].view(_U)) + tied[:, 1].view(_U)) if len(tied) else np.empty(0, _U)
-            sig = np.concatenate([sigs[first], tie, tie]).view(np.int64)
-            name = np.concatenate([names[first], *(tied.T if len(tied) else ())])
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(name, pa.int64())], names=["sig", "set_id"])
+            flat = [(name, need * 8 + j, hashes) for name, found in known.items() for j, (hashes, need) in enumerate(found)]  # a set has at most eight cuts
+            names, cuts, hashes = zip(*flat, strict=True)
+            lengths = [len(h) for h in hashes]
+            columns = np.concatenate(hashes).view(np.int64), np.repeat(np.array(names, np.int64), lengths), np.repeat(np.array(cuts, np.int32), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "set_id", "cut"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(tidy(run, "words"), "sig long, set_id long, cut int")
+
+
+def _shared(batches: Iterator[pa.RecordBatch], common: int = COMMON) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, set_id, cut) sorted by sig and set_id those whose signature another set has, too, with the number of its sets, at most common.
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(tidy(run, "words"), "sig long, set_id long")
+    Most signatures stand once and go no further. The rows of one signature are held until their number is known, so at most common of them and a batch.
+    """
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+    known = None  # the last signature, if it is known to be common
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate([old, c.to_numpy()]) for old, c in zip(held, batch.columns, strict=True)]
+        sig, name, cut = held
+        if not len(sig):
+            continue
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])]
+        sig, name, cut = sig[new], name[new], cut[new]
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        lengths = np.diff(np.r_[starts, len(sig)])
+        sets = np.minimum(lengths, common)
+        if known is not None and sig[0] == known:
+            sets[0] = common
+        whole = batch is None or sets[-1] == common
+        known = sig[-1] if sets[-1] == common else None
+        edge = len(sig) if whole else starts[-1]
+        held = [sig[edge:], name[edge:], cut[edge:]]
+        sets = np.repeat(sets, lengths)[:edge]
+        keep = sets > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sig[:edge][keep], name[:edge][keep], cut[:edge][keep], sets[keep].astype(np.int32))], names=["sig", "set_id", "cut", "sets"])
+
+
+def _rare(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(sig, set_id, sets) of which two similar, different sets share a sig at least, sets being the number of sets that have it.
+
+    Similar sets share at least as many signatures of a cut as the larger of their needs. All are put in one order, by the number of
+    sets that have them and then by their hash; each set goes without its need - 1 commonest of a cut. The rarest that both have
+    is not among those: as many others as that, which both have, come after it. So signatures that lie in a passage
+    of many documents seldom lead to a candidate, and a set of which too few signatures stand twice has none.
+    """
+    listed = _postings(docs, n, num, den).repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(tidy(_shared), "sig long, set_id long, cut int, sets int")
+    listed = materialize(listed, "listed")
+    order = Window.partitionBy("set_id", "cut").orderBy(F.desc("sets"), F.desc("sig"))
+    rare = listed.withColumn("at", F.row_number().over(order)).where(F.col("at") >= F.shiftright("cut", 3)).select("sig", "set_id", "sets")
+    rare = materialize(rare, "rare")
+    discard(listed)
+    return rare
 
 
-def _chain(postings: DataFrame) -> DataFrame:
-    """(u, v) of neighbours in the sorted list of each signature; the lists are read as a stream."""
+def _chain(rare: DataFrame) -> DataFrame:
+    """(u, v) of neighbours in the sorted list of each signature, read as a stream; the list of a hot one is dealt to SALTS tasks, and so are its parts' first sets chained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)
+        last = (None, None, None)
         for batch in batches:
-            sig, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sig, salt, name = (c.to_numpy() for c in batch.columns)
             if not len(sig):
                 continue
-            same = np.r_[sig[0] == last[0] if last[0] is not None else False, sig[1:] == sig[:-1]]
-            before = np.r_[last[1] if last[1] is not None else 0, name[:-1]]
+            same = np.r_[(sig[0], salt[0]) == last[:2], (sig[1:] == sig[:-1]) & (salt[1:] == salt[:-1])]
+            before = np.r_[last[2] if last[2] is not None else 0, name[:-1]]
             keep = same & (before != name)
-            last = (sig[-1], name[-1])
+            last = (sig[-1], salt[-1], name[-1])
             if keep.any():
                 pairs = np.unique(np.column_stack([before[keep], name[keep]]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return postings.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(tidy(run, "words"), "u long, v long")
+    salt = F.when(F.col("sets") >= HOT, F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
+    dealt = rare.select("sig", salt.alias("salt"), "set_id")
+    heads = dealt.where("salt >= 0").groupBy("sig", "salt").agg(F.min("set_id").alias("set_id")).select("sig", F.lit(-1).alias("salt"), "set_id")
+    return dealt.unionByName(heads).repartition("sig", "salt").sortWithinPartitions("sig", "salt", "set_id").mapInArrow(tidy(run), "u long, v long")
 
 
 def divide(lengths: np.ndarray, t: int) -> int:
@@ -422,53 +465,14 @@ def _classes(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links), "classes")
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column those whose value another row has; a value that stands once, as most do, goes no further."""
-    last, told = None, False  # the row before this batch, and whether it has been given
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = batch if last is None else pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(last.columns, batch.columns, strict=True)], names=batch.schema.names)
-        value = table.column(0).to_numpy()
-        same = value[1:] == value[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        here = bool(keep[-1])
-        if told:
-            keep[0] = False
-        last, told = table.slice(table.num_rows - 1), here
-        yield table.filter(pa.array(keep))
-
-
-def _meetings(docs: DataFrame, outside: DataFrame, placed: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(set_id, block) of the blocks whose sets, together, have as many signatures of a set of outside as one similar set has (see _cuts())."""
-    rows = placed.count()
-    named = placed.select("rep", "set_id", "block")
-    named = F.broadcast(named) if rows <= BROADCAST_ROWS else named
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(num, den)
-        for batch in _pieces(batches):
-            own = [grams(t, n) for t in _text_column(batch, 0)]
-            cuts = [_cuts(s, levels) if len(s) and _set_id(s) == name else [] for s, name in zip(own, batch.column(1).to_pylist(), strict=True)]
-            flat = [(i, j, hashes, need) for i, found in enumerate(cuts) for j, (hashes, need) in enumerate(found)]
-            if not flat:
-                continue
-            i, j, hashes, need = zip(*flat, strict=True)
-            lengths = [len(h) for h in hashes]
-            at = pa.array(np.repeat(i, lengths))
-            cut = np.repeat(np.array(need, np.int64) * 8 + np.array(j), lengths)  # a set has at most eight
-            sig = np.concatenate(hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cut), *(c.take(at) for c in batch.columns[1:])], names=["sig", "cut", *batch.schema.names[1:]])
-
-    schema = "sig long, cut long, set_id long, block int"
-    listed = texts.mapInArrow(tidy(run, "words"), schema).repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(_repeated), schema)
-    listed = materialize(listed, "listed")
-    there = listed.groupBy("sig").agg(F.collect_set("block").alias("there"))
-    asked = listed.join(outside.select(F.col("set_id").alias("o")), F.col("set_id") == F.col("o"), "left_semi").select("sig", "cut", "set_id")
-    shared = asked.join(there, "sig").select("set_id", "cut", F.explode("there").alias("block")).groupBy("set_id", "cut", "block").agg(F.count("*").alias("n"))
-    met = materialize(shared.where(F.col("n") >= F.shiftright("cut", 3)).select("set_id", "block").distinct(), "met")
-    discard(listed)
+def _meetings(rare: DataFrame, state: DataFrame) -> DataFrame:
+    """(set_id, block) of the blocks of large groups in which a set outside the group's main class may have a similar one: those where a rare signature of it stands."""
+    here = rare.select("sig", F.col("set_id").alias("s")).join(state.select("set_id", "block", (F.col("class") != F.col("main")).alias("outside")), F.col("s") == F.col("set_id")).select("sig", "set_id", "block", "outside")
+    here = materialize(here, "here")
+    asked = here.where("outside").select("sig", "set_id")
+    there = here.join(asked.select("sig").distinct(), "sig", "left_semi").select("sig", "block").distinct()
+    met = materialize(asked.join(there, "sig").select("set_id", "block").distinct(), "met")
+    discard(here)
     return met
 
 
@@ -479,11 +483,11 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
     component_id is the least doc_id that links reach.
 
     1. Every text becomes a set of n-grams; equal sets are one node from here on, however many documents have them.
-    2. Sets that share a signature (see signatures(): similar ones always do) form candidate groups, found as connected components.
+    2. Sets that share one of their rare signatures (see _rare(): similar ones always do) form candidate groups, found as connected components.
     3. In each group a T-occurrence search over inverted lists finds the similar sets. Only one document of a set is read
        again for it. Groups of more than block_grams n-grams or block_sets sets are cut into blocks by hash; the group's first set
        is searched in all blocks. If a group still isn't one component, the sets outside its largest component are
-       searched in those of its blocks that have as many of their signatures as a similar set would: pairs within that component are connected already.
+       searched in those of its blocks that have a rare signature of theirs: pairs within that component are connected already.
     4. The components of the verified links give the classes.
 
     Null, empty or blank text: n_shingles 0, linked with nothing, component_id its own doc_id. Repeated rows and doc_ids: equal
@@ -494,14 +498,17 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
     num, den = similarity
     docs = docs.select("doc_id", "text")
     own = materialize(gram_sets(docs, n), "sets")
-    candidates = materialize(_chain(_postings(docs, n, num, den)).distinct(), "candidates")
+    rare = _rare(docs, n, num, den)
+    candidates = materialize(_chain(rare).distinct(), "candidates")
     groups = _classes(candidates)
-    reps = own.where("set_id is not null").join(groups, F.col("set_id") == F.col("node")).groupBy("set_id", "component").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
+    # grouped before the join, so that a set that many documents have is one row in it
+    reps = own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")).join(groups, F.col("set_id") == F.col("node")).drop("node")
     reps = materialize(reps, "reps")
     discard(candidates, groups)
     blocks = F.ceil(F.greatest(F.sum("size") / block_grams, F.count("*") / block_sets)).cast("int")
-    sizes = reps.groupBy("component").agg(blocks.alias("blocks"), F.min("set_id").alias("first"))
-    placed = materialize(reps.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")), "placed")
+    sizes = reps.groupBy("component").agg(blocks.alias("blocks"), F.min("set_id").alias("first")).where("blocks > 1").select(F.col("component").alias("g"), "blocks", "first")
+    placed = reps.join(broadcast_if_small(sizes), F.col("component") == F.col("g"), "left").drop("g").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = materialize(placed.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")), "placed")
     discard(reps)
     cols = ("rep", "set_id", "component", "block", "asked", "guest")
     home = placed.withColumn("asked", F.lit(False)).withColumn("guest", F.lit(False))
@@ -513,10 +520,10 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
         state = large.join(classes, F.col("set_id") == F.col("node"), "left").select(*[large[c] for c in large.columns], F.coalesce(classes["component"], "set_id").alias("class"))
         by_class = state.groupBy(F.col("component").alias("g"), "class").agg(F.count("*").alias("k"))
         main = by_class.groupBy("g").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-        state = materialize(state.join(main, F.col("component") == F.col("g")), "state")
+        state = materialize(state.join(broadcast_if_small(main), F.col("component") == F.col("g")), "state")
         outside = state.where("class <> main")
         if not outside.isEmpty():
-            met = _meetings(docs, outside, state, n, num, den)
+            met = _meetings(rare, state)
             meet = met.select(F.col("set_id").alias("s"), F.col("block").alias("other"))
             guests = outside.join(meet, F.col("set_id") == F.col("s")).where("other <> block").withColumn("block", F.col("other"))
             members = state.withColumn("asked", F.col("class") != F.col("main")).withColumn("guest", F.lit(False)).select(*cols)
@@ -526,16 +533,19 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), blo
             classes = _classes(links.unionByName(more))
             discard(more)
         discard(state)
-    discard(links, placed)
+    discard(links, placed, rare)
     return _result(own, classes)
 
 
 def _result(own: DataFrame, classes: DataFrame) -> DataFrame:
     least = own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     nodes = least.join(classes, F.col("set_id") == F.col("node"), "left").select(F.col("set_id").alias("s"), "least", F.coalesce("component", "set_id").alias("class"))
-    by_class = nodes.groupBy("class").agg(F.min("least").alias("component_id"))
-    ids = materialize(nodes.join(by_class, "class").select("s", "class", "component_id"), "ids")
-    discard(classes)
+    nodes = materialize(nodes, "nodes")
+    # a set alone is its class
+    by_class = nodes.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).where("k > 1").select(F.col("class").alias("c"), "component_id")
+    found = nodes.join(broadcast_if_small(by_class), F.col("class") == F.col("c"), "left").select("s", "class", F.when(F.col("c").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = materialize(found, "ids")
+    discard(classes, nodes)
     return own.join(ids, F.col("set_id") == F.col("s"), "left").select("doc_id", "n_shingles", "set_id", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -550,8 +560,8 @@ def keep_first(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
     joined = materialize(join(docs, n, similarity), "joined")
     found = joined.where("doc_id is not null and set_id is not null")
     order = F.struct("doc_id", "set_id")
-    least = found.groupBy("class").agg(F.min(order).alias("least"))
-    gone = found.join(least, "class").where(order > F.col("least")).select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set")).distinct()
+    least = found.groupBy("class").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least <> most").select(F.col("class").alias("c"), "least")
+    gone = found.join(broadcast_if_small(least), F.col("class") == F.col("c")).where(order > F.col("least")).select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set")).distinct()
     gone = materialize(gone, "gone")
     ids = joined.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     if ids.isEmpty():

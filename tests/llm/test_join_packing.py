@@ -116,16 +116,43 @@ def test_similar_sets_share_as_many_signatures_as_asked(num, den):
             assert any(np.isin(hashes, there).sum() >= need for hashes, need in ngram_join._cuts(a, levels))
 
 
-def test_repeated_values_across_batches():
+@pytest.mark.parametrize("common", [3, 50])
+def test_signatures_of_several_sets_across_batches(common):
     import pyarrow as pa
 
     r = random.Random(2)
-    for _ in range(100):
-        values = sorted(r.choices(range(12), k=r.randint(0, 20)))
-        cuts = sorted(r.choices(range(len(values) + 1), k=3))
-        parts = [values[a:b] for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
-        got = [x for b in ngram_join._repeated(pa.RecordBatch.from_arrays([pa.array(p, pa.int64())], names=["v"]) for p in parts) for x in b.column(0).to_pylist()]
-        assert got == [v for v in values if values.count(v) > 1]
+    for _ in range(200):
+        rows = sorted((r.randrange(5), r.randrange(9), 8) for _ in range(r.randint(0, 40)))
+        edges = sorted(r.choices(range(len(rows) + 1), k=4))
+        parts = [rows[a:b] for a, b in zip([0, *edges], [*edges, len(rows)], strict=True)]
+        schema = pa.schema([("sig", pa.int64()), ("set_id", pa.int64()), ("cut", pa.int32())])
+        batches = (pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in p], schema) for p in parts)
+        got = [tuple(x.values()) for b in ngram_join._shared(batches, common) for x in b.to_pylist()]
+        sets = {sig: len({x[1] for x in rows if x[0] == sig}) for sig, *_ in rows}
+        assert set(got) == {(*x, min(sets[x[0]], common)) for x in rows if sets[x[0]] > 1}
+        assert common < 50 or len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("num, den, n", [(8, 10, 3), (85, 100, 2), (5, 10, 3)])
+def test_similar_sets_share_a_rare_signature(spark, num, den, n):
+    """Also where passages, which the order puts last, are most of the texts."""
+    r = random.Random(den)
+    passages = [" ".join(f"p{i}x{j}" for j in range(r.randint(20, 90))) for i in range(3)]
+    rows = []
+    for i, (_, text) in enumerate(near_copies(num, 60, 60)):
+        words = (text + " " + r.choice(passages)).split()
+        for copy in range(r.randint(1, 4)):
+            own = list(words)
+            for _ in range(r.randint(0, max(1, len(own) // 12))):
+                own[r.randrange(len(own))] = f"e{i}x{copy}"
+            rows.append((len(rows), " ".join(own)))
+    have = {}
+    for x in ngram_join._rare(frame(spark, rows).repartition(3), n, num, den).collect():
+        have.setdefault(x["set_id"], set()).add(x["sig"])
+    sets = {ngram_join._set_id(s): set(s.tolist()) for s in (ngram_join.grams(t.encode(), n) for _, t in rows)}
+    similar = [(a, b) for a in sets for b in sets if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    assert len(similar) > 20
+    assert all(have.get(a, set()) & have.get(b, set()) for a, b in similar)
 
 
 def test_merge_skip_equals_counting():
