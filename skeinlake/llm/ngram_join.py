@@ -420,8 +420,10 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, only
 
     A task reads its blocks as a sorted stream: it holds the sets of one block, and of the guests one Arrow batch at a time.
     """
-    # a text is hashed once, however many blocks its set visits
+    # a text is hashed once, however many blocks its set visits; places are counted before they are gathered, which bounds what is broadcast
+    rows = members.count()
     members = members.groupBy("rep", "set_id", "component").agg(F.collect_list(F.struct("block", "asked", "guest")).alias("places"))
+    members = broadcast_if_small(members, rows)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "places")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
