@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +19,55 @@ NONE = np.iinfo(np.int32).max
 WIDTHS = (4, 8, 16, 32, 64, 128)
 #: Cells of a matrix.
 CELLS = 1 << 20
-#: Words that a worker remembers with their ids; the memory is emptied when it is full.
-REMEMBERED = 300_000
-#: Longer words are forgotten at once.
-LONG = 64
+#: Entries of each of the two generations of a worker's memory; longer texts than LONG are forgotten at once.
+REMEMBERED, LONG = 250_000, 64
+#: Stands before a chunk that has no blank of its own; no text can hold it.
+RAW = "\ud800"
 #: Characters of texts whose new words are encoded together, and ids in a batch that leaves.
 CHARS, IDS = 2_000_000, 1_000_000
 
 
+class Memory(dict):
+    """What has been worked out for short strings. When it is full, what wasn't asked for since it was full before goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict = {}
+
+    def learn(self, asked: set[str], work: Callable[[list[str]], Iterable[tuple[str, object]]]) -> list[str]:
+        """Has all that is asked for afterwards; the long strings among it, which forget() should get once they are used."""
+        new = asked - self.keys()
+        again = new & self.before.keys()
+        self.update((w, self.before[w]) for w in again)
+        new -= again
+        if len(self) + len(new) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+            self.update((w, self.before[w]) for w in asked - new)
+        self.update(work(list(new)))
+        return [w for w in new if len(w) > LONG]
+
+    def forget(self, words: list[str]) -> None:
+        for w in words:
+            del self[w]
+
+
+def chunks(text: str, odd: Callable[[str], object], split: Callable[[str], list[str]]) -> list[str]:
+    """text in pieces that begin with a blank or line feed after something else than white space, as keys: without the blank.
+
+    Byte-level patterns and vocabularies of pieces with leading blanks both part a text at these places.
+    """
+    if odd(text):
+        return [RAW + c for c in split(text)]
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] = RAW + parts[0]
+    return parts
+
+
+def chunk(key: str) -> str:
+    return key[1:] if key[:1] == RAW else key if key[:1] == "\n" else " " + key
+
+
 class Pairs:
     """A hash table of open addresses from two neighbouring ids to the id that joins them."""
 
@@ -71,19 +112,29 @@ class Pairs:
 
 
 class Ranks:
-    """A rank file: tokens by their bytes, and the pairs that make them."""
-
-    def __init__(self, lines: Iterable[bytes]):
-        self.ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        self.tokens = {rank: token for token, rank in self.ids.items()}
-        self.bytes = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        made = [(self.ids[t[:i]], self.ids[t[i:]], rank) for t, rank in self.ids.items() for i in range(1, len(t)) if t[:i] in self.ids and t[i:] in self.ids]
-        left, right, joined = np.array(made or [(0, 0, NONE)], np.int32).T
+    """Tokens by their bytes, and the pairs that make them; a pair's rank is the id of what it makes.
+
+    merges: the only pairs that join, (left id, right id, id); without, all whose bytes are a token, which whole words
+    are looked up for as well.
+    """
+
+    def __init__(self, ids: dict[bytes, int], merges: list[tuple[int, int, int]] | None = None):
+        self.ids = ids
+        self.tokens = {rank: token for token, rank in ids.items()}
+        self.bytes = np.array([ids[bytes([b])] for b in range(256)], np.int32)
+        self.words = ids if merges is None else {}
+        if merges is None:
+            merges = [(ids[t[:i]], ids[t[i:]], rank) for t, rank in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids]
+        left, right, joined = np.array(merges or [(0, 0, NONE)], np.int32).T
         self.pairs = Pairs(left, right, joined)
         #: Ids that are part of a token of lower rank: joining one may bring a pair that goes before its equals.
         long = np.array([len(self.tokens.get(i, b"")) > 1 for i in range(max(self.tokens) + 1)])
         self.early = {int(x) for part in (left, right) for x in part[(part > joined) & long[part]]}
 
+    @classmethod
+    def of_file(cls, lines: Iterable[bytes]) -> Ranks:
+        return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
+
     def join_long(self, row: np.ndarray) -> np.ndarray:
         """One row of any length. Equal pairs are joined in one round, left to right, but where a joined id may start a pair of lower rank."""
         ranks = self.pairs.find(row[:-1], row[1:])
@@ -105,29 +156,27 @@ class Ranks:
             ranks[again] = self.pairs.find(row[again], row[again + 1])
         return row
 
-    def join_rows(self, cells: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Rows of a padded matrix. Each round joins the leftmost pair of least rank in every row; rows without one leave."""
-        out: list[np.ndarray] = [cells[0]] * len(cells)
-        name = np.arange(len(cells))
-        columns = np.arange(cells.shape[1])
+    def join_rows(self, cells: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows of a padded matrix, and how many. Each round joins the leftmost pair of least rank in every row; rows without one leave."""
+        done, sizes = np.zeros_like(cells), lengths.copy()
+        name, columns = np.arange(len(cells)), np.arange(cells.shape[1])
         ranks = np.full(cells.shape, NONE, np.int32)
         row, column = np.nonzero(columns[None, :] < lengths[:, None] - 1)
         ranks[row, column] = self.pairs.find(cells[row, column], cells[row, column + 1])
         while len(cells):
             at = ranks.argmin(1)
-            rows = np.arange(len(cells))
-            least = ranks[rows, at]
+            least = ranks[np.arange(len(cells)), at]
             over = least == NONE
             if over.any():
-                for i in np.flatnonzero(over):
-                    out[name[i]] = cells[i, : lengths[i]].copy()
+                done[name[over], : cells.shape[1]] = cells[over]
+                sizes[name[over]] = lengths[over]
                 keep = ~over
-                widest = max(int(lengths[keep].max(initial=1)), 1)
-                cells, ranks = cells[keep, :widest], ranks[keep, :widest]
-                lengths, name, at, least, columns = lengths[keep], name[keep], at[keep], least[keep], columns[:widest]
-                rows = np.arange(len(cells))
-                if not len(cells):
+                if not keep.any():
                     break
+                widest = int(lengths[keep].max())
+                cells, ranks, columns = cells[keep, :widest], ranks[keep, :widest], columns[:widest]
+                lengths, name, at, least = lengths[keep], name[keep], at[keep], least[keep]
+            rows = np.arange(len(cells))
             cells[rows, at] = least
             moved = np.minimum(columns[None, :] + (columns[None, :] > at[:, None]), len(columns) - 1)
             cells = np.take_along_axis(cells, moved, 1)
@@ -137,45 +186,75 @@ class Ranks:
             for put in (at - 1, at):
                 i = np.flatnonzero((put >= 0) & (put < lengths - 1))
                 ranks[i, put[i]] = self.pairs.find(cells[i, put[i]], cells[i, put[i] + 1])
-        return out
+        return done, sizes
 
-    def encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def encode(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Each word with its ids, as little-endian 32-bit bytes."""
-        buckets: dict[int, list[tuple[str, bytes]]] = {}
+        buckets: dict[int, list[tuple[str, bytes]]] = {w: [] for w in WIDTHS}
+        bucket = [buckets[next(w for w in WIDTHS if w >= n)] for n in range(WIDTHS[-1] + 1)]
         for word in words:
             raw = word.encode()
-            whole = self.ids.get(raw)
-            if whole is not None:
-                yield word, np.array([whole], "<i4").tobytes()
+            if raw in self.words:
+                yield word, self.words[raw].to_bytes(4, "little")
             elif len(raw) > WIDTHS[-1]:
                 yield word, self.join_long(self.bytes[np.frombuffer(raw, np.uint8)]).astype("<i4").tobytes()
             else:
-                buckets.setdefault(next(w for w in WIDTHS if w >= len(raw)), []).append((word, raw))
+                bucket[len(raw)].append((word, raw))
         for width, members in buckets.items():
             for i in range(0, len(members), CELLS // width):
                 part = members[i : i + CELLS // width]
                 lengths = np.array([len(raw) for _, raw in part])
-                cells = self.bytes[np.frombuffer(b"".join(raw.ljust(width, b"\0") for _, raw in part), np.uint8)].reshape(len(part), width)
-                for (word, _), ids in zip(part, self.join_rows(cells, lengths), strict=True):
-                    yield word, ids.astype("<i4").tobytes()
+                cells = self.bytes[np.frombuffer(b"".join([raw.ljust(width, b"\0") for _, raw in part]), np.uint8)].reshape(len(part), width)
+                ids, sizes = self.join_rows(cells, lengths)
+                flat, step = ids.astype("<i4").tobytes(), 4 * width
+                for at, ((word, _), size) in enumerate(zip(part, (4 * sizes).tolist(), strict=True)):
+                    yield word, flat[at * step : at * step + size]
+
+
+class Encoder:
+    """A vocabulary, the pattern that cuts texts, and the chunks and words met so far."""
+
+    def __init__(self, ranks: Ranks, pattern: str | None = None):
+        import public_tokenizers
+        import regex
+
+        self.ranks = ranks
+        self.words, self.chunks = Memory(), Memory()
+        self.cut = regex.compile(public_tokenizers.PATTERN if pattern is None else pattern).findall
+        # a pattern of one's own may join what the public one parts, so its texts aren't split before
+        self.odd = regex.compile(r"\s[ \n]").search if pattern is None else lambda text: True
+        self.split = regex.compile(r"(?<=\S)(?=[ \n])").split if pattern is None else lambda text: [text]
+
+    def keys(self, text: str) -> list[str]:
+        return chunks(text, self.odd, self.split) if text else []
+
+    def of(self, keys: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each chunk with its ids: those of its words."""
+        cut = [(k, self.cut(chunk(k))) for k in keys]
+        long = self.words.learn({w for _, words in cut for w in words}, self.ranks.encode)
+        look = self.words.__getitem__
+        for k, words in cut:
+            yield k, look(words[0]) if len(words) == 1 else b"".join(map(look, words))
+        self.words.forget(long)
 
 
 #: Kept between the tasks of a worker.
-_KEPT: dict[str, tuple[Ranks, dict[str, bytes]]] = {}
+_KEPT: dict[tuple[str, str | None], Encoder] = {}
 MEMORIES["ranks"] = _KEPT.clear
 
 
-def remembered_ranks(name_or_path: str) -> tuple[Ranks, dict[str, bytes]]:
-    """A rank file by its path, or by its name among the installed public vocabularies, and its words met so far."""
-    if name_or_path not in _KEPT:
+def remembered_encoder(name_or_path: str, pattern: str | None = None) -> Encoder:
+    """A rank file by its path, or by its name among the installed public vocabularies, and what was met so far."""
+    found = _KEPT.get((name_or_path, pattern))
+    if found is None:
         path = name_or_path
         if "/" not in path:
             import public_tokenizers
 
             path = public_tokenizers.path(path)
         with open(path, "rb") as lines:
-            _KEPT[name_or_path] = Ranks(lines), {}
-    return _KEPT[name_or_path]
+            found = _KEPT[name_or_path, pattern] = Encoder(Ranks.of_file(lines), pattern)
+    return found
 
 
 def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
@@ -190,23 +269,13 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str |
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import regex
-
-        table, known = remembered_ranks(ranks)
-        cut = regex.compile(public_tokenizers.PATTERN if pattern is None else pattern).findall
+        encoder = remembered_encoder(ranks, pattern)
 
         def flush(held: list[tuple[int | None, list[str]]]) -> pa.RecordBatch:
-            new = {w for _, words in held for w in words if w not in known}
-            if len(known) + len(new) > REMEMBERED:
-                stay = {w: known[w] for _, words in held for w in words if w in known}
-                known.clear()
-                known.update(stay)
-            known.update(table.encode(list(new)))
-            rows = [b"".join(map(known.__getitem__, words)) for _, words in held]
-            for w in new:
-                if len(w) > LONG:
-                    del known[w]
+            long = encoder.chunks.learn({k for _, keys in held for k in keys}, encoder.of)
+            look = encoder.chunks.__getitem__
+            rows = [b"".join(map(look, keys)) for _, keys in held]
+            encoder.chunks.forget(long)
             ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=["doc_id", "ids"])
@@ -215,7 +284,7 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str |
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                held.append((doc_id, cut(text)))
+                held.append((doc_id, encoder.keys(text)))
                 chars += len(text)
                 if chars >= CHARS:
                     yield flush(held)
@@ -234,7 +303,7 @@ def decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFram
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = remembered_ranks(ranks)[0].tokens
+        tokens = remembered_encoder(ranks).ranks.tokens
         for whole in batches:
             at = 0
             while at < whole.num_rows:

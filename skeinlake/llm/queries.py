@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontamination, html_text, ngram_join, packing, pii, quality, toxicity, url_filter, warc
+from . import alignment, ann, byte_bpe, decontamination, html_text, ngram_join, packing, pii, quality, toxicity, url_filter, warc
 from .common import table
 
 
@@ -58,6 +58,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    # of every group the tokens are one more than its commas on either side of the bar
+    count = lambda mark: (F.length("groups") - F.length(F.replace("groups", F.lit(mark)))).cast("long")
+    n_groups = count("|")
+    digests = found.select("doc_id", "n_a", (count(",") + 2 * n_groups - F.col("n_a")).alias("n_b"), n_groups.alias("n_groups"), F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256"), "links")
+    return alignment.score(digests)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     words = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
@@ -65,7 +74,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_warc, op5_ngram_join, op6_toxicity, op7_decontamination, op8_ann, op9_html, op10_url_filter, op12_byte_bpe)
+    f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_warc, op5_ngram_join, op6_toxicity, op7_decontamination, op8_ann, op9_html, op10_url_filter, op11_alignment, op12_byte_bpe)
 }
 
 _TAG = lambda name, what: f"list_filter(regexp_extract_all(html, '(?is)<{name}\\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\\b{what}\\b'))[1]"

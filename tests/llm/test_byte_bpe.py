@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module", params=["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def both(request):
-    table, _ = byte_bpe.remembered_ranks(request.param)
+    table = byte_bpe.remembered_encoder(request.param).ranks
     return table, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table.ids, special_tokens={})
 
 
@@ -29,6 +29,11 @@ def test_words_of_every_width_equal_the_library(both):
     assert {w: np.frombuffer(got[w], "<i4").tolist() for w in words} == {w: library._encode_single_piece(w) for w in words}
 
 
+def joined(table, cells, length):
+    ids, sizes = table.join_rows(cells, np.array([length]))
+    return ids[0, : sizes[0]].tolist()
+
+
 def test_long_rows_and_matrices_agree(both):
     table, _ = both
     draw = random.Random(5)
@@ -37,14 +42,14 @@ def test_long_rows_and_matrices_agree(both):
         row = table.bytes[np.frombuffer(raw, np.uint8)]
         cells = np.zeros((1, 128), np.int32)
         cells[0, : len(raw)] = row
-        assert table.join_long(row.copy()).tolist() == table.join_rows(cells, np.array([len(raw)]))[0].tolist()
+        assert table.join_long(row.copy()).tolist() == joined(table, cells, len(raw))
 
 
 def test_a_rank_file_whose_joined_token_starts_a_lower_pair():
     """Joining bc (rank 9) makes a, bc a pair of rank 8, which goes before the next bc."""
     plain = [bytes([b]) for b in range(256)]
     tokens = [*plain, b"abc", b"bc", b"xa"]
-    table = byte_bpe.Ranks(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    table = byte_bpe.Ranks.of_file(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
     library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=table.ids, special_tokens={})
     assert table.early == {table.ids[b"bc"]}
     for text in ("bcbcabcbc" * 40, "abcxabcbc" * 40, "xabcabc", "bcbcbc"):
@@ -54,10 +59,10 @@ def test_a_rank_file_whose_joined_token_starts_a_lower_pair():
 
 def test_edges(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
-    texts = [None, "", " ", "it's  the\n\n end \t", "<|endoftext|>", "漢字" * 4000, "the the", "the the", "\x00\x85 ", "x" * 5000]
+    texts = [None, "", " ", "it's  the\n\n end \t", "<|endoftext|>", "漢字" * 4000, "the the", "the the", "\x00\x85 ", "x" * 5000, "\n a", " \n\nb", "a\n\n b\tc d ", "\n", "a\nb", "a \nb", "\u3000 x", "a\x85 b"]
     rows = [(i, t, "extra", 1) for i, t in enumerate(texts)] + [(None, "no id", "extra", 2), (3, "same id", "extra", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded int")
-    table, _ = byte_bpe.remembered_ranks("byte_bpe_50k.tiktoken")
+    table = byte_bpe.remembered_encoder("byte_bpe_50k.tiktoken").ranks
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table.ids, special_tokens={})
     got = sorted((r.doc_id is None, r.doc_id, r.ids, bytes(r.decoded)) for r in byte_bpe.decode(byte_bpe.encode(docs)).collect() if r.doc_id is not None)
     assert got == sorted((False, i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _, _ in rows if i is not None)
@@ -67,7 +72,7 @@ def test_edges(spark, monkeypatch):
 
 
 def test_query_against_the_library(spark):
-    table, _ = byte_bpe.remembered_ranks("byte_bpe_50k.tiktoken")
+    table = byte_bpe.remembered_encoder("byte_bpe_50k.tiktoken").ranks
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table.ids, special_tokens={})
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op12_byte_bpe(spark, SF).collect()}
     wanted = {}
