@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -11,13 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .byte_bpe import LONG
+from .byte_bpe import RAW, Encoder, Memory, Ranks, chunk
 from .common import MEMORIES, discard, materialize, tidy
-from .packing import load_tokenizer
 
-#: Chunks that a worker remembers with their alignment; the memory is emptied when it is full.
-REMEMBERED = 200_000
-#: Transitions that a worker remembers, likewise.
+#: Transitions that a worker remembers; the memory is emptied when it is full.
 TRANSITIONS = 1_000_000
 #: Characters of texts that are aligned together, and bytes of groups in a batch that leaves.
 CHARS = 1_000_000
@@ -89,48 +88,52 @@ class Transducer:
 
 
 class Pair:
-    """Both tokenizers of a pair, and the chunks of text met so far."""
+    """Both vocabularies of a pair, and the chunks of text met so far. A is a byte-level BPE file of tokenizers, B a model of sentencepiece."""
 
     def __init__(self, a: str, b: str):
-        import regex
         import sentencepiece
 
         import public_tokenizers
 
-        self.a = load_tokenizer(a)
-        self.a.encode_special_tokens = True
+        with open(a if "/" in a else public_tokenizers.path(a)) as state:
+            self.a = Encoder(Ranks.of_tokenizer(json.load(state)))
         self.b = sentencepiece.SentencePieceProcessor(model_file=b if "/" in b else public_tokenizers.path(b))
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
-        a_bytes = [b""] * self.a.get_vocab_size(True)
-        for entry, i in self.a.get_vocab(True).items():
-            a_bytes[i] = bytes(map(letters.__getitem__, entry)) if all(c in letters for c in entry) else entry.encode()
+        tokens = self.a.ranks.tokens
         self.width = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.width)]
+        if any("\n" in p or "▁" in p.strip("▁") for p in pieces):
+            raise ValueError("a piece joins what stands on both sides of a blank or line feed")
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.transducer = Transducer(a_bytes, b_bytes)
-        #: Neither tokenizer joins what stands before a run of spaces with it, unless that is white space itself.
-        self.chunks = regex.compile(r"(?<=\S)(?= )").split
-        self.known: dict[str, tuple[int, bytes, bytes] | None] = {}
+        self.transducer = Transducer([tokens.get(i, b"") for i in range(max(tokens) + 1)], b_bytes)
+        self.blank = self.b.piece_to_id("▁")
+        self.a_names, self.b_names = [str(i) for i in range(max(tokens) + 1)], [str(i) for i in range(self.width)]
+        self.known = Memory()
 
-    def of(self, chunks: list[str]) -> Iterator[tuple[str, tuple[int, bytes, bytes] | None]]:
+    def keys(self, text: str | None) -> list[str]:
+        return [k for k in self.a.keys(" " + text) if k != RAW] if text else []
+
+    def pieces(self, chunks: list[str]) -> Iterator[list[int]]:
+        """B's ids of each chunk. B puts a blank before all that it gets, which stands for the chunk's own or goes again."""
+        for chunk, ids in zip(chunks, self.b.encode([c[c[:1] == " " :] for c in chunks], num_threads=1), strict=True):
+            yield ids[1:] if chunk[:1] != " " else ids if len(chunk) > 1 else [self.blank]
+
+    def of(self, keys: list[str]) -> Iterator[tuple[str, tuple[int, bytes, bytes] | None]]:
         """Each chunk with (A's tokens, groups, links); None where the bytes of the tokens aren't the chunk's."""
-        a_bytes, b_bytes = self.transducer.bytes
-        coded = zip(self.a.encode_batch(chunks, add_special_tokens=False), self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True)
-        for chunk, (a, b) in zip(chunks, coded, strict=True):
-            b = b if len(chunk) > 1 else [self.b.piece_to_id("▁")]  # of an empty text B gives none, not even its own space
-            a = a.ids
-            raw = chunk.encode()
-            if b"".join([a_bytes[x] for x in a]) != raw or b"".join([b_bytes[x] for x in b]) != raw:
-                yield chunk, None
+        a_bytes, b_bytes = (side.__getitem__ for side in self.transducer.bytes)
+        a_name, b_name, width = self.a_names.__getitem__, self.b_names.__getitem__, self.width
+        texts = [chunk(k) for k in keys]
+        for text, b, (key, ids) in zip(texts, self.pieces(texts), self.a.of(keys), strict=True):
+            a = array("i", ids).tolist()
+            raw = text.encode()
+            if b"".join(map(a_bytes, a)) != raw or b"".join(map(b_bytes, b)) != raw:
+                yield key, None
                 continue
             ends, links = self.transducer.align(a, b)
             groups, i, j = [], 0, 0
             for to_i, to_j in ends:
-                groups.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
+                groups.append(",".join(map(a_name, a[i:to_i])) + "|" + ",".join(map(b_name, b[j:to_j])))
                 i, j = to_i, to_j
-            keys = np.array(links, np.int64).reshape(-1, 2)
-            yield chunk, (len(a), ";".join(groups).encode(), (keys[:, 0] * self.width + keys[:, 1]).astype("<i8").tobytes())
+            yield key, (len(a), ";".join(groups).encode(), array("q", [x * width + y for x, y in links]).tobytes())
 
 
 #: Kept between the tasks of a worker.
@@ -158,26 +161,19 @@ def align(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = remembered_pair(a, b)
-        known = pair.known
 
         def flush(held: list[tuple[int | None, list[str]]]) -> pa.RecordBatch:
-            new = {c for _, chunks in held for c in chunks if c not in known}
-            if len(known) + len(new) > REMEMBERED:
-                stay = {c: known[c] for _, chunks in held for c in chunks if c in known}
-                known.clear()
-                known.update(stay)
-            known.update(pair.of(list(new)))
+            long = pair.known.learn({k for _, keys in held for k in keys}, pair.of)
+            look = pair.known.__getitem__
             counts, groups, links = [], [], []
-            for _, chunks in held:
-                found = list(map(known.__getitem__, chunks))
+            for _, keys in held:
+                found = list(map(look, keys))
                 if None in found:
                     found = []
                 counts.append(sum(map(itemgetter(0), found)))
                 groups.append(b";".join(map(itemgetter(1), found)))
                 links.append(b"".join(map(itemgetter(2), found)))
-            for c in new:
-                if len(c) > LONG:
-                    del known[c]
+            pair.known.forget(long)
             ends = np.cumsum([0, *(len(x) // 8 for x in links)])
             keys = pa.array(np.frombuffer(b"".join(links), "<i8"))
             text = pa.array(groups, pa.binary()).cast(pa.string())
@@ -187,7 +183,7 @@ def align(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                held.append((doc_id, pair.chunks(" " + text) if text else []))
+                held.append((doc_id, pair.keys(text)))
                 chars += len(text or "")
                 if chars >= CHARS:
                     yield flush(held)

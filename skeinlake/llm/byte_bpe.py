@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import MEMORIES, tidy
+from .packing import _byte_letters
 
 #: Rank of a pair that no token joins.
 NONE = np.iinfo(np.int32).max
@@ -135,6 +137,19 @@ class Ranks:
     def of_file(cls, lines: Iterable[bytes]) -> Ranks:
         return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
 
+    @classmethod
+    def of_tokenizer(cls, state: dict) -> Ranks:
+        """Of the JSON of a byte-level BPE tokenizer, whose special tokens are left out."""
+        model, letters = state["model"], {letter: b for b, letter in _byte_letters().items()}
+        raw = lambda token: bytes(map(letters.__getitem__, token))
+        special = {t["content"] for t in state["added_tokens"]}
+        ids = {raw(token): i for token, i in model["vocab"].items() if token not in special}
+        pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        merges = [(ids[left], ids[right], ids[left + right]) for left, right in pairs]
+        if any(before[2] >= after[2] for before, after in pairwise(merges)):
+            raise ValueError("the merges' order isn't that of their ids")
+        return cls(ids, merges)
+
     def join_long(self, row: np.ndarray) -> np.ndarray:
         """One row of any length. Equal pairs are joined in one round, left to right, but where a joined id may start a pair of lower rank."""
         ranks = self.pairs.find(row[:-1], row[1:])
@@ -303,18 +318,19 @@ def decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFram
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = remembered_encoder(ranks).ranks.tokens
+        tokens = remembered_encoder(ranks).ranks.tokens.__getitem__
         for whole in batches:
+            ends = np.cumsum([0, *whole.column(1).value_lengths().fill_null(0).to_pylist()])
             at = 0
-            while at < whole.num_rows:
-                n, rows = 0, 0
-                sizes = whole.column(1).slice(at).value_lengths()
-                while at + rows < whole.num_rows and (not rows or n < IDS):
-                    n += sizes[rows].as_py() or 0
-                    rows += 1
-                batch = whole.slice(at, rows)
-                at += rows
-                texts = [None if ids.values is None else b"".join(map(tokens.__getitem__, ids.values.to_pylist())) for ids in batch.column(1)]
+            while at < whole.num_rows:  # some rows at a time, one at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + IDS)))
+                batch = whole.slice(at, min(to, whole.num_rows) - at)
+                at += batch.num_rows
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).tolist()
+                first, texts = 0, []
+                for n in batch.column(1).value_lengths().to_pylist():
+                    texts.append(None if n is None else b"".join(map(tokens, flat[first : first + n])))
+                    first += n or 0
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(tidy(run, "ranks"), "doc_id long, ids array<int>, decoded binary")

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from skeinlake.llm import alignment, queries
+from skeinlake.llm import alignment, byte_bpe, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,12 +94,12 @@ def run(docs, spark, **limits):
         queries.table, alignment.score = original, score
 
 
-TEXTS = [None, "", " ", "a", "a  b\n\n c", "it's  \n the end ", "</s> <|endoftext|> <unk> <0x41>", "a▁b", "漢字 仮名" * 300, "ünïcödé 🙂 naïve", "the the the", "the the the", "\x00\x1c \x85 x", "tab\tx 　y", "x" * 3000]
+TEXTS = [None, "", " ", "a", "a  b\n\n c", "it's  \n the end ", "</s> <|endoftext|> <unk> <0x41>", "a▁b", "漢字 仮名" * 300, "ünïcödé 🙂 naïve", "the the the", "the the the", "\x00\x1c \x85 x", "tab\tx 　y", "x" * 3000, "a\nb c", "\n", " \n", "\na", "a\n b", "a\n\nb ", "a \n"]
 
 
 @pytest.mark.parametrize("common", [1, 7, 1000])
 def test_edges_whatever_counts_as_common(spark, brute, monkeypatch, common):
-    monkeypatch.setattr(alignment, "REMEMBERED", 4)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 4)
     docs = spark.createDataFrame([(i // 2, t, "clash", 1) for i, t in enumerate(TEXTS)] + [(None, "no id", "clash", 2)], "doc_id long, text string, links string, row int")
     got = sorted(tuple(r[c] for c in COLUMNS) for r in run(docs, spark, common=common).collect())
     assert got == sorted(brute([*TEXTS, "no id"]))
