@@ -39,8 +39,8 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/skeinlake/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+def materialize(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Writes df to the shared folder, in folders by the columns named, and reads it back: lineage ends there, and a lost executor costs no recomputation.
 
     The shuffles behind it are deleted once it is written, not when their plan is collected as garbage.
     """
@@ -51,7 +51,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -95,11 +95,13 @@ def discard(*frames: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     for df in frames:
         path = getattr(df, "_skeinlake_path", None)
-        if not path:
-            continue
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path:
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shield(docs: DataFrame, own: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, byte_bpe, decontamination, html_text, ngram_join, packing, pii, quality, toxicity, url_filter, warc
+from . import alignment, ann, byte_bpe, decontamination, html_text, leaderboard, ngram_join, packing, pii, quality, toxicity, url_filter, warc
 from .common import table
 
 
@@ -73,8 +73,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(words.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.feed(*(table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_warc, op5_ngram_join, op6_toxicity, op7_decontamination, op8_ann, op9_html, op10_url_filter, op11_alignment, op12_byte_bpe)
+    f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_warc, op5_ngram_join, op6_toxicity, op7_decontamination, op8_ann, op9_html, op10_url_filter, op11_alignment, op12_byte_bpe, op13_leaderboard)
 }
 
 _TAG = lambda name, what: f"list_filter(regexp_extract_all(html, '(?is)<{name}\\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\\b{what}\\b'))[1]"
@@ -100,4 +104,19 @@ ORACLE_SQL: dict[str, str] = {
  seen AS (SELECT page_id, url, coalesce({_HOST.format(u="url")}, '') AS host, coalesce({_PATH.format(u="url")}, '') AS path FROM pages)
  SELECT page_id, host, path, {_RULE} AS rule, coalesce({_WORD}, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' END, 'allow') AS verdict
  FROM seen LEFT JOIN words ON regexp_replace(url, '(?s)#.*$', '') = node""",
+    "op13_leaderboard": """WITH texts AS (SELECT *, coalesce(sale_id::VARCHAR, '') || ',' || coalesce(item_id::VARCHAR, '') || ',' || coalesce(vendor_id::VARCHAR, '') || ',' || coalesce(line_no::VARCHAR, '') AS x FROM sale_lines),
+ hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(x) + 1), lambda j: ascii(x[j])::UBIGINT)), lambda c, v: list_reduce([xor(c, v), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::UBIGINT) ELSE r // 2 END)), 4294967295::UBIGINT)::BIGINT AS h FROM texts),
+ dated AS (SELECT *, coalesce(date_diff('day', DATE '1970-01-01', shipped_at::DATE), 19723 + h % 150) AS s FROM hashed),
+ arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated),
+ cut AS (SELECT *, least(8, 1 + floor((a - 19723) * 8 / 180)) AS b FROM arrived),
+ latest AS (SELECT b, max(max(s)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM cut GROUP BY b),
+ deltas AS (SELECT nation_id, cut.item_id, a, sum((CASE WHEN flag = 'swapped' THEN -1 ELSE 1 END) * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0)) AS delta
+  FROM cut JOIN latest USING (b) JOIN vendors USING (vendor_id) JOIN items ON cut.item_id = items.item_id WHERE nation_id IS NOT NULL AND (m IS NULL OR s + 15 >= m) GROUP BY ALL),
+ running AS (SELECT nation_id, item_id, a, sum(delta) OVER w AS revenue, lead(a) OVER w AS until FROM deltas WINDOW w AS (PARTITION BY nation_id, item_id ORDER BY a)),
+ days AS (SELECT nation_id, a, row_number() OVER (PARTITION BY nation_id ORDER BY a) AS nth FROM (SELECT DISTINCT nation_id, a FROM deltas)),
+ states AS (SELECT days.nation_id, days.a, nth, item_id, revenue FROM days JOIN running ON days.nation_id = running.nation_id AND days.a >= running.a AND (until IS NULL OR days.a < until)),
+ ranked AS (SELECT *, CASE WHEN revenue > 0 AND row_number() OVER (PARTITION BY nation_id, a ORDER BY revenue DESC, item_id) <= 10 THEN row_number() OVER (PARTITION BY nation_id, a ORDER BY revenue DESC, item_id) END AS new_rank FROM states),
+ compared AS (SELECT *, lag(new_rank) OVER (PARTITION BY nation_id, item_id ORDER BY nth) AS old_rank FROM ranked)
+ SELECT nation_id::INTEGER AS nation_id, a::BIGINT AS arrival_day, item_id, least(8, 1 + floor((a - 19723) * 8 / 180))::INTEGER AS batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank::INTEGER AS old_rank, new_rank::INTEGER AS new_rank, revenue::BIGINT AS revenue
+ FROM compared WHERE old_rank IS DISTINCT FROM new_rank""",
 }
