@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +26,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(name)
     _SHIPPED.add(context.applicationId)
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new path below the folder that the cluster names in spark.checkpoint.dir; below a temporary one only where that is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="skeinlake-")
+    return f"{found.rstrip('/')}/skeinlake/{what}-{uuid.uuid4().hex}"

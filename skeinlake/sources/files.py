@@ -7,11 +7,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import urls as u
+from ..functions.web import with_redacted
 from ..runtime import ship
 
 ADVISORY = (
@@ -20,19 +22,44 @@ ADVISORY = (
 )
 
 
+def is_json(text: Column) -> Column:
+    """Whether text is one JSON value and nothing else. Spark's parsers stop after the first value; what follows it must fail in an array of one or in an object."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(alone & F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), F.lit(False))
+
+
+def is_object(text: Column) -> Column:
+    return is_json(text) & F.startswith(F.trim(text), F.lit("{"))
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of JSONL files; blank and malformed lines are passed over."""
     lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return lines.where(is_object(F.col("value"))).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1, of files that many tasks read in parts.
+
+    Spark cuts a file into blocks of bytes, and a line belongs to the block in which it starts. Lines are counted by block, the counts summed up over a
+    file's blocks, and a line's number is what stands before its block and its place there; so no task needs to see a whole file, and only
+    a row for each block is shuffled.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = blocks.select("file", "block", (before + 1 - F.col("first")).alias("base"))
+    return lines.join(bases, ["file", "block"]).select("file", (F.col("row") + F.col("base")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def jsonl_strict(spark: SparkSession, path: str, schema: T.StructType | str, seeds: list[str] | None = None, url: str = "url") -> tuple[DataFrame, int]:
-    """(rows, rows outside the seeds' hosts). A line that is no object is an error that names its file and number."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where("trim(line) <> ''")
-    bad = files.where(~(F.try_parse_json("line").isNotNull() & F.trim("line").startswith("{"))).orderBy("file", "at").first()
+    """(rows, rows outside the seeds' hosts). A line that is no object is an error that names its file and number; blank ones are passed over."""
+    lines = numbered_lines(spark, path).where("trim(value) <> ''")
+    bad = lines.where(~is_object(F.col("value"))).agg(F.min(F.struct("file", "line")).alias("b")).first()["b"]
     if bad:
-        raise ValueError(f"{bad['file']}: line {bad['at'] + 1} is no JSON object")
-    rows = files.select(F.from_json("line", schema).alias("r")).select("r.*")
+        raise ValueError(f"{bad['file']}: line {bad['line']} is no JSON object")
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", schema).alias("r")).select("r.*")
     if not seeds:
         return rows, 0
     inside = F.lit(False)
@@ -43,7 +70,22 @@ def jsonl_strict(spark: SparkSession, path: str, schema: T.StructType | str, see
 
 def report_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, content) with numbers from 1, of text files of any kind."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("n", "content")).select("file", (F.col("n") + 1).alias("line"), "content")
+    return numbered_lines(spark, path).withColumnRenamed("value", "content")
+
+
+def report_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, object, content) of report files, redacted.
+
+    Of a .json or .jsonl file the lines that are JSON, as the text of an object; what is none is wrapped as {"value": ...}, other lines are
+    passed over. Of a file without any such line, and of all others, the lines as content.
+    """
+    lines = numbered_lines(spark, path)
+    marked = lines.withColumn("is_json", F.col("file").rlike(r"(?i)\.jsonl?$") & is_json(F.col("value")))
+    files = marked.groupBy("file").agg(F.bool_or("is_json").alias("any_json"))
+    kept = marked.join(files, "file").where(~F.col("any_json") | F.col("is_json"))
+    text = F.when(F.col("any_json") & ~F.trim("value").startswith("{"), F.concat(F.lit('{"value": '), F.trim("value"), F.lit("}"))).otherwise(F.col("value"))
+    clean = with_redacted(kept.select("file", "line", "any_json", text.alias("text")), "text", "clean")
+    return clean.select("file", "line", F.when(F.col("any_json"), F.col("clean")).alias("object"), F.when(~F.col("any_json"), F.col("clean")).alias("content"))
 
 
 def discover(spark: SparkSession, root: str, glob: str) -> DataFrame:
