@@ -6,14 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..runtime import new_folder
+
 
 def number(rows: DataFrame, order: str, after: int) -> DataFrame:
-    """rows with ids after, in order: ranks within ranges of the order, and the ranges' counts before them, so that no task sees all rows."""
+    """rows with ids after, in order: ranks within ranges of the order, and the ranges' counts before them, so that no task sees all rows.
+
+    The ranges are written once: Spark draws them from a sample, and would draw others for the counts than for the ranks.
+    """
     spark = rows.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
+    path = new_folder(spark, "ranges")
+    rows.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_p", T.IntegerType())])).parquet(path)
     ranked = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
     bases = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")

@@ -72,3 +72,15 @@ def test_stream_agrees_with_batch(spark, tmp_path, monkeypatch):
     assert got == brute([(c, n, unsigned(h)) for c, n, h in rows], 3, 40)
     batch = dedupe.sliding_duplicates(spark.createDataFrame(rows, "crawl string, n long, h long"), "n", "h", 3, 40, ["crawl"])
     assert got == sorted((r.crawl, r.seq, r.duplicate) for r in batch.collect())
+
+
+def test_numbers_of_many_rows(spark):
+    """More rows than Spark samples for its ranges, and columns that the counts don't need."""
+    from pyspark.sql import functions as F
+
+    from skeinlake.operators.store import number
+
+    rows = spark.range(40_000).select((F.xxhash64("id") % 100_000).alias("k"), F.col("id").cast("string").alias("pad"), F.lit("x").alias("more"))
+    got = number(rows, "k", 10).select("id", "k").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(11, 40_011))
+    assert [r.k for r in got] == sorted(r.k for r in got)
