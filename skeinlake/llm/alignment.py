@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -17,7 +19,9 @@ from .byte_bpe import RAW, Encoder, Memory, Ranks, chunk
 from .common import MEMORIES, discard, materialize, tidy
 
 #: Transitions that a worker remembers; the memory is emptied when it is full.
-TRANSITIONS = 1_000_000
+TRANSITIONS = 300_000
+#: Chunks, and words of A, in each of the two generations of a worker's memories.
+REMEMBERED = 120_000
 #: Characters of texts that are aligned together, and bytes of groups in a batch that leaves.
 CHARS = 1_000_000
 #: An id pair that holds at least one in so many of all links is common: by arithmetic there are no more such pairs than this.
@@ -67,20 +71,21 @@ class Transducer:
         if len(self.next[0]) + len(self.next[1]) > TRANSITIONS:
             self.forget()
         ends, links, state, i, j = [], [], 0, 0, 0
-        after_a, after_b = self.next
-        while state or i < len(a) or j < len(b):
-            if not state or self.suffixes[state][0]:  # nothing dangles, or B leads: A's turn
+        (after_a, after_b), suffixes = (x.get for x in self.next), self.suffixes
+        all_a, all_b = len(a), len(b)
+        while state or i < all_a or j < all_b:
+            if not state or suffixes[state][0]:  # nothing dangles, or B leads: A's turn
                 token = a[i]
                 i += 1
                 if state:
                     links.append((token, b[j - 1]))
-                after = after_a.get(state << 20 | token)
+                after = after_a(state << 20 | token)
                 state = self.step(state, 0, token) if after is None else after
             else:
                 token = b[j]
                 j += 1
                 links.append((a[i - 1], token))
-                after = after_b.get(state << 20 | token)
+                after = after_b(state << 20 | token)
                 state = self.step(state, 1, token) if after is None else after
             if not state:
                 ends.append((i, j))
@@ -96,7 +101,7 @@ class Pair:
         import public_tokenizers
 
         with open(a if "/" in a else public_tokenizers.path(a)) as state:
-            self.a = Encoder(Ranks.of_tokenizer(json.load(state)))
+            self.a = Encoder(Ranks.of_tokenizer(json.load(state)), entries=REMEMBERED)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b if "/" in b else public_tokenizers.path(b))
         tokens = self.a.ranks.tokens
         self.width = self.b.get_piece_size()
@@ -107,7 +112,7 @@ class Pair:
         self.transducer = Transducer([tokens.get(i, b"") for i in range(max(tokens) + 1)], b_bytes)
         self.blank = self.b.piece_to_id("▁")
         self.a_names, self.b_names = [str(i) for i in range(max(tokens) + 1)], [str(i) for i in range(self.width)]
-        self.known = Memory()
+        self.known = Memory(REMEMBERED)
 
     def keys(self, text: str | None) -> list[str]:
         return [k for k in self.a.keys(" " + text) if k != RAW] if text else []
@@ -129,11 +134,12 @@ class Pair:
                 yield key, None
                 continue
             ends, links = self.transducer.align(a, b)
-            groups, i, j = [], 0, 0
-            for to_i, to_j in ends:
-                groups.append(",".join(map(a_name, a[i:to_i])) + "|" + ",".join(map(b_name, b[j:to_j])))
-                i, j = to_i, to_j
-            yield key, (len(a), ";".join(groups).encode(), array("q", [x * width + y for x, y in links]).tobytes())
+            if len(ends) == 1:
+                groups = ",".join(map(a_name, a)) + "|" + ",".join(map(b_name, b))
+            else:
+                a_names, b_names = list(map(a_name, a)), list(map(b_name, b))
+                groups = ";".join([f"{a_names[i]}|{b_names[j]}" if to_i - i == to_j - j == 1 else ",".join(a_names[i:to_i]) + "|" + ",".join(b_names[j:to_j]) for (i, j), (to_i, to_j) in pairwise([(0, 0), *ends])])
+            yield key, (len(a), groups.encode(), array("q", [x * width + y for x, y in links]).tobytes())
 
 
 #: Kept between the tasks of a worker.
@@ -163,7 +169,11 @@ def align(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k
         pair = remembered_pair(a, b)
 
         def flush(held: list[tuple[int | None, list[str]]]) -> pa.RecordBatch:
-            long = pair.known.learn({k for _, keys in held for k in keys}, pair.of)
+            gc.disable()  # nothing here goes in circles: the collector would only walk all that is remembered, again and again
+            try:
+                long = pair.known.learn({k for _, keys in held for k in keys}, pair.of)
+            finally:
+                gc.enable()
             look = pair.known.__getitem__
             counts, groups, links = [], [], []
             for _, keys in held:

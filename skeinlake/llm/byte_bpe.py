@@ -32,9 +32,10 @@ CHARS, IDS = 2_000_000, 1_000_000
 class Memory(dict):
     """What has been worked out for short strings. When it is full, what wasn't asked for since it was full before goes."""
 
-    def __init__(self):
+    def __init__(self, entries: int | None = None):
         super().__init__()
         self.before: dict = {}
+        self.entries = REMEMBERED if entries is None else entries
 
     def learn(self, asked: set[str], work: Callable[[list[str]], Iterable[tuple[str, object]]]) -> list[str]:
         """Has all that is asked for afterwards; the long strings among it, which forget() should get once they are used."""
@@ -42,7 +43,7 @@ class Memory(dict):
         again = new & self.before.keys()
         self.update((w, self.before[w]) for w in again)
         new -= again
-        if len(self) + len(new) > REMEMBERED:
+        if len(self) + len(new) > self.entries:
             self.before = dict(self)
             self.clear()
             self.update((w, self.before[w]) for w in asked - new)
@@ -229,12 +230,12 @@ class Ranks:
 class Encoder:
     """A vocabulary, the pattern that cuts texts, and the chunks and words met so far."""
 
-    def __init__(self, ranks: Ranks, pattern: str | None = None):
+    def __init__(self, ranks: Ranks, pattern: str | None = None, entries: int | None = None):
         import public_tokenizers
         import regex
 
         self.ranks = ranks
-        self.words, self.chunks = Memory(), Memory()
+        self.words, self.chunks = Memory(entries), Memory(entries)
         self.cut = regex.compile(public_tokenizers.PATTERN if pattern is None else pattern).findall
         # a pattern of one's own may join what the public one parts, so its texts aren't split before
         self.odd = regex.compile(r"\s[ \n]").search if pattern is None else lambda text: True

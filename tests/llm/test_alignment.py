@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from skeinlake.llm import alignment, byte_bpe, queries
+from skeinlake.llm import alignment, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,7 +99,8 @@ TEXTS = [None, "", " ", "a", "a  b\n\n c", "it's  \n the end ", "</s> <|endoftex
 
 @pytest.mark.parametrize("common", [1, 7, 1000])
 def test_edges_whatever_counts_as_common(spark, brute, monkeypatch, common):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 4)
+    monkeypatch.setattr(alignment, "REMEMBERED", 4)
+    alignment.MEMORIES["pairs"]()
     docs = spark.createDataFrame([(i // 2, t, "clash", 1) for i, t in enumerate(TEXTS)] + [(None, "no id", "clash", 2)], "doc_id long, text string, links string, row int")
     got = sorted(tuple(r[c] for c in COLUMNS) for r in run(docs, spark, common=common).collect())
     assert got == sorted(brute([*TEXTS, "no id"]))

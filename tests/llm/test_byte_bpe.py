@@ -59,6 +59,7 @@ def test_a_rank_file_whose_joined_token_starts_a_lower_pair():
 
 def test_edges(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
+    byte_bpe.MEMORIES["ranks"]()
     texts = [None, "", " ", "it's  the\n\n end \t", "<|endoftext|>", "漢字" * 4000, "the the", "the the", "\x00\x85 ", "x" * 5000, "\n a", " \n\nb", "a\n\n b\tc d ", "\n", "a\nb", "a \nb", "\u3000 x", "a\x85 b"]
     rows = [(i, t, "extra", 1) for i, t in enumerate(texts)] + [(None, "no id", "extra", 2), (3, "same id", "extra", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded int")
