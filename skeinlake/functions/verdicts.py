@@ -92,8 +92,8 @@ def cors_severity(origin: Column, allowed: Column, credentials: Column) -> Colum
 
 
 def redirects_to(location: Column, host: str, path: str) -> Column:
-    """Whether a resolved Location leads to a canary's host and path."""
-    return F.coalesce((urls.host(location) == host) & (urls.path(location) == path), F.lit(False))
+    """Whether a resolved Location leads to a canary's host and path, by http or https."""
+    return F.coalesce(urls.scheme(location).isin("http", "https") & (urls.host(location) == host) & (urls.path(location) == path), F.lit(False))
 
 
 def https_check(url: Column) -> Column:

@@ -43,9 +43,9 @@ def origin_candidates(hosts: DataFrame, nets: DataFrame, host: str = "host", ip:
 
 
 def banner_rows(banners: DataFrame, cached: DataFrame) -> DataFrame:
-    """(banner, row) of banners (banner, product, version) and the first cached row (row, product, text) of their product whose text names product and version."""
-    c = cached.select(F.lower("product").alias("p"), "row", "text")
-    named = F.contains(F.lower("text"), F.lower("product")) & F.contains("text", F.col("version"))
+    """(banner, row) of banners (banner, product, version) and the first cached row (row, product, id, text) of their product that has a CVE id and names product and version in text or id, in any case."""
+    c = cached.where(F.startswith("id", F.lit("CVE-"))).select(F.lower("product").alias("p"), "row", F.lower(F.concat_ws(" ", "text", "id")).alias("said"))
+    named = F.contains("said", F.lower("product")) & (F.col("version") != "") & F.contains("said", F.lower("version"))
     return banners.join(c, F.lower("product") == F.col("p")).where(named).groupBy("banner").agg(F.min("row").alias("row"))
 
 

@@ -91,7 +91,7 @@ def rul_15_cors(spark, d):
     return lookups.cors_findings(answers)
 
 
-@query(f"SELECT seq, h = 'www.example.com' AND p = '/en/0' AS canary FROM ({PARTS})")
+@query(f"SELECT seq, s IN ('http', 'https') AND h = 'www.example.com' AND p = '/en/0' AS canary FROM ({PARTS})")
 def rul_16_open_redirect(spark, d):
     return urls(spark, d).select("seq", v.redirects_to(F.col("url"), "www.example.com", "/en/0").alias("canary"))
 
@@ -159,12 +159,12 @@ def jn_14_origin_candidates(spark, d):
     return lookups.origin_candidates(table(spark, d, "orders").select(o.alias("host"), ip.alias("ip"), o.alias("seq")), nets)
 
 
-@query("SELECT p_partkey AS banner, min(s_suppkey) AS row FROM part JOIN supplier ON p_brand = 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 3) WHERE (p_size % 7) = s_suppkey % 7 GROUP BY p_partkey")
+@query("SELECT p_partkey AS banner, min(s_suppkey) AS row FROM part JOIN supplier ON p_brand = 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 3) WHERE (p_size % 7) = s_suppkey % 7 AND s_suppkey % 4 <> 0 GROUP BY p_partkey")
 def jn_15_banner_rows(spark, d):
     s = F.col("s_suppkey")
     product = F.concat(F.lit("Brand#"), (1 + s % 5).cast("string"), (1 + s % 3).cast("string"))
-    cached = table(spark, d, "supplier").select(s.alias("row"), product.alias("product"), F.concat(F.lit("Flaw in "), F.upper(product), F.lit(" v"), (s % 7).cast("string"), F.lit(";")).alias("text"))
-    banners = table(spark, d, "part").select(F.col("p_partkey").alias("banner"), F.col("p_brand").alias("product"), F.concat(F.lit("v"), (F.col("p_size") % 7).cast("string"), F.lit(";")).alias("version"))
+    cached = table(spark, d, "supplier").select(s.alias("row"), product.alias("product"), F.concat(F.when(s % 4 == 0, "EDB-").otherwise("CVE-2024-"), s.cast("string")).alias("id"), F.concat(F.lit("Flaw in "), F.upper(product), F.lit(" v"), (s % 7).cast("string"), F.lit(".1rc;")).alias("text"))
+    banners = table(spark, d, "part").select(F.col("p_partkey").alias("banner"), F.col("p_brand").alias("product"), F.concat(F.lit("V"), (F.col("p_size") % 7).cast("string"), F.lit(".1RC")).alias("version"))
     return lookups.banner_rows(banners, cached)
 
 
