@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,3 +49,15 @@ def coverage(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Share of known keys that were found."""
     k = known.select(key).distinct()
     return k.join(found.select(key).distinct().withColumn("hit", F.lit(1)), key, "left").agg(F.coalesce(F.count("hit") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("coverage"))
+
+
+def sample(rows: DataFrame, keys: Sequence[str], row_id: str, size: int, seed: str = "") -> DataFrame:
+    """A uniform sample of at most size rows for each of keys: those whose seeded digest of row_id is least.
+
+    Which rows those are doesn't depend on order or partitions, so samples of parts are merged by sampling their union. Tasks keep the least
+    `size` of each key before the shuffle (Spark pushes the rank's bound below it), so a hot key sends that many rows from a task and no more.
+    Rows of one id go in together or tie by nothing else; a null id counts as empty.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))).cast("binary"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_digest"))
+    return rows.withColumn("_digest", digest).withColumn("_place", place).where(F.col("_place") <= size).select(*rows.columns)

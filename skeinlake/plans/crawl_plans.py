@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, robots
+from ..operators import dedupe, metrics, robots
 from ..runtime import new_folder
 from ..sources import files
 from ..sources.tables import table, urls
@@ -105,3 +105,9 @@ def src_02_line_numbers(spark, d):
     events.repartition("grp").sortWithinPartitions("grp", "event_id").select("grp", "value").write.partitionBy("grp").text(path)
     lines = files.numbered_lines(spark, path)
     return lines.select(F.regexp_extract("file", "grp=([0-9]+)", 1).cast("long").alias("grp"), "line", F.get_json_object("value", "$.id").cast("long").alias("id"))
+
+
+@query("""SELECT event_type, event_id, value FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id)) AS place FROM events) WHERE place <= 128""")
+def win_15_latency_sample(spark, d):
+    """At most 128 latencies of each kind of event, drawn from all."""
+    return metrics.sample(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "event_id", 128, "7")
