@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import predicates, urls, verdicts
+from ..functions import addresses, predicates, urls, verdicts
 
 
 def cidr_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -36,6 +36,23 @@ def with_networks(hosts: DataFrame, nets: DataFrame, ip: str = "ip", name: str =
     return hosts.join(held, F.col(ip) == F.col("_ip"), "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("_ip")
 
 
+def with_longest_network(hosts: DataFrame, nets: DataFrame, ip: str = "ip", name: str = "net", unwrap: bool = False, salts: int = 8) -> DataFrame:
+    """hosts with the longest of the IPv4 and IPv6 networks (net) that hold their address; null where none does or it is no address.
+
+    Longest-prefix match by equality: each distinct address goes out once for each prefix length that its family's networks have (at most 33 and 129,
+    so the lengths are broadcast), and meets the networks of that length on its first bits. Networks are copied over salts, so one that holds
+    a large part of all addresses is no single task. Networks with bits after their length, and what is none, are passed over; of equal ones
+    in several forms the least text stands. unwrap: IPv4-mapped addresses are looked up as the IPv4 addresses in them.
+    """
+    own = nets.select("net", addresses.network(F.col("net")).alias("n")).where("n is not null").groupBy("n").agg(F.min("net").alias("net")).select("n.*", "net")
+    lengths = own.select("size", "length").distinct()
+    found = hosts.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_key", addresses.key(F.col("_ip"), unwrap)).where("_key is not null")
+    asked = found.withColumn("size", F.length("_key")).join(F.broadcast(lengths), "size").withColumn("bits", addresses.prefix(F.col("_key"), F.col("length"))).withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
+    copies = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    held = asked.join(copies, ["size", "length", "bits", "_salt"]).groupBy("_ip").agg(F.max_by("net", "length").alias("_net"))
+    return hosts.drop(name).join(held, F.col(ip) == F.col("_ip"), "left").withColumn(name, F.col("_net")).drop("_ip", "_net")
+
+
 def origin_candidates(hosts: DataFrame, nets: DataFrame, host: str = "host", ip: str = "ip", order: str = "seq") -> DataFrame:
     """(ip, host) of the addresses outside all networks of a CDN, with the first host that has them."""
     outside = with_networks(hosts, nets, ip).where(F.size("nets") == 0)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, metrics, robots
+from ..functions import addresses
+from ..operators import dedupe, lookups, metrics, robots
 from ..runtime import new_folder
 from ..sources import files
 from ..sources.tables import table, urls
-from ..streaming import memory
+from ..streaming import extraction, memory
 from .url_plans import _PATH, _QUERY, PARTS
 
 Q, SQL = {}, {}
@@ -111,3 +113,54 @@ def src_02_line_numbers(spark, d):
 def win_15_latency_sample(spark, d):
     """At most 128 latencies of each kind of event, drawn from all."""
     return metrics.sample(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "event_id", 128, "7")
+
+
+#: Networks that hold one another, of both families; those that BROKEN adds are none, or have bits after their length.
+NETS = ("0.0.0.0/1", "128.0.0.0/2", "172.64.0.0/10", "172.100.0.0/16", "172.100.1.0/25", "172.100.1.72/29", "2001:db8::/32", "2001:DB8:8::/45", "2001:db8:c:0002::/64", "2001:db8:c:2::800/117", "2a00::/12", "::/3")
+BROKEN = ("172.100.1.1/16", "172.100.1.0/33", "2001:db8::1/32", "2001:db8:::/48", "::ffff:172.0.0.0/64", "10.0.0.0", "/8")
+
+
+def _nets_sql() -> str:
+    made = [(n, ipaddress.ip_network(n)) for n in NETS]
+    return ", ".join(f"('{n}', {w.version}, '{int(w[0])}'::UHUGEINT, '{int(w[-1])}'::UHUGEINT, {w.prefixlen})" for n, w in made)
+
+
+@query(f"""WITH seen AS (SELECT event_id, event_id AS k FROM events),
+ hosts AS (SELECT event_id, k, CASE WHEN k % 5 < 2 THEN 4 WHEN k % 5 < 4 THEN 6 END AS family, CASE WHEN k % 2 = 0 THEN 8193 ELSE 10752 END AS head,
+  ((172 * 256 + k % 200) * 256 + k % 3) * 256 + k % 250 AS v4 FROM seen),
+ numbers AS (SELECT *, CASE WHEN family = 4 THEN v4::UHUGEINT ELSE head::UHUGEINT * {1 << 112}::UHUGEINT + 3512::UHUGEINT * {1 << 96}::UHUGEINT + (k % 16)::UHUGEINT * {1 << 80}::UHUGEINT + (k % 7)::UHUGEINT * {1 << 64}::UHUGEINT + (k % 4096)::UHUGEINT END AS n FROM hosts),
+ nets(net, family, low, high, size) AS (VALUES {_nets_sql()}),
+ held AS (SELECT event_id, arg_max(net, size) AS net FROM numbers h JOIN nets w ON h.family = w.family AND h.n BETWEEN w.low AND w.high GROUP BY event_id)
+ SELECT event_id, net, CASE WHEN family = 4 THEN k % 200 BETWEEN 16 AND 31 WHEN family = 6 THEN head = 8193 END AS blocked FROM hosts LEFT JOIN held USING (event_id)""")
+def jn_14_longest_network(spark, d):
+    """Addresses of both families in five forms, with their longest network and whether they are reached; one in five is none."""
+    k = F.col("event_id")
+    part = lambda n: F.lower(F.hex(k % n))
+    wide = lambda n: F.lpad(F.hex(k % n), 4, "0")
+    dotted = F.concat_ws(".", F.lit("172"), *[(k % n).cast("string") for n in (200, 3, 250)])
+    head = F.when(k % 2 == 0, "2001").otherwise("2a00")
+    short = F.concat_ws(":", head, F.lit("db8"), part(16), part(7), F.lit(""), part(4096))
+    whole = F.concat_ws(":", F.upper(head), F.lit("0DB8"), wide(16), wide(7), F.lit("0000:0:0"), wide(4096))
+    ip = F.when(k % 5 == 0, dotted).when(k % 5 == 1, F.concat(F.lit("::FFFF:"), dotted)).when(k % 5 == 2, short).when(k % 5 == 3, whole).otherwise(F.concat(dotted, F.lit(".1")))
+    nets = spark.createDataFrame([(n,) for n in (*NETS, *BROKEN)], "net string")
+    hosts = table(spark, d, "events").select("event_id", ip.alias("ip"))
+    return lookups.with_longest_network(hosts, nets, unwrap=True).select("event_id", "net", addresses.is_blocked(F.col("ip")).alias("blocked"))
+
+
+@query("""WITH own AS (SELECT page_id, page_id % 3 AS n, len(regexp_extract_all(coalesce(html, ''), '(?i)<form[\\s/>]')) AS more FROM pages)
+ SELECT page_id, -1 AS place, n + more AS n_forms, NULL AS action, NULL AS fields FROM own
+ UNION ALL SELECT page_id, j, NULL, 'https://h.example/' || page_id || '/' || j, 'csrf_token|q' || j FROM (SELECT page_id, unnest(range(n)) AS j FROM own)""")
+def str_02_page_stream(spark, d):
+    """Pages with up to two forms put before their HTML, as a stream that starts twice on one checkpoint; rows of both of its outputs."""
+    path = new_folder(spark, "extraction")
+    form = lambda j: F.concat(F.lit('<form method="post" action="https://h.example/'), F.col("page_id").cast("string"), F.lit(f'/{j}"><input name="csrf_token"><input name="q{j}"></form>'))
+    added = F.when(F.col("page_id") % 3 == 2, F.concat(form(0), form(1))).when(F.col("page_id") % 3 == 1, form(0)).otherwise("")
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat(added, F.coalesce("html", F.lit(""))).alias("html"))
+    for rest in (0, 1):
+        pages.where(F.pmod("page_id", F.lit(2)) == rest).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{path}/in")
+        extraction.write(stream, f"{path}/out", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    found = extraction.read(spark, f"{path}/out", "pages", "page_id long, n_forms int").select("page_id", F.lit(-1).alias("place"), F.col("n_forms").cast("long").alias("n_forms"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("fields"))
+    forms = extraction.read(spark, f"{path}/out", "forms", extraction.FORMS).where("startswith(form.action, 'https://h.example/')")
+    page = F.regexp_extract("form.action", "^https://h[.]example/([0-9]+)/", 1).cast("long")
+    return found.union(forms.select(page.alias("page_id"), "place", F.lit(None).cast("long"), "form.action", F.array_join("form.fields.name", "|")))
