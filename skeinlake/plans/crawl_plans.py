@@ -8,7 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import addresses
-from ..operators import dedupe, lookups, metrics, robots
+from ..operators import dedupe, lookups, metrics, robots, wordlists
+from ..operators.store import Store
 from ..runtime import new_folder
 from ..sources import files
 from ..sources.tables import table, urls
@@ -164,3 +165,17 @@ def str_02_page_stream(spark, d):
     forms = extraction.read(spark, f"{path}/out", "forms", extraction.FORMS).where("startswith(form.action, 'https://h.example/')")
     page = F.regexp_extract("form.action", "^https://h[.]example/([0-9]+)/", 1).cast("long")
     return found.union(forms.select(page.alias("page_id"), "place", F.lit(None).cast("long"), "form.action", F.array_join("form.fields.name", "|")))
+
+
+@query(f"""WITH lines AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN event_type || CASE WHEN event_id % 11 = 0 THEN ' ' ELSE '-' END || (event_id * 7919 % 9001) END AS value FROM events),
+ held AS (SELECT value, row_number() OVER (ORDER BY min(event_id)) - 1 AS ordinal FROM lines WHERE value IS NOT NULL GROUP BY value),
+ chunks AS (SELECT ordinal // {wordlists.CHUNK} AS c, sha256(string_agg(value, chr(10) ORDER BY ordinal) || chr(10)) AS sha FROM held GROUP BY 1),
+ whole AS (SELECT CASE WHEN count(*) = 1 THEN min(sha) ELSE sha256(string_agg(sha, chr(10) ORDER BY c) || chr(10)) END AS sha FROM chunks)
+ SELECT ordinal, value, 'names_' || sha[:16] AS list FROM held, whole""")
+def snk_19_wordlist(spark, d):
+    """Lines with repeats, blank ones and carriage returns, imported as a list and read back with its digest checked."""
+    k = F.col("event_id")
+    value = F.when(k % 50 != 0, F.concat("event_type", F.when(k % 11 == 0, " ").otherwise("-"), (k * 7919 % 9001).cast("string"), F.when(k % 7 == 0, "\r").otherwise(""))).otherwise(F.when(k % 3 == 0, "\r").otherwise(""))
+    store = Store(spark, new_folder(spark, "lists"))
+    found = wordlists.add(store, table(spark, d, "events").select("event_id", value.alias("value")), ["event_id"], "names", "events.txt", ["names"])
+    return wordlists.read(store, found["id"]).withColumn("list", F.lit(found["id"]))
