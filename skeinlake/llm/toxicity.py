@@ -17,7 +17,7 @@ from ..runtime import ship
 from .common import MEMORIES, discard, materialize, tidy
 
 #: Labelled examples in the index, at most, and their characters together, at most; which ones follows a hash of doc_id.
-EXAMPLES, EXAMPLE_CHARS = 6000, 40_000_000
+EXAMPLES, EXAMPLE_CHARS = 20_000, 40_000_000
 #: Examples in a block of the index.
 BLOCK = 64
 #: Terms of more than this share of the examples are held as columns rather than as lists.
@@ -245,10 +245,9 @@ def _examples(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars:
         return own
     kept, room = [], chars
     for r in sizes:
-        room -= r["n"]
-        if room < 0:
-            break
-        kept.append((r["id"],))
+        if r["n"] <= room:
+            room -= r["n"]
+            kept.append((r["id"],))
     return own.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long")), "id", "left_semi").select("id", "y", "text")
 
 

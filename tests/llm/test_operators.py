@@ -500,3 +500,16 @@ def test_a_document_alone_in_its_section_has_its_sites_rate(spark):
     got = {r["doc_id"]: r for r in quality.score(documents(spark, rows), labels).collect()}
     assert abs(got[100]["path_rate"] - got[100]["host_rate"]) < 1e-9
     assert all(got[i]["keep"] == (i % 3 > 0) for i in range(60))
+
+
+def test_toxicity_examples_beyond_the_characters_are_passed_over_one_by_one(spark):
+    from skeinlake.llm import toxicity
+
+    sizes = {i: 900 if i == 5 else 90 + i for i in range(12)}
+    docs = spark.createDataFrame([(i, "a" * n) for i, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in sizes], "doc_id long, toxic int")
+    whole = {r["id"] for r in toxicity._examples(docs, labels, "toxic", 12, 10_000).collect()}
+    assert whole == set(sizes)
+    kept = {r["id"] for r in toxicity._examples(docs, labels, "toxic", 12, 800).collect()}
+    # the long text doesn't fit, whenever its turn comes, and what comes after it still does
+    assert 5 not in kept and len(kept) in (7, 8) and sum(sizes[i] for i in kept) <= 800
