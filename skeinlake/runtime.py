@@ -36,3 +36,9 @@ def new_folder(spark: SparkSession, what: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skeinlake-")
     return f"{found.rstrip('/')}/skeinlake/{what}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of new_folder() that nothing reads any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
