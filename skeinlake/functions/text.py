@@ -60,3 +60,10 @@ def bounded(value: Column, low: float, high: float) -> Column:
 def csv_cell(value: Column) -> Column:
     """A cell that a spreadsheet would take for a formula gets a quote in front."""
     return F.when(value.rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
+
+
+def csv_line(cells: Column) -> Column:
+    """An array of texts as a line of CSV, quoted where one has a comma, quote or line end; a single empty cell is quoted."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    one = (F.size(cells) == 1) & (F.element_at(cells, 1) == "")
+    return F.when(one, F.lit('""')).otherwise(F.array_join(F.transform(cells, lambda c: F.when(c.rlike('[,"\r\n]'), quoted(c)).otherwise(c)), ","))

@@ -18,7 +18,7 @@ GREP_FORBIDDEN = r"\$\(|\|\||[\n\r]"
 LOG_PARTS = ("_wordlist", "_endpoints", "_dorks_", "_nmap_", "_report.", "_findings.csv")
 STAGES = ("POSSIBLE", "PROBABLE", "CONFIRMED")
 SAFE_METHODS = ("GET", "HEAD")
-SECRET = r"(?i)(authorization|cookie|set-cookie|api[-_]?key|token|password|secret)\s*[:=]\s*[^,;\s]+(?:\s+[^,;\s]+)?"
+SECRET = r"(?i)(authorization|cookie|set-cookie|api[-_]?key|token|password|secret)\s*[:=]\s*[^\s,;]+"
 QUERY_LENGTH = 8
 
 

@@ -8,11 +8,11 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import addresses
-from ..operators import dedupe, lookups, metrics, robots, wordlists
+from ..operators import dedupe, lookups, metrics, reports, robots, wordlists
 from ..operators.store import Store
 from ..runtime import new_folder
 from ..sources import files
-from ..sources.tables import table, urls
+from ..sources.tables import findings, findings_sql, table, urls
 from ..streaming import extraction, memory
 from .url_plans import _PATH, _QUERY, PARTS
 
@@ -179,3 +179,67 @@ def snk_19_wordlist(spark, d):
     store = Store(spark, new_folder(spark, "lists"))
     found = wordlists.add(store, table(spark, d, "events").select("event_id", value.alias("value")), ["event_id"], "names", "events.txt", ["names"])
     return wordlists.read(store, found["id"]).withColumn("list", F.lit(found["id"]))
+
+
+def _read_back(spark, path: str):
+    """(line, value) of a file that a query has written."""
+    return files.numbered_lines(spark, path).select("line", "value")
+
+
+#: Values that need quotes, or a quote in front.
+_VALUES = ("plain", "a,b", 'say ""x""', "=1+1", " -2", "é漢")
+
+
+def _items_sql() -> str:
+    cell = "CASE WHEN regexp_matches({v}, '^\\s*[=+\\-@]') THEN '''' || {v} ELSE {v} END"
+    quoted = "CASE WHEN regexp_matches({c}, '[,\"]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+    field = lambda v: quoted.format(c="(" + cell.format(v=v) + ")")
+    values = "[" + ", ".join("'" + v.replace('""', '"') + "'" for v in _VALUES) + "][1 + event_id % 6]"
+    return f"""WITH own AS (SELECT event_id, event_id % 4 AS k, {values} AS v, CASE WHEN event_id % 5 = 0 THEN 'HIGH' ELSE 'INFO' END AS severity FROM events),
+ made AS (SELECT CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 4 END AS place, event_id,
+  CASE k WHEN 0 THEN 'Subdomain Takeover,' || severity || ',' || {field('v')} || ',s' WHEN 1 THEN 'Secrets em JavaScript,' || severity || ',https://h.example/' || event_id || ',' || {field("v || ': [REDACTED]'")}
+   WHEN 2 THEN 'CORS Misconfiguration,' || severity || ',u,' || {field("'origin=' || v || ' acao=*'")} ELSE 'Subdominio (crt.sh),INFO,' || {field('v')} || ',' END AS value FROM own)
+ SELECT 1::BIGINT AS line, 'categoria,severidade,alvo,detalhe' AS value UNION ALL SELECT 1 + row_number() OVER (ORDER BY place, event_id), value FROM made"""
+
+
+@query(_items_sql())
+def snk_05_csv_sections(spark, d):
+    """Events as items of four sections, written as one CSV file by many tasks and read back line by line."""
+    k = F.col("event_id")
+    v = F.element_at(F.array(*[F.lit(x.replace('""', '"')) for x in _VALUES]), (k % 6 + 1).cast("int"))
+    severity = F.when(k % 5 == 0, "HIGH")
+    named = lambda **c: F.to_json(F.struct(severity.alias("severity"), *[x.alias(n) for n, x in c.items()]))
+    item = (
+        F.when(k % 4 == 0, named(subdomain=v, service=F.lit("s")))
+        .when(k % 4 == 1, named(url=F.concat(F.lit("https://me:pw@H.example/"), k.cast("string"), F.lit("#f")), tipo=v, valor=F.lit("s3cr3t")))
+        .when(k % 4 == 2, named(url=F.lit("u"), origin_testada=v, acao=F.lit("*")))
+        .otherwise(v)
+    )
+    section = F.element_at(F.array(*map(F.lit, ("subdomain_takeover", "secrets_js", "cors", "subdomains"))), (k % 4 + 1).cast("int"))
+    path = new_folder(spark, "report") + "/sections.csv"
+    reports.write_csv(table(spark, d, "events").select(section.alias("section"), k.alias("ordinal"), item.alias("item")), path)
+    return _read_back(spark, path)
+
+
+@query(f"""WITH found AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS i FROM {findings_sql(50)}),
+ annex AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i FROM pages QUALIFY i <= 500),
+ kinds AS (SELECT count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l, count(*) FILTER (severity = 'INFO') AS n FROM found),
+ texts(section, item, lines) AS (
+  SELECT 0, 0, ['{'=' * 80}', 'REPORT', '{'=' * 80}', 'ALVO: https://h.example/ | IP: unknown | DATA: 2024-01-01',
+   'DURAÇÃO: unknown | MODO: Scan | RISK SCORE: ' || CASE WHEN c + h + m + l = 0 THEN '0.0' ELSE printf('%.1f', round_even((10 * c + 7 * h + 4 * m + l) / (c + h + m + l), 1)) END || '/10', '{'=' * 80}', '', '[RESUMO EXECUTIVO]',
+   '- CRÍTICO: ' || c || ' | ALTO: ' || h || ' | MÉDIO: ' || m || ' | BAIXO: ' || l || ' | INFO: ' || n, '- Superfície analisada: ' || (SELECT count(*) FROM pages) || ' endpoints',
+   '- Evidências limitadas a 500 caracteres e segredos são redigidos.', ''] FROM kinds
+  UNION ALL SELECT 1, i, ['[' || i || '] ' || id || ' — ' || severity || ' — POSSIBLE — CONFIDENCE: MEDIUM — SCORE: 0/100', '    URL: ' || url] || CASE WHEN parameter <> '' THEN ['    Parâmetro: ' || parameter] ELSE []::VARCHAR[] END
+   || ['    Evidência:', '      ' || CASE WHEN ordinal % 3 = 0 THEN 'token=<redacted> ' || repeat('x', 500 - 9 - (ordinal % 7)::INTEGER) ELSE '' END, '    Impacto: Requer validação contextual do impacto.', '    Remediação: ', '    CWE:  | CVE: ', ''] FROM found
+  UNION ALL SELECT 2, 0, ['[ANEXO A] ENDPOINTS DISCOVERED'] UNION ALL SELECT 2, i, ['  - /p/' || page_id] FROM annex
+  UNION ALL SELECT 3, 0, ['', '[ANEXO B] TECHNOLOGIES DETECTED'])
+ SELECT row_number() OVER (ORDER BY section, item, part) AS line, value FROM (SELECT section, item, unnest(lines) AS value, generate_subscripts(lines, 1) AS part FROM texts)""")
+def snk_09_text_report(spark, d):
+    """All findings as one text report, numbered and with secrets of up to seven characters in evidence that is longer than a report shows; read back line by line."""
+    own = findings(spark, d, 50)
+    secret = F.concat(F.lit("token: "), F.expr("repeat('s', cast(ordinal % 7 + 1 as int))"), F.lit(" "), F.expr("repeat('x', 491)"))
+    own = own.withColumn("evidence", F.when(F.col("ordinal") % 3 == 0, secret))
+    endpoints = table(spark, d, "pages").select(F.col("page_id").alias("ordinal"), F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("value"))
+    path = new_folder(spark, "report") + "/report.txt"
+    reports.write_text(own, path, title="REPORT", target="https://h.example/#x", date="2024-01-01", endpoints=endpoints)
+    return _read_back(spark, path)

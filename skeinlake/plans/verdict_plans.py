@@ -126,11 +126,16 @@ def fn_13_wordlist_names(spark, d):
     return table(spark, d, "part").select("p_partkey", v.wordlist_category(category, ("paths", "params")).alias("category"), v.wordlist_label(name).alias("label"))
 
 
-@query("SELECT doc_id, left(coalesce(text, ''), 490) || ' token=<re' AS clipped FROM documents WHERE NOT regexp_matches(left(coalesce(text, ''), 500), '(?i)(authorization|cookie|api[-_]?key|token|password|secret)\\s*[:=]') AND length(coalesce(text, '')) >= 490")
+#: Ends of texts that are cut: names, signs and blanks of several kinds, values that end in several ways, and what only looks like a secret.
+_ENDS = (" token=abcdefgh rest", " Cookie :  a;b=c", " API_KEY=", " x-set-cookie:k v,w", " password = p\u00e4ss\u6f22,", " secret token:a secret=b", " authorization Bearer", " api-key:z")
+
+
+@query("SELECT doc_id, regexp_replace(left(left(coalesce(text, ''), 470 + (doc_id % 40)::INTEGER) || [" + ", ".join(f"'{e}'" for e in _ENDS) + "][1 + doc_id % 8], 500), '(authorization|cookie|set-cookie|api[-_]?key|token|password|secret)\\s*[:=]\\s*[^\\s,;]+', '\\1=<redacted>', 'gi') AS clipped FROM documents")
 def fn_06_clip(spark, d):
-    rows = table(spark, d, "documents").where(~F.coalesce(F.substring("text", 1, 500), F.lit("")).rlike(r"(?i)(authorization|cookie|api[-_]?key|token|password|secret)\s*[:=]") & (F.length(F.coalesce("text", F.lit(""))) >= 490))
-    clipped = v.clip(F.concat(F.substring("text", 1, 490), F.lit(" token=abcdefgh")))
-    return rows.select("doc_id", F.regexp_replace(clipped, "token=<redacted>$", "token=<re").alias("clipped"))
+    k = F.col("doc_id")
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (k % 8 + 1).cast("int"))
+    text = F.concat(F.substring(F.coalesce("text", F.lit("")), F.lit(1), (470 + k % 40).cast("int")), end)
+    return table(spark, d, "documents").select("doc_id", v.clip(text).alias("clipped"))
 
 
 @query("SELECT page_id AS seq, instr(lower(url), 'example.com') > 0 AS echoed, regexp_replace(url, 'example\\.com', '[QUERY OMITTED]', 'gi') AS omitted FROM pages")
