@@ -34,6 +34,10 @@ def cache_view(rows: DataFrame, keys: Sequence[str], order: Column, expires: Col
     return rows.groupBy(*keys).agg(F.max_by(own, order).alias("_r")).select("_r.*").where(F.col("_e") >= now).drop("_e")
 
 
+#: The table of the migrations that have been applied.
+MIGRATED = "schema_migrations"
+
+
 class Store:
     """Tables of scans, findings, endpoints, history and caches below one folder, with one writer at a time.
 
@@ -50,19 +54,36 @@ class Store:
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
-        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(p.getName() for p in done)
+        done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        if any("." in v for v in done):
+            applied = self.applied()
+            done = [v for v in done if "." not in v or v.split(".", 1)[1] in applied]
+        return sorted(done)
+
+    def applied(self) -> dict[str, object]:
+        """The migrations that count, with the times at which they were applied; a row each."""
+        found = self.read(MIGRATED)
+        return {} if found is None else {r["version"]: r["applied_at"] for r in found.collect()}
 
     def read(self, name: str) -> DataFrame | None:
         versions = self._versions(name)
         return self.spark.read.parquet(f"{self.root}/{name}/{versions[-1]}") if versions else None
 
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
+    def write(self, name: str, rows: DataFrame, migration: str = "") -> DataFrame:
+        """Writes the next version of a table; one of a migration counts once the migration does. What a lost job left in its place goes."""
         versions = self._versions(name)
-        after = f"v{(int(versions[-1][1:]) if versions else 0) + 1:08d}"
-        rows.write.parquet(f"{self.root}/{name}/{after}")
+        after = f"v{(int(versions[-1][1:9]) if versions else 0) + 1:08d}" + (f".{migration}" if migration else "")
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{after}")
         return self.spark.read.parquet(f"{self.root}/{name}/{after}")
 
+    def forget(self, migration: str) -> None:
+        """Removes what an attempt at a migration left in any table."""
+        jvm = self.spark._jvm
+        left = jvm.org.apache.hadoop.fs.Path(f"{self.root}/*/v*.{migration}")
+        fs = left.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in fs.globStatus(left) or ():
+            fs.delete(s.getPath(), True)
+
     def add_scan(self, scan: dict, findings: DataFrame, keys: Sequence[str] = ("target", "id", "url", "parameter")) -> int:
         """Stores a scan and its findings (first of equal fingerprints), brings the history up to date, and gives the scan's id."""
         from ..functions.findings import fingerprint

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import addresses
-from ..operators import dedupe, lookups, metrics, reports, robots, wordlists
+from ..operators import dedupe, lookups, metrics, migrations, reports, robots, wordlists
 from ..operators.store import Store
 from ..runtime import new_folder
 from ..sources import files
@@ -243,3 +243,16 @@ def snk_09_text_report(spark, d):
     path = new_folder(spark, "report") + "/report.txt"
     reports.write_text(own, path, title="REPORT", target="https://h.example/#x", date="2024-01-01", endpoints=endpoints)
     return _read_back(spark, path)
+
+
+@query(f"""SELECT ordinal, 'POSSIBLE' AS stage, 0 AS confidence_score, '{{}}' AS evidence_metadata, count(*) OVER w AS occurrences, min(seen_at) OVER w AS first_seen, 1 + 2 + 0 AS applied
+ FROM {findings_sql(50)} WINDOW w AS (PARTITION BY id, coalesce(parameter, ''))""")
+def rep_04_migrations(spark, d):
+    """Findings of a store of the first version, brought to the last one, twice; with the history that was made of them."""
+    store = Store(spark, new_folder(spark, "migrated"))
+    applied = migrations.migrate(store, migrations.MIGRATIONS[:1])
+    rows = findings(spark, d, 50).select(F.col("scan_id").cast("long").alias("scan_id"), F.concat_ws("|", "id", F.coalesce("parameter", F.lit(""))).alias("fp"), "ordinal", "seen_at", F.col("id").alias("name"), "severity")
+    store.write("findings", store.read("findings").unionByName(rows, allowMissingColumns=True))
+    applied += migrations.migrate(store) + migrations.migrate(store)
+    seen = store.read("history").select("fp", "occurrences", "first_seen")
+    return store.read("findings").join(seen, "fp").select("ordinal", "stage", "confidence_score", "evidence_metadata", "occurrences", "first_seen", F.lit(applied).alias("applied"))
