@@ -59,11 +59,19 @@ def origin_candidates(hosts: DataFrame, nets: DataFrame, host: str = "host", ip:
     return outside.groupBy(ip).agg(F.min_by(host, order).alias(host))
 
 
-def banner_rows(banners: DataFrame, cached: DataFrame) -> DataFrame:
-    """(banner, row) of banners (banner, product, version) and the first cached row (row, product, id, text) of their product that has a CVE id and names product and version in text or id, in any case."""
-    c = cached.where(F.startswith("id", F.lit("CVE-"))).select(F.lower("product").alias("p"), "row", F.lower(F.concat_ws(" ", "text", "id")).alias("said"))
-    named = F.contains("said", F.lower("product")) & (F.col("version") != "") & F.contains("said", F.lower("version"))
-    return banners.join(c, F.lower("product") == F.col("p")).where(named).groupBy("banner").agg(F.min("row").alias("row"))
+def banner_rows(banners: DataFrame, cached: DataFrame, salts: int = 32) -> DataFrame:
+    """(banner, row) of banners (banner, product, version) and the first cached row (row, product, id, text) of their product that has a CVE id and names product and version in text or id, in any case.
+
+    What banners ask, a product and a version, meets the cached rows once, however many banners ask it. A product's cached rows are dealt over salts
+    and what is asked copied to them, so that a product that most rows have is no single task.
+    """
+    n = max(2, int(banners.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = banners.select("banner", F.lower("product").alias("p"), F.lower("version").alias("v")).where("v <> ''")
+    c = cached.where(F.startswith("id", F.lit("CVE-"))).select(F.lower("product").alias("p"), "row", F.lower(F.concat_ws(" ", "text", "id")).alias("said")).where(F.contains("said", F.col("p")))
+    dealt = c.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(salts))).repartition(n, "p", "_salt")
+    asked = own.select("p", "v").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))).repartition(n, "p", "_salt")
+    first = dealt.join(asked, ["p", "_salt"]).where(F.contains("said", F.col("v"))).groupBy("p", "v").agg(F.min("row").alias("row"))
+    return own.join(first, ["p", "v"]).groupBy("banner").agg(F.min("row").alias("row"))
 
 
 def cors_findings(answers: DataFrame) -> DataFrame:

@@ -50,3 +50,9 @@ def _many(spark):
 
 def test_many_rows_of_one_product(spark, in_time):
     assert correlate.correlate(*_many(spark), confident=False).count() == 80_000 // 7
+
+
+def test_many_confident_rows_of_one_product(spark, in_time):
+    tech, adv = _many(spark)
+    found = correlate.correlate(tech.withColumn("confidence", F.when(F.col("id") % 2 == 0, "LOW").otherwise("MEDIUM")), adv)
+    assert found.count() == len([i for i in range(80_000) if i % 7 == 6 and i % 2])
