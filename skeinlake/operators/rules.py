@@ -36,6 +36,9 @@ DOM_SOURCE = r"(?i)(?:location\.(?:search|hash)|document\.(?:URL|documentURI|ref
 DOM_SINK = r"(?i)(?:\.innerHTML\s*=|\.outerHTML\s*=|document\.write\s*\(|insertAdjacentHTML\s*\()"
 REQUIRED = (("content-security-policy", "headers.csp"), ("x-content-type-options", "headers.xcto"), ("strict-transport-security", "tls.hsts"), ("referrer-policy", "headers.referrer-policy"))
 
+#: Passive rules that read the body for what it discloses.
+BODY_RULES = ("directory-listing", "source-map-reference", "possible-secret-disclosure", "debug-information-disclosure", "phpinfo-page-exposed", "private-address-disclosure")
+
 FINDING = "struct<id:string,severity:string,confidence:string,evidence:string>"
 
 
