@@ -84,3 +84,29 @@ def test_numbers_of_many_rows(spark):
     got = number(rows, "k", 10).select("id", "k").orderBy("id").collect()
     assert [r.id for r in got] == list(range(11, 40_011))
     assert [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_blocks_cut_across_batches_and_candidates(spark, monkeypatch):
+    """Null keys, few rows at a time and few pairs at a time give the same marks."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(dedupe, "TOGETHER", 3)
+    monkeypatch.setattr(dedupe, "PAIRS", 2)
+    rows = sorted(((None if c == "c1" else c), n, h) for c, n, h in made(120, 4) if c == "c0") + [("d", 500 + i, 7) for i in range(9)]
+    size, dealt = 8, []
+    for i, (c, n, h) in enumerate(rows):
+        dealt.append((c, n, h, i, i // size, True))
+        if h is not None:
+            dealt.append((c, n, h, i, i // size + 1, False))
+    dealt.sort(key=lambda r: (r[4], r[3]))
+    names = ["_k0", "_seq", "_h", "_place", "_block", "_own"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in dealt[i : i + 7]], pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)))) for i in range(0, len(dealt), 7)]
+    got = [tuple(r.values()) for b in dedupe._mark_blocks(iter(batches), 1, 3, size) for r in b.to_pylist()]
+    assert sorted(got) == brute([(c, n, unsigned(h)) for c, n, h in rows], 3, size)
+
+
+def test_rows_are_dealt_once_to_two_blocks(spark):
+    """What is shuffled beside the numbering are two copies of a row, not one for each pair of bands."""
+    df = spark.createDataFrame(made(50, 1), "crawl string, n long, h long")
+    plan = dedupe.sliding_duplicates(df, "n", "h", 3, 16, ["crawl"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "band" not in plan and plan.count("Generate explode") == 1
