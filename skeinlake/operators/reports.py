@@ -45,14 +45,14 @@ WIDTH = 10_000
 
 
 def _lines(rows: DataFrame, section: int, item: Column, lines: Column) -> DataFrame:
-    """(section, item, part, line) of an array of lines a row; null ones are left out."""
-    return rows.select(F.lit(section).alias("section"), item.cast("long").alias("item"), F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("part", "line"))
+    """(section, item, lines) of an array of lines a row; null ones are left out."""
+    return rows.select(F.lit(section).alias("section"), item.cast("long").alias("item"), F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
 
 
-def text_lines(
+def text_blocks(
     findings: DataFrame, title: str, target: str, date: str, *, ip: str = "unknown", duration: str = "unknown", mode: str = "Scan", endpoints: DataFrame | None = None, technologies: DataFrame | None = None, raw: str | None = None
 ) -> DataFrame:
-    """(section, item, part, line): the lines of a text report; in the order of the first three columns they are the report.
+    """(section, item, lines): the blocks of a text report, each an array of lines; in the order of the first two columns they are the report.
 
     findings (ordinal, and any of name, id, severity, stage, confidence, confidence_score, url, parameter, evidence, impact, remediation, cwe, cve; observed_at,
     source, response_status, response_sha256, baseline_status, baseline_sha256 and delta where evidence was kept) are numbered in the order of ordinal, all
@@ -116,9 +116,15 @@ def text_lines(
     return whole
 
 
+def text_lines(findings: DataFrame, *args, **options) -> DataFrame:
+    """(section, item, part, line): the lines of text_blocks(); in the order of the first three columns they are the report."""
+    return text_blocks(findings, *args, **options).select("section", "item", F.posexplode("lines").alias("part", "line"))
+
+
 def write_text(findings: DataFrame, path: str, **options) -> int:
-    """Writes text_lines() as one file and gives its bytes."""
-    return onefile.write(text_lines(findings, **options), ("section", "item", "part"), "line", path)
+    """Writes text_blocks() as one file and gives its bytes; a block is dealt and placed as one text, not line by line."""
+    blocks = text_blocks(findings, **options).where(F.size("lines") > 0)
+    return onefile.write(blocks.select("section", "item", F.array_join("lines", "\n").alias("text")), ("section", "item"), "text", path)
 
 
 def csv_lines(items: DataFrame) -> DataFrame:
