@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import gc
 import json
-from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -15,13 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .byte_bpe import RAW, Encoder, Memory, Ranks, chunk
+from .byte_bpe import NONE, RAW, Encoder, Memory, Pairs, Ranks, chunk
 from .common import MEMORIES, discard, materialize, tidy
 
 #: Transitions that a worker remembers; the memory is emptied when it is full.
 TRANSITIONS = 300_000
+#: Chunks of more tokens of both sides walk alone, and others as long as so many walk together.
+LONG, TOGETHER = 128, 64
 #: Chunks, and words of A, in each of the two generations of a worker's memories.
 REMEMBERED = 120_000
+#: What stands for a chunk whose tokens don't give its bytes back; no text has as many tokens.
+BROKEN = (-(1 << 40), b"", b"")
+#: Keys that begin so, the empty one too, aren't a blank and a word.
+ODD = ("", RAW, "\n")
+#: New chunks that are aligned together.
+CHUNKS = 1 << 14
 #: Characters of texts that are aligned together, and bytes of groups in a batch that leaves.
 CHARS = 1_000_000
 #: An id pair that holds at least one in so many of all links is common: by arithmetic there are no more such pairs than this.
@@ -44,6 +51,10 @@ class Transducer:
         self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.suffixes: list[tuple[int, bytes]] = [(0, b"")]
         self.next: tuple[dict[int, int], dict[int, int]] = {}, {}
+        none = np.empty(0, np.int32)
+        self.table, self.entered = Pairs(none, none, none, 1 << 12), 0
+        self.behind = np.zeros(1024, np.int8)  # the side of the next token by state, as far as `sides` goes
+        self.sides = 1
 
     def step(self, state: int, side: int, token: int) -> int:
         """The state after side's token; ValueError where its bytes aren't those of the suffix."""
@@ -66,30 +77,96 @@ class Transducer:
         self.next[side][state << 20 | token] = found
         return found
 
+    def after(self, state: np.ndarray, side: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The states of step() for many at once; what isn't remembered is worked out once for all that need it."""
+        left = state << 1 | side
+        out = self.table.find(left, token)
+        new = np.flatnonzero(out == NONE)
+        if len(new):
+            keys, place = np.unique(left[new].astype(np.int64) << 20 | token[new], return_inverse=True)
+            found = np.array([self.step(k >> 21, k >> 20 & 1, k & 0xF_FFFF) for k in keys.tolist()], np.int32)
+            if 2 * (self.entered + len(keys)) > len(self.table.keys):
+                self.table = self.table.larger(4 * (self.entered + len(keys)))
+            self.table.enter((keys >> 20).astype(np.int32), (keys & 0xF_FFFF).astype(np.int32), found)
+            self.entered += len(keys)
+            out[new] = found[place]
+            if len(self.suffixes) > len(self.behind):
+                self.behind = np.concatenate([self.behind, np.zeros(max(len(self.behind), len(self.suffixes)), np.int8)])
+            self.behind[self.sides : len(self.suffixes)] = [1 - lead for lead, _ in self.suffixes[self.sides :]]
+            self.sides = len(self.suffixes)
+        return out
+
+    def align_all(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """align() of many chunks, whose tokens stand in turn in a and b: for each step of each chunk in turn (side, token, whether a group closes
+        behind it, the token of the other side that it is linked with or -1).
+
+        Chunks walk together, a token each in a round; a chunk's n-th step has a place of its own, so that no order has to be restored.
+        """
+        n_a, n_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+        total = n_a + n_b
+        side, token, closes, other = np.zeros(len(a) + len(b), np.int8), np.zeros(len(a) + len(b), np.int32), np.zeros(len(a) + len(b), bool), np.full(len(a) + len(b), -1, np.int32)
+        first = np.cumsum(total) - total
+        alone = total > LONG
+        live = np.flatnonzero((total > 0) & ~alone)
+        # full tables are emptied between walks, never in one
+        if self.entered + len(self.next[0]) + len(self.next[1]) > TRANSITIONS:
+            self.forget()
+        i, j, at, left = (a_ends - n_a)[live], (b_ends - n_b)[live], first[live], total[live]
+        state = np.zeros(len(live), np.int32)
+        a_or_0, b_or_0 = (np.concatenate([x, np.zeros(1, np.int32)]) for x in (a, b))
+        while len(live) >= TOGETHER:
+            own = self.behind[state]
+            is_b = own == 1
+            next_a, next_b = a_or_0[i], b_or_0[j]
+            now = np.where(is_b, next_b, next_a)
+            before = np.where(is_b, a_or_0[i - 1], b_or_0[j - 1])
+            side[at], token[at] = own, now
+            other[at] = np.where(state == 0, -1, before)
+            state = self.after(state, own, now)
+            shut = state == 0
+            closes[at] = shut
+            i, j, at, left = i + ~is_b, j + is_b, at + 1, left - 1
+            if not left.all():
+                stays = left > 0
+                live, i, j, at, left, state = live[stays], i[stays], j[stays], at[stays], left[stays], state[stays]
+        for row in chain(live.tolist(), np.flatnonzero(alone).tolist()):
+            x, y = a[a_ends[row] - n_a[row] : a_ends[row]].tolist(), b[b_ends[row] - n_b[row] : b_ends[row]].tolist()
+            for step, (own, now, shut, with_) in enumerate(self.walk(x, y), int(first[row])):
+                side[step], token[step], closes[step], other[step] = own, now, shut, with_
+        return side, token, closes, other
+
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         """Where groups end, as counts of tokens of both sides so far, and all links (a id, b id) in order."""
         if len(self.next[0]) + len(self.next[1]) > TRANSITIONS:
             self.forget()
-        ends, links, state, i, j = [], [], 0, 0, 0
+        ends, links, i, j = [], [], 0, 0
+        for side, token, closes, other in self.walk(a, b):
+            i, j = i + (side == 0), j + (side == 1)
+            if other >= 0:
+                links.append((token, other) if side == 0 else (other, token))
+            if closes:
+                ends.append((i, j))
+        return ends, links
+
+    def walk(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int, bool, int]]:
+        """The steps of one chunk, as align_all() gives them."""
+        state, i, j = 0, 0, 0
         (after_a, after_b), suffixes = (x.get for x in self.next), self.suffixes
         all_a, all_b = len(a), len(b)
         while state or i < all_a or j < all_b:
             if not state or suffixes[state][0]:  # nothing dangles, or B leads: A's turn
                 token = a[i]
                 i += 1
-                if state:
-                    links.append((token, b[j - 1]))
+                other = b[j - 1] if state else -1
                 after = after_a(state << 20 | token)
                 state = self.step(state, 0, token) if after is None else after
+                yield 0, token, not state, other
             else:
                 token = b[j]
                 j += 1
-                links.append((a[i - 1], token))
                 after = after_b(state << 20 | token)
                 state = self.step(state, 1, token) if after is None else after
-            if not state:
-                ends.append((i, j))
-        return ends, links
+                yield 1, token, not state, a[i - 1]
 
 
 class Pair:
@@ -111,35 +188,96 @@ class Pair:
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.transducer = Transducer([tokens.get(i, b"") for i in range(max(tokens) + 1)], b_bytes)
         self.blank = self.b.piece_to_id("▁")
-        self.a_names, self.b_names = [str(i) for i in range(max(tokens) + 1)], [str(i) for i in range(self.width)]
+        #: Ids as decimals with what may follow them in groups, padded with zero bytes: A's with a comma, with a bar, B's with a comma, with a semicolon.
+        names = [f"{i}{mark}".encode() for n, marks in ((max(tokens) + 1, ",|"), (self.width, ",;")) for mark in marks for i in range(n)]
+        self.names = np.array(names).view(np.uint8).reshape(len(names), -1)
+        self.sizes = np.array([len(x) for x in names], np.int64)
+        self.lengths = tuple(np.array([len(t) for t in side], np.int64) for side in self.transducer.bytes)
         self.known = Memory(REMEMBERED)
 
     def keys(self, text: str | None) -> list[str]:
         return [k for k in self.a.keys(" " + text) if k != RAW] if text else []
 
-    def pieces(self, chunks: list[str]) -> Iterator[list[int]]:
-        """B's ids of each chunk. B puts a blank before all that it gets, which stands for the chunk's own or goes again."""
-        for chunk, ids in zip(chunks, self.b.encode([c[c[:1] == " " :] for c in chunks], num_threads=1), strict=True):
-            yield ids[1:] if chunk[:1] != " " else ids if len(chunk) > 1 else [self.blank]
-
-    def of(self, keys: list[str]) -> Iterator[tuple[str, tuple[int, bytes, bytes] | None]]:
-        """Each chunk with (A's tokens, groups, links); None where the bytes of the tokens aren't the chunk's."""
-        a_bytes, b_bytes = (side.__getitem__ for side in self.transducer.bytes)
-        a_name, b_name, width = self.a_names.__getitem__, self.b_names.__getitem__, self.width
-        texts = [chunk(k) for k in keys]
-        for text, b, (key, ids) in zip(texts, self.pieces(texts), self.a.of(keys), strict=True):
-            a = array("i", ids).tolist()
-            raw = text.encode()
-            if b"".join(map(a_bytes, a)) != raw or b"".join(map(b_bytes, b)) != raw:
-                yield key, None
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all chunks in turn, and where each chunk's end."""
+        cut = list(map(self.a.cut, texts))
+        words = list(chain.from_iterable(cut))
+        long = self.a.words.learn(set(words), self.a.ranks.encode)
+        rows = list(map(self.a.words.__getitem__, words))
+        self.a.words.forget(long)
+        sizes = np.cumsum(np.fromiter(chain((0,), map(len, rows)), np.int64, len(rows) + 1)) // 4
+        return np.frombuffer(b"".join(rows), "<i4"), sizes[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+
+    def pieces(self, keys: list[str], texts: list[str], odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids of all chunks in turn, and where each chunk's end. B puts a blank before all that it gets, which stands for the chunk's own or goes again."""
+        bare = keys.copy()
+        for i in odd:
+            bare[i] = texts[i][texts[i][:1] == " " :]
+        found = self.b.encode(bare, num_threads=1)
+        for i in odd:
+            if texts[i][:1] != " ":
+                del found[i][0]
+            elif len(texts[i]) == 1:
+                found[i] = [self.blank]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])), ends
+
+    def same(self, raw: list[bytes], ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of which chunks the tokens of both sides give the bytes back."""
+        whole, sizes = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        good = np.ones(len(raw), bool)
+        for tokens, lengths, own, own_ends in zip(self.transducer.bytes, self.lengths, ids, ends, strict=True):
+            given = np.diff(np.concatenate([[0], np.cumsum(lengths[own])])[own_ends], prepend=0)
+            if (given == sizes).all() and b"".join(map(tokens.__getitem__, own.tolist())) == whole:
                 continue
-            ends, links = self.transducer.align(a, b)
-            if len(ends) == 1:
-                groups = ",".join(map(a_name, a)) + "|" + ",".join(map(b_name, b))
-            else:
-                a_names, b_names = list(map(a_name, a)), list(map(b_name, b))
-                groups = ";".join([f"{a_names[i]}|{b_names[j]}" if to_i - i == to_j - j == 1 else ",".join(a_names[i:to_i]) + "|" + ",".join(b_names[j:to_j]) for (i, j), (to_i, to_j) in pairwise([(0, 0), *ends])])
-            yield key, (len(a), groups.encode(), array("q", [x * width + y for x, y in links]).tobytes())
+            for i, (lo, hi) in enumerate(zip([0, *own_ends[:-1].tolist()], own_ends.tolist(), strict=True)):
+                good[i] &= b"".join(map(tokens.__getitem__, own[lo:hi].tolist())) == raw[i]
+        return good
+
+    def of(self, keys: list[str]) -> Iterator[tuple[str, tuple[int, bytes, bytes]]]:
+        """Each chunk with (A's tokens, groups, links); BROKEN where the bytes of the tokens aren't the chunk's."""
+        return chain.from_iterable(self._of(keys[at : at + CHUNKS]) for at in range(0, len(keys), CHUNKS))
+
+    def _of(self, keys: list[str]) -> Iterator[tuple[str, tuple[int, bytes, bytes]]]:
+        texts = [" " + k for k in keys]
+        odd = [i for i, k in enumerate(keys) if k[:1] in ODD]
+        for i in odd:
+            texts[i] = chunk(keys[i])
+        a, a_ends = self.tokens(texts)
+        b, b_ends = self.pieces(keys, texts, odd)
+        good = self.same([t.encode() for t in texts], (a, b), (a_ends, b_ends))
+        broken = [k for k, fine in zip(keys, good.tolist(), strict=True) if not fine]
+        if broken:
+            keys = [k for k, fine in zip(keys, good.tolist(), strict=True) if fine]
+            n_a, n_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            a_ends, b_ends = np.cumsum(n_a[good]), np.cumsum(n_b[good])
+        side, token, closes, other = self.transducer.align_all(a, a_ends, b, b_ends)
+        linked = np.flatnonzero(other >= 0)
+        x, y, of_b = token[linked].astype(np.int64), other[linked].astype(np.int64), side[linked] == 1
+        links = np.where(of_b, y * self.width + x, x * self.width + y).tobytes()
+        step_ends = a_ends + b_ends
+        link_ends = 8 * np.searchsorted(linked, step_ends)
+        # in a group A's tokens come first, then B's
+        shut = np.flatnonzero(closes)
+        size = np.diff(shut, prepend=-1)
+        start = np.repeat(shut + 1 - size, size)
+        b_before = np.cumsum(side) - side
+        b_in = b_before - b_before[start]
+        b_all = np.repeat(b_before[shut] + side[shut] - b_before[shut + 1 - size], size)
+        step = np.arange(len(side))
+        is_b = side == 1
+        place = np.where(is_b, np.repeat(shut + 1, size) - b_all + b_in, step - b_in)
+        of = np.empty(len(side), np.int64)
+        last = np.where(is_b, b_in == b_all - 1, place == np.repeat(shut, size) - b_all)
+        of[place] = token + np.where(is_b, 2 * len(self.lengths[0]) + last * self.width, last * len(self.lengths[0]))
+        cells = self.names[of]
+        groups = cells[cells > 0].tobytes()
+        group_ends = np.concatenate([[0], np.cumsum(self.sizes[of])])[step_ends]
+        ends, marks = group_ends.tolist(), link_ends.tolist()
+        own_groups = [groups[lo : hi - 1] for lo, hi in zip([0, *ends], ends)]  # without the last semicolon
+        own_links = [links[lo:hi] for lo, hi in zip([0, *marks], marks)]
+        return chain(((k, BROKEN) for k in broken), zip(keys, zip(np.diff(a_ends, prepend=0).tolist(), own_groups, own_links, strict=True), strict=True))
 
 
 #: Kept between the tasks of a worker.
@@ -171,16 +309,17 @@ def align(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k
         def flush(held: list[tuple[int | None, list[str]]]) -> pa.RecordBatch:
             gc.disable()  # nothing here goes in circles: the collector would only walk all that is remembered, again and again
             try:
-                long = pair.known.learn({k for _, keys in held for k in keys}, pair.of)
+                long = pair.known.learn(set(chain.from_iterable(map(itemgetter(1), held))), pair.of)
             finally:
                 gc.enable()
             look = pair.known.__getitem__
             counts, groups, links = [], [], []
             for _, keys in held:
                 found = list(map(look, keys))
-                if None in found:
-                    found = []
-                counts.append(sum(map(itemgetter(0), found)))
+                n = sum(map(itemgetter(0), found))
+                if n < 0:
+                    n, found = 0, []
+                counts.append(n)
                 groups.append(b";".join(map(itemgetter(1), found)))
                 links.append(b"".join(map(itemgetter(2), found)))
             pair.known.forget(long)

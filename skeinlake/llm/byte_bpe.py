@@ -76,11 +76,14 @@ class Pairs:
 
     FREE = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, joined: np.ndarray):
-        bits = max(4, int(len(left) * 2 + 1).bit_length())
+    def __init__(self, left: np.ndarray, right: np.ndarray, joined: np.ndarray, room: int = 0):
+        bits = max(4, int(max(len(left) * 2, room) + 1).bit_length())
         self.mask, self.shift = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
         self.keys = np.full(1 << bits, self.FREE)
         self.values = np.full(1 << bits, NONE, np.int32)
+        self.enter(left, right, joined)
+
+    def enter(self, left: np.ndarray, right: np.ndarray, joined: np.ndarray) -> None:
         keys = self._key(left, right)
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
@@ -91,6 +94,12 @@ class Pairs:
             todo = todo[~placed]
             slot[todo] = slot[todo] + np.uint64(1) & self.mask
 
+    def larger(self, room: int) -> Pairs:
+        """The same pairs with room for more."""
+        used = self.keys != self.FREE
+        keys = self.keys[used]
+        return Pairs((keys >> np.uint64(32)).astype(np.int32), (keys & np.uint64(0xFFFF_FFFF)).astype(np.int32), self.values[used], room)
+
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)

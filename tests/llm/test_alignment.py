@@ -1,8 +1,10 @@
 """Cross-tokenizer alignment against byte offsets of whole texts."""
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -120,3 +122,50 @@ def test_transitions_may_be_forgotten(monkeypatch):
     assert walk.align([0, 1, 2], [0, 1, 0]) == first
     with pytest.raises(ValueError):
         walk.align([1], [0])
+
+
+@pytest.mark.parametrize(("together", "long", "transitions"), [(1, 1000, 300_000), (1, 6, 300_000), (20, 1000, 0)])
+def test_chunks_walk_together_as_alone(monkeypatch, together, long, transitions):
+    monkeypatch.setattr(alignment, "TOGETHER", together)
+    monkeypatch.setattr(alignment, "LONG", long)
+    monkeypatch.setattr(alignment, "TRANSITIONS", transitions)
+    draw = random.Random(7)
+    a, b = ([bytes([x]) for x in b"xyz"] + [bytes(draw.choices(b"xyz", k=n)) for n in (2, 2, 3, 3, 4, 5)] for _ in "ab")
+    walk = alignment.Transducer(a, b)
+
+    def split(raw, tokens):
+        at, out = 0, []
+        while at < len(raw):
+            out.append(draw.choice([i for i, t in enumerate(tokens) if raw.startswith(t, at)]))
+            at += len(tokens[out[-1]])
+        return out
+
+    for _ in range(3):
+        raws = [bytes(draw.choices(b"xyz", k=draw.choice([0, 1, 5, 12, 40]))) for _ in range(300)]
+        sides = [[split(r, tokens) for r in raws] for tokens in (a, b)]
+        flat = [(np.array([x for row in s for x in row], np.int32), np.cumsum([len(row) for row in s])) for s in sides]
+        side, token, closes, other = walk.align_all(*flat[0], *flat[1])
+        at = 0
+        for x, y in zip(*sides):
+            to = at + len(x) + len(y)
+            n_b = np.cumsum(side[at:to])
+            shut = closes[at:to]
+            ends = [(i + 1 - int(n_b[i]), int(n_b[i])) for i in np.flatnonzero(shut)]
+            links = [(t, o) if s == 0 else (o, t) for s, t, o in zip(side[at:to].tolist(), token[at:to].tolist(), other[at:to].tolist()) if o >= 0]
+            assert (ends, links) == walk.align(x, y)
+            at = to
+
+
+def test_edges_where_chunks_walk_together(brute, monkeypatch):
+    monkeypatch.setattr(alignment, "TOGETHER", 1)
+    monkeypatch.setattr(alignment, "CHUNKS", 5)
+    pair = alignment.Pair("byte_bpe_50k.json", "piece_bpe_32k.model")
+    for text in [*TEXTS, "no id"]:
+        keys = pair.keys(text)
+        found = [dict(pair.of(keys))[k] for k in keys]
+        broken = alignment.BROKEN in found
+        groups = [] if broken else [g for _, g, _ in found]
+        n_a, _, n_groups, n_links, _, _, digest = brute([text])[0]
+        assert (0 if broken else sum(n for n, _, _ in found)) == n_a
+        assert sum(g.count(b"|") for g in groups) == n_groups and (hashlib.sha256(b";".join(groups)).hexdigest() if groups else "") == digest
+        assert (0 if broken else sum(len(links) // 8 for _, _, links in found)) == n_links
