@@ -214,6 +214,33 @@ def _terms(number: int, vocabulary: np.ndarray) -> Terms:
     return _TERMS[number]
 
 
+def pack(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """A text's terms, as differences, and their counts in few bytes; none without terms."""
+    return pa.compress(np.concatenate([np.diff(terms, prepend=0), counts]).astype(np.int32).tobytes(), codec="zstd", asbytes=True) if len(terms) else b""
+
+
+def unpack(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The n terms and counts of pack()."""
+    found = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True) if n else b"", np.int32).astype(np.int64)
+    return np.cumsum(found[:n]), found[n:]
+
+
+def counted(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(doc_id, n, terms) of each row of docs (doc_id, text): the terms of its whole text that the vocabulary has, and their counts, packed."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    number = shared._jbroadcast.id()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _terms(number, shared.value)
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                found = [words.count(text.as_py() or "") for text in batch.column(1)]
+                sizes = pa.array([len(t) for t, _ in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([pack(t, c) for t, c in found], pa.binary())], names=["doc_id", "n", "terms"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, "terms"), "doc_id long, n int, terms binary")
+
+
 def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression by pooling, a little towards the overall rate, with a slight slope left so that order is kept."""
     order = np.argsort(raw, kind="stable")
@@ -252,7 +279,14 @@ def _examples(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Model:
-    """Chooses examples, counts the words of their texts in all documents, and builds the index.
+    """The model of fit_counted() alone."""
+    model, rows = fit_counted(docs, labels, label, examples, chars)
+    discard(rows)
+    return model
+
+
+def fit_counted(docs: DataFrame, labels: DataFrame, label: str, examples: int, chars: int = EXAMPLE_CHARS) -> tuple[Model, DataFrame]:
+    """Chooses examples, counts the words of their texts in all documents, and builds the index. The model, and all documents as counted() by its vocabulary.
 
     Vectors hold every word of a text. A word weighs its inverse document frequency, over all of docs, times its relevance()
     in the examples (delta TF-IDF): words that say nothing about the label count for little, but none is left out.
@@ -275,31 +309,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
         none = np.empty(0, np.int64)
-        return Model(np.empty(0, np.uint64), np.empty(0), none, none, none, none, np.empty(0), rate, np.empty(0), np.empty(0))
+        return Model(np.empty(0, np.uint64), np.empty(0), none, none, none, none, np.empty(0), rate, np.empty(0), np.empty(0)), counted(docs, np.empty(0, np.uint64))
     lists = [np.asarray(t, np.int64).view(np.uint64) for t in held["terms"].to_numpy()]
     counts = [np.asarray(c) for c in held["counts"].to_numpy()]
     vocabulary, place = np.unique(np.concatenate(lists), return_inverse=True)
     terms = np.split(place, np.cumsum([len(t) for t in lists])[:-1])
     n = np.bincount(place, minlength=len(vocabulary)).astype(float)
     toxic = np.bincount(place, weights=np.repeat(y, [len(t) for t in terms]), minlength=len(vocabulary))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    number = shared._jbroadcast.id()
+    rows = materialize(counted(docs, vocabulary), "terms")  # a text is cut into words once, for frequencies and for scores
+    size = len(vocabulary)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _terms(number, shared.value)
-        df = np.zeros(len(words.vocabulary) + 1, np.int64)
+        df = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                df[-1] += 1
-                df[words.count(text.as_py() or "")[0]] += 1
+            df[-1] += batch.num_rows
+            for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                df[unpack(n, packed)[0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["i", "n"])
 
-    found = docs.select("text").mapInArrow(tidy(frequency, "terms"), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the examples at most
+    found = rows.select("n", "terms").mapInArrow(tidy(frequency), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the examples at most
     df = np.zeros(len(vocabulary) + 1)
     df[found["i"].to_numpy()] = found["n"].to_numpy()
     weight = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3) * (relevance(n, toxic, len(y), rate) + 1e-3)
-    shared.unpersist()
     bare = [v for v, t in zip(y, terms, strict=True) if not len(t)]
     with_words = [i for i, t in enumerate(terms) if len(t)]
     # neighbours in the index share their heaviest terms, so that the bounds of blocks differ
@@ -313,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
         part = asked[at : at + TOGETHER]
         raw += [model.raw(*x) if len(x[0]) else prior for x in model.index.search([model.vectors[i] for i in part], NEIGHBOURS, part)]
     model.steps, model.values = _calibrate(np.array(raw), model.toxic[asked])
-    return model
+    return model, rows
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, threshold: float = 0.3) -> DataFrame:
@@ -327,20 +359,19 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     Empty table: no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, examples))
-    number = shared._jbroadcast.id()
+    model, rows = fit_counted(docs, labels, label, examples)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        terms = _terms(number, model.vocabulary)
         evidence = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                answers = model.score([terms.count(text.as_py() or "") for text in batch.column(1)])
+                answers = model.score(list(map(unpack, batch.column(1).to_pylist(), batch.column(2).to_pylist())))
                 scores = np.array([min(1.0, max(0.0, s)) for s, *_ in answers])
                 near = np.concatenate([a[1] for a in answers])
                 parts = [pa.array(model.ids[near]), pa.array(model.toxic[near].astype(np.int32)), pa.array(np.concatenate([a[2] for a in answers]))]
                 found = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(a[1]) for a in answers])].astype(np.int32), pa.StructArray.from_arrays(parts, fields=list(evidence)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), found], names=["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, "terms"), "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")

@@ -235,6 +235,20 @@ def test_block_max_search_is_exact():
         assert len(near) == len(want) and np.allclose(cosines, all_[want], atol=1e-6)
 
 
+def test_toxicity_cuts_texts_once(spark):
+    """Scores come from the terms that frequencies were counted from, not from the texts again."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score(docs, labels)
+    assert not set(found.inputFiles()) & set(docs.inputFiles())
+    assert found.count() == docs.count()
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 700):
+        terms, counts = np.sort(r.choice(2**31 - 1, n, replace=False)), r.integers(1, 2**31 - 1, n)
+        back = toxicity.unpack(n, toxicity.pack(terms, counts))
+        assert np.array_equal(back[0], terms) and np.array_equal(back[1], counts)
+
+
 def test_toxicity_query_equals_brute_force(spark):
     """The cosines of op6's evidence against dense TF-IDF vectors of whole texts, over all examples."""
     from skeinlake.llm import queries
