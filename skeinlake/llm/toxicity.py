@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -29,8 +31,18 @@ CALIBRATED = 4000
 TOGETHER = 128
 #: Words that a worker remembers with their terms; the memory is emptied when it is full.
 REMEMBERED = 500_000
+#: Words of texts that are counted together.
+WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
+#: ASCII with a blank for all that isn't of a word.
+_BLANKED = "".join(c if _WORD.match(c) else " " for c in map(chr, range(128)))
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text in lower case."""
+    text = (text or "").lower()
+    return text.translate(_BLANKED).split() if text.isascii() else _WORD.findall(text)
 
 
 def _hash(word: str) -> int:
@@ -52,19 +64,23 @@ class Terms(dict):
         found[inside] = self.vocabulary[at[inside]] == hashes[inside]
         self.update(zip(words, np.where(found, at, -1).tolist(), strict=True))
 
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, counts) of a text, as far as the vocabulary has them."""
-        words = Counter(_WORD.findall(text.lower()))
-        if new := [w for w in words if w not in self]:
+    def count(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts in words: how many terms each has, as far as the vocabulary has them, and the terms and counts of all in turn."""
+        flat = list(chain.from_iterable(texts))
+        places = np.fromiter(map(self.get, flat, repeat(-2)), np.int64, len(flat))
+        unknown = np.flatnonzero(places == -2)
+        if len(unknown):
+            asked = [flat[i] for i in unknown.tolist()]
+            new = list(set(asked))
             if len(self) + len(new) > REMEMBERED:
                 self.clear()
-                new = list(words)
             self.learn(new)
-        terms = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        counts = np.fromiter(words.values(), np.int64, len(words))
-        known = np.flatnonzero(terms >= 0)
-        order = known[np.argsort(terms[known])]
-        return terms[order], counts[order]
+            places[unknown] = np.fromiter(map(self.__getitem__, asked), np.int64, len(asked))
+        size = max(1, len(self.vocabulary))
+        keys = np.repeat(np.arange(len(texts)) * size, list(map(len, texts))) + places
+        keys, counts = np.unique(keys[places >= 0], return_counts=True)
+        owner, terms = np.divmod(keys, size)
+        return np.bincount(owner, minlength=len(texts)), terms, counts
 
 
 def vector(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -83,7 +99,7 @@ def _ranges(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """The examples' vectors by term: common terms as columns, the others as inverted lists in blocks of examples with the greatest weight in each."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, step: int = 8, common: float = COMMON):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, step: int = 16, common: float = COMMON):
         self.n, self.block, self.step = len(vectors), block, step
         self.n_blocks = -(-self.n // block)
         owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
@@ -97,9 +113,10 @@ class BlockMaxIndex:
         self.columns = np.zeros((len(heads), self.n_blocks * block), np.float32)
         self.columns[self.head[terms[own]], owner[own]] = weights[own]
         owner, terms, weights = owner[~own], terms[~own], weights[~own]
-        order = np.lexsort((owner, terms))
+        order = np.argsort(terms, kind="stable")  # examples stay in order
         self.owner, self.weights, terms = owner[order], weights[order], terms[order]
-        cell = terms * max(1, self.n_blocks) + self.owner // block
+        del owner, weights, order
+        cell = terms.astype(np.int64) * max(1, self.n_blocks) + self.owner // block
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
         self.top = np.maximum.reduceat(self.weights, starts) if len(cell) else np.empty(0, np.float32)
         first = cell[starts]
@@ -113,93 +130,101 @@ class BlockMaxIndex:
         for i, (terms, weights) in enumerate(queries):
             own = self.head[terms] >= 0
             asked[i, self.head[terms[own]]] = weights[own]
-        dense = asked @ self.columns
-        return [self._nearest(t, w, dense[i], k, without[i] if without else -1) for i, (t, w) in enumerate(queries)]
+        dense = (asked @ self.columns).reshape(len(queries), self.n_blocks, self.block)
+        highest = dense.max(2) if self.n else np.zeros((len(queries), 0))
+        return [self._nearest(t, w, dense[i], highest[i], k, without[i] if without else -1) for i, (t, w) in enumerate(queries)]
 
-    def _nearest(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, highest: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         """The blocks with the greatest upper bounds (what the columns give the best of their examples, and the query's weights times the lists'
-        greatest weights there) come first; then, at once, all blocks whose bound reaches the k-th best cosine so far."""
+        greatest weights there) come first; then, at once, all blocks whose bound reaches the k-th best cosine so far. Only their examples are looked at."""
         if not len(terms) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        total = dense.astype(np.float64)
         lo = self.edges[terms]
         sizes = self.edges[terms + 1] - lo
         cells = _ranges(lo, sizes)
         weight = np.repeat(weights, sizes)
         at = self.cell_block[cells]
-        lists = np.bincount(at, weights=weight * self.top[cells], minlength=self.n_blocks)
-        bound = lists + total.reshape(self.n_blocks, self.block).max(1)
-
-        def add(chosen: np.ndarray) -> None:
-            own = chosen[at]
-            chosen_cells = cells[own]
-            start = self.cell_starts[chosen_cells].astype(np.int64)
-            size = self.cell_starts[chosen_cells + 1] - start
+        bound = np.bincount(at, weights=weight * self.top[cells], minlength=self.n_blocks) + highest
+        places = np.arange(self.block)
+
+        def whole(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The examples of blocks and their cosines."""
+            slot = np.full(self.n_blocks, -1)
+            slot[blocks] = np.arange(len(blocks))
+            slots = slot[at]
+            own = np.flatnonzero(slots >= 0)
+            chosen = cells[own]
+            start = self.cell_starts[chosen].astype(np.int64)
+            size = self.cell_starts[chosen + 1] - start
             p = _ranges(start, size)
+            total = dense[blocks].astype(np.float64).ravel()
             if len(p):
-                total[:] += np.bincount(self.owner[p], weights=np.repeat(weight[own], size) * self.weights[p], minlength=len(total))
-
-        def least() -> float:
-            seen = total if without < 0 else np.delete(total, without)
-            return float(np.partition(seen, -k)[-k]) if len(seen) > k else 0.0
-
-        first = np.zeros(self.n_blocks, bool)
-        first[np.argpartition(bound, -min(self.step, self.n_blocks))[-min(self.step, self.n_blocks) :]] = True
-        add(first)
-        # a block without more in its lists is complete; float sums of bounds may round below the cosine
-        rest = ~first & (lists > 0) & (bound >= least() - 1e-5)
-        add(rest)
-        if without >= 0:
-            total[without] = 0.0
-        # blocks that were passed over hold less than the k-th best, even with what their lists would add
-        floor = least()
-        ids = np.flatnonzero((total > 0) & (total >= floor))
-        ids = ids[np.lexsort((ids, -total[ids]))][:k]
-        return ids, total[ids]
+                # an example's place among those of the blocks: its own, moved as its block was
+                moved = np.repeat((slots[own] - at[own]) * self.block, size) + self.owner[p]
+                total += np.bincount(moved, weights=np.repeat(weight[own], size) * self.weights[p], minlength=len(total))
+            ids = (blocks[:, None] * self.block + places).ravel()
+            if without >= 0:
+                total[ids == without] = 0.0
+            return ids, total
+
+        def least(total: np.ndarray) -> float:
+            return float(np.partition(total, -k)[-k]) if len(total) > k else 0.0
+
+        step = min(self.step, self.n_blocks)
+        first = np.argpartition(bound, -step)[-step:]
+        ids, total = whole(first)
+        # float sums of bounds may round below the cosine
+        reach = bound >= least(total) - 1e-5
+        reach[first] = False
+        if reach.any():
+            more, others = whole(np.flatnonzero(reach))
+            ids, total = np.concatenate([ids, more]), np.concatenate([total, others])
+        found = np.flatnonzero((total > 0) & (total >= least(total)))
+        ids, total = ids[found], total[found]
+        order = np.lexsort((ids, -total))[:k]
+        return ids[order], total[order]
 
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray  # sorted hashes of the examples' words
+    vocabulary: np.ndarray  # sorted hashes of the examples' words; stays where the model was made
     weight: np.ndarray
     sizes: np.ndarray  # terms of each example
-    terms: np.ndarray  # of all examples in turn
-    counts: np.ndarray
+    packed: list[bytes]  # pack() of each example's
     ids: np.ndarray
     toxic: np.ndarray
     prior: float  # share of toxic examples among those without words
     steps: np.ndarray  # raw votes
     values: np.ndarray  # and what they mean
+    shared: Broadcast | None = None  # the model without the two, once tasks have it
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Made where it is first asked for, and not sent."""
+        return BlockMaxIndex([(t.astype(np.int32), w.astype(np.float32)) for t, w in map(self.vector, self.sizes.tolist(), self.packed)], len(self.weight))
 
-    def __post_init__(self):
-        ends = np.cumsum(self.sizes)[:-1]
-        pairs = zip(np.split(self.terms, ends), np.split(self.counts, ends), strict=True) if len(self.sizes) else ()
-        self.vectors = [(t, vector(t, c, self.weight)) for t, c in pairs]
-        self.index = BlockMaxIndex(self.vectors, len(self.vocabulary))
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"} | {"vocabulary": self.vocabulary[:0], "shared": None}
 
-    def __reduce__(self):
-        """Terms as packed differences; the index is made again where it is used."""
-        packed = [(pa.compress(x.astype(np.int32).tobytes(), codec="zstd", asbytes=True), len(x)) for x in (np.diff(self.terms, prepend=0), self.counts)]
-        return _unpack, (*packed, self.vocabulary, self.weight, self.sizes, self.ids, self.toxic, self.prior, self.steps, self.values)
+    def vector(self, n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        terms, counts = unpack(n, packed)
+        return terms, vector(terms, counts, self.weight)
 
     def raw(self, near: np.ndarray, cosines: np.ndarray) -> float:
         """Votes weighted by the cosine's angle distance, with one vote for the prior."""
         weight = 1 / (0.1 + np.arccos(np.clip(cosines, -1, 1)))
         return float((weight @ self.toxic[near] + self.prior) / (weight.sum() + 1))
 
-    def score(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(score, neighbours, cosines) of each text's (terms, counts)."""
-        out = []
-        for at in range(0, len(counts), TOGETHER):
-            for near, cosines in self.index.search([(t, vector(t, c, self.weight)) for t, c in counts[at : at + TOGETHER]], NEIGHBOURS):
-                raw = self.raw(near, cosines) if len(near) else None
-                out.append((self.prior if raw is None else float(np.interp(raw, self.steps, self.values)) if len(self.steps) else raw, near, cosines))
-        return out
+    def votes(self, sizes: list[int], packed: list[bytes], without: list[int] | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """(raw vote, neighbours, cosines) of each text by its pack(); no vote without neighbours. without: an example for each text that is none for it."""
+        for at in range(0, len(sizes), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            for near, cosines in self.index.search(list(map(self.vector, sizes[part], packed[part])), NEIGHBOURS, without and without[part]):
+                yield self.raw(near, cosines) if len(near) else None, near, cosines
 
-
-def _unpack(terms: tuple[bytes, int], counts: tuple[bytes, int], vocabulary: np.ndarray, weight: np.ndarray, sizes: np.ndarray, *rest) -> Model:
-    differences, held = (np.frombuffer(pa.decompress(b, 4 * n, codec="zstd", asbytes=True), np.int32).astype(np.int64) for b, n in (terms, counts))
-    return Model(vocabulary, weight, sizes, np.cumsum(differences), held, *rest)
+    def score(self, raw: float | None) -> float:
+        """What a raw vote means."""
+        return self.prior if raw is None else float(np.interp(raw, self.steps, self.values)) if len(self.steps) else raw
 
 
 #: The words that a worker knows, by the broadcast's number.
@@ -231,12 +256,22 @@ def counted(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     number = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _terms(number, shared.value)
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                found = [words.count(text.as_py() or "") for text in batch.column(1)]
-                sizes = pa.array([len(t) for t, _ in found], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([pack(t, c) for t, c in found], pa.binary())], names=["doc_id", "n", "terms"])
+        known = _terms(number, shared.value)
+
+        def flush(ids: pa.Array, texts: list[list[str]]) -> pa.RecordBatch:
+            sizes, terms, counts = known.count(texts)
+            ends = np.cumsum(sizes).tolist()
+            packed = [pack(terms[lo:hi], counts[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int32)), pa.array(packed, pa.binary())], names=["doc_id", "n", "terms"])
+
+        for batch in batches:
+            held, n, start = [], 0, 0
+            for row, text in enumerate(batch.column(1)):
+                held.append(words(text.as_py()))
+                n += len(held[-1])
+                if n >= WORDS or row == batch.num_rows - 1:
+                    yield flush(batch.column(0).slice(start, len(held)), held)
+                    held, n, start = [], 0, row + 1
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, "terms"), "doc_id long, n int, terms binary")
 
@@ -292,30 +327,38 @@ def fit_counted(docs: DataFrame, labels: DataFrame, label: str, examples: int, c
     in the examples (delta TF-IDF): words that say nothing about the label count for little, but none is left out.
     """
     own = _examples(docs, labels, label, examples, chars)
+    lists = ["terms", "counts"]
 
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, counts = [], []
             for text in batch.column(2):
-                words = np.array([_hash(w) for w in _WORD.findall((text.as_py() or "").lower())], np.uint64)
-                terms, n = np.unique(words, return_counts=True)
+                terms, n = np.unique(np.array(list(map(_hash, words(text.as_py()))), np.uint64), return_counts=True)
                 hashes.append(terms.view(np.int64))
                 counts.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "y", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "y", *lists])
 
-    held = own.mapInArrow(tidy(example), "id long, y int, terms array<long>, counts array<int>").toArrow().sort_by("id")  # bounded by examples and chars
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, place = np.unique(batch.column(1).flatten().to_numpy(), return_inverse=True)
+            toxic = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            columns = [hashes, np.bincount(place, minlength=len(hashes)), np.bincount(place, toxic, len(hashes)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["term", "n", "toxic"])
+
+    texts = materialize(own.mapInArrow(tidy(example), "id long, y int, terms array<long>, counts array<int>"), "example-terms")
     discard(own)
-    ids, y = held["id"].to_numpy(), held["y"].to_numpy().astype(float)
-    rate = float(y.mean()) if len(y) else 0.0
+    n_examples, n_toxic = texts.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    rate = n_toxic / n_examples if n_examples else 0.0
     if not 0 < rate < 1:
-        none = np.empty(0, np.int64)
-        return Model(np.empty(0, np.uint64), np.empty(0), none, none, none, none, np.empty(0), rate, np.empty(0), np.empty(0)), counted(docs, np.empty(0, np.uint64))
-    lists = [np.asarray(t, np.int64).view(np.uint64) for t in held["terms"].to_numpy()]
-    counts = [np.asarray(c) for c in held["counts"].to_numpy()]
-    vocabulary, place = np.unique(np.concatenate(lists), return_inverse=True)
-    terms = np.split(place, np.cumsum([len(t) for t in lists])[:-1])
-    n = np.bincount(place, minlength=len(vocabulary)).astype(float)
-    toxic = np.bincount(place, weights=np.repeat(y, [len(t) for t in terms]), minlength=len(vocabulary))
+        discard(texts)
+        none = np.empty(0)
+        return Model(np.empty(0, np.uint64), none, np.empty(0, np.int64), [], np.empty(0, np.int64), none, rate, none, none), counted(docs, np.empty(0, np.uint64))
+    # a row for each word of the examples: the driver holds numbers of words, never the examples' vectors other than packed
+    said = texts.select("y", "terms").mapInArrow(tidy(labelled), "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    vocabulary = said["term"].to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, n, toxic = vocabulary[order], said["n"].to_numpy()[order].astype(float), said["toxic"].to_numpy()[order].astype(float)
+    del said, order
     rows = materialize(counted(docs, vocabulary), "terms")  # a text is cut into words once, for frequencies and for scores
     size = len(vocabulary)
 
@@ -331,21 +374,55 @@ def fit_counted(docs: DataFrame, labels: DataFrame, label: str, examples: int, c
     found = rows.select("n", "terms").mapInArrow(tidy(frequency), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the examples at most
     df = np.zeros(len(vocabulary) + 1)
     df[found["i"].to_numpy()] = found["n"].to_numpy()
-    weight = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3) * (relevance(n, toxic, len(y), rate) + 1e-3)
-    bare = [v for v, t in zip(y, terms, strict=True) if not len(t)]
-    with_words = [i for i, t in enumerate(terms) if len(t)]
+    weight = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3) * (relevance(n, toxic, n_examples, rate) + 1e-3)
+    del found, df, n, toxic
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((vocabulary, weight))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weight = shared.value
+        for batch in batches:
+            sizes, packed, heaviest = [], [], []
+            for hashes, counts in zip(*(batch.column(x) for x in lists), strict=True):
+                terms, n = np.searchsorted(vocabulary, hashes.values.to_numpy().view(np.uint64)), counts.values.to_numpy()
+                sizes.append(len(terms))
+                packed.append(pack(terms, n))
+                heaviest.append(int(terms[np.argmax(vector(terms, n, weight))]) if len(terms) else -1)
+            columns = [batch.column("id"), batch.column("y"), pa.array(heaviest, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "heaviest", "n", "terms"])
+
+    held = texts.mapInArrow(tidy(place), "id long, y int, heaviest long, n long, terms binary").toArrow()  # bounded by examples and chars
+    shared.unpersist()
+    discard(texts)
+    bare = held["y"].to_numpy()[held["n"].to_numpy() == 0]
+    prior = float((bare.sum() + 0.5 * rate) / (len(bare) + 0.5))
     # neighbours in the index share their heaviest terms, so that the bounds of blocks differ
-    with_words.sort(key=lambda i: (int(terms[i][np.argmax(vector(terms[i], counts[i], weight))]), ids[i]))
-    prior = (sum(bare) + 0.5 * rate) / (len(bare) + 0.5)
-    all_terms, all_counts = (np.concatenate([x[i] for i in with_words] or [np.empty(0, np.int64)]).astype(np.int64) for x in (terms, counts))
-    model = Model(vocabulary, weight, np.array([len(terms[i]) for i in with_words], np.int64), all_terms, all_counts, ids[with_words], y[with_words], prior, np.empty(0), np.empty(0))
-    asked = list(range(0, len(with_words), max(1, -(-len(with_words) // CALIBRATED))))
-    raw = []
-    for at in range(0, len(asked), TOGETHER):
-        part = asked[at : at + TOGETHER]
-        raw += [model.raw(*x) if len(x[0]) else prior for x in model.index.search([model.vectors[i] for i in part], NEIGHBOURS, part)]
-    model.steps, model.values = _calibrate(np.array(raw), model.toxic[asked])
-    return model, rows
+    heaviest, ids = held["heaviest"].to_numpy(), held["id"].to_numpy()
+    order = np.lexsort((ids, heaviest))
+    order = order[heaviest[order] >= 0]
+    packed = held["terms"].to_pylist()
+    model = Model(vocabulary, weight, held["n"].to_numpy()[order], [packed[i] for i in order.tolist()], ids[order], held["y"].to_numpy()[order].astype(float), prior, np.empty(0), np.empty(0))
+    del held, packed
+    return _calibrated(spark, model), rows
+
+
+def _calibrated(spark: SparkSession, model: Model) -> Model:
+    """The model with what raw votes mean: some of its examples are scored against the others, in tasks, where the index is made."""
+    asked = list(range(0, len(model.ids), max(1, -(-len(model.ids) // CALIBRATED))))
+    if not asked:
+        return model
+    shared = model.shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sizes, packed = batch.to_pydict().values()
+            votes = [shared.value.prior if raw is None else raw for raw, *_ in shared.value.votes(sizes, packed, at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["i", "raw"])
+
+    chosen = pa.table({"i": pa.array(asked, pa.int64()), "n": model.sizes[asked], "terms": pa.array([model.packed[i] for i in asked], pa.binary())})
+    found = spark.createDataFrame(chosen).mapInArrow(tidy(run), "i long, raw double").toArrow().sort_by("i")  # at most CALIBRATED rows
+    model.steps, model.values = _calibrate(found["raw"].to_numpy(), model.toxic[asked])
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, threshold: float = 0.3) -> DataFrame:
@@ -360,14 +437,16 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     """
     ship(docs.sparkSession)
     model, rows = fit_counted(docs, labels, label, examples)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(model)
+    steps, values = model.steps, model.values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        model.steps, model.values = steps, values
         evidence = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                answers = model.score(list(map(unpack, batch.column(1).to_pylist(), batch.column(2).to_pylist())))
+                answers = [(model.score(raw), near, cosines) for raw, near, cosines in model.votes(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 scores = np.array([min(1.0, max(0.0, s)) for s, *_ in answers])
                 near = np.concatenate([a[1] for a in answers])
                 parts = [pa.array(model.ids[near]), pa.array(model.toxic[near].astype(np.int32)), pa.array(np.concatenate([a[2] for a in answers]))]

@@ -249,6 +249,22 @@ def test_toxicity_cuts_texts_once(spark):
         assert np.array_equal(back[0], terms) and np.array_equal(back[1], counts)
 
 
+def test_toxicity_index_is_not_made_on_the_driver(spark):
+    rows, labels = toxic_rows()
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, LABELS))
+    assert "index" not in vars(model) and all(isinstance(x, bytes) for x in model.packed)
+    assert len(model.steps) > 2 and (np.diff(model.values) >= 0).all()
+    assert "index" not in model.__getstate__()
+
+
+def test_toxicity_words_are_those_of_the_pattern():
+    for text in ("", "a_b-C9\x1cd\x1fe\x85f", "".join(map(chr, range(128))) * 2, "".join(map(chr, range(0x2200))), "\u212aelvin", "\u0130x"):
+        assert toxicity.words(text) == re.findall(r"\w+", text.lower())
+    known = toxicity.Terms(np.sort(np.array([toxicity._hash(w) for w in ("a", "b", "c")], np.uint64)))
+    sizes, terms, counts = known.count([["a", "x", "a", "b"], [], ["x"], ["c", "a"]])
+    assert sizes.tolist() == [2, 0, 0, 2] and len(terms) == 4 and sorted(counts.tolist()) == [1, 1, 1, 2]
+
+
 def test_toxicity_query_equals_brute_force(spark):
     """The cosines of op6's evidence against dense TF-IDF vectors of whole texts, over all examples."""
     from skeinlake.llm import queries
