@@ -21,8 +21,8 @@ from .common import MEMORIES, discard, materialize, tidy
 TRANSITIONS = 300_000
 #: Chunks of more tokens of both sides walk alone, and others as long as so many walk together.
 LONG, TOGETHER = 128, 64
-#: Chunks, and words of A, in each of the two generations of a worker's memories.
-REMEMBERED = 120_000
+#: Chunks, and words of A, in each of the two generations of a worker's memories. Most chunks are a word, so words are asked for only where their chunk is new.
+REMEMBERED, REMEMBERED_WORDS = 240_000, 40_000
 #: What stands for a chunk whose tokens don't give its bytes back; no text has as many tokens.
 BROKEN = (-(1 << 40), b"", b"")
 #: Keys that begin so, the empty one too, aren't a blank and a word.
@@ -178,7 +178,7 @@ class Pair:
         import public_tokenizers
 
         with open(a if "/" in a else public_tokenizers.path(a)) as state:
-            self.a = Encoder(Ranks.of_tokenizer(json.load(state)), entries=REMEMBERED)
+            self.a = Encoder(Ranks.of_tokenizer(json.load(state)), entries=REMEMBERED_WORDS)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b if "/" in b else public_tokenizers.path(b))
         tokens = self.a.ranks.tokens
         self.width = self.b.get_piece_size()
@@ -200,7 +200,8 @@ class Pair:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A's ids of all chunks in turn, and where each chunk's end."""
-        cut = list(map(self.a.cut, texts))
+        # a blank and ASCII letters are one match of the pattern
+        cut = [[t] if t[:1] == " " and (bare := t[1:]).isascii() and bare.isalpha() else self.a.cut(t) for t in texts]
         words = list(chain.from_iterable(cut))
         long = self.a.words.learn(set(words), self.a.ranks.encode)
         rows = list(map(self.a.words.__getitem__, words))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterable, Iterator
-from itertools import pairwise
+from itertools import filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,9 @@ class Memory(dict):
 
     def learn(self, asked: set[str], work: Callable[[list[str]], Iterable[tuple[str, object]]]) -> list[str]:
         """Has all that is asked for afterwards; the long strings among it, which forget() should get once they are used."""
-        new = asked - self.keys()
-        again = new & self.before.keys()
+        # what is asked for is looked up; taking a view of keys from a set would walk all that is remembered
+        new = set(filterfalse(self.__contains__, asked))
+        again = set(filter(self.before.__contains__, new))
         self.update((w, self.before[w]) for w in again)
         new -= again
         if len(self) + len(new) > self.entries:

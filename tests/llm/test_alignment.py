@@ -169,3 +169,30 @@ def test_edges_where_chunks_walk_together(brute, monkeypatch):
         assert (0 if broken else sum(n for n, _, _ in found)) == n_a
         assert sum(g.count(b"|") for g in groups) == n_groups and (hashlib.sha256(b";".join(groups)).hexdigest() if groups else "") == digest
         assert (0 if broken else sum(len(links) // 8 for _, _, links in found)) == n_links
+
+
+def test_memory_looks_up_only_what_is_asked_for():
+    """A batch costs what it asks for, not what is remembered."""
+    from skeinlake.llm.byte_bpe import Memory
+
+    class Watched(Memory):
+        def keys(self):
+            raise AssertionError("all that is remembered was walked")
+
+    known = Watched(1000)
+    for asked in ({"a", "b"}, {"b", "c"}, {"a", "d" * 100}):
+        worked = []
+        long = known.learn(asked, lambda new: (worked.extend(new), [(w, w) for w in new])[1])
+        assert all(known[w] == w for w in asked) and long == [w for w in worked if len(w) > 64]
+        known.forget(long)
+    assert set(known) == {"a", "b", "c"} and worked == ["d" * 100]
+
+
+def test_plain_chunks_are_cut_as_by_the_pattern():
+    from skeinlake.llm.alignment import remembered_pair
+
+    pair = remembered_pair("byte_bpe_50k.json", "piece_bpe_32k.model")
+    for text in (" ", " abc", " s", " It's", " ab1", " été", "abc", "\nabc", " a b", " " + "x" * 300, " abc,", "  abc"):
+        ids, ends = pair.tokens([text])
+        words = dict(pair.a.ranks.encode(set(pair.a.cut(text))))
+        assert ids.astype("<i4").tobytes() == b"".join(words[w] for w in pair.a.cut(text)) and ends.tolist() == [len(ids)]
