@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -12,15 +12,24 @@ from .common import discard, materialize
 SALTS = 16
 
 
+def _salt(b: str) -> Column:
+    return F.pmod(F.xxhash64(b), F.lit(SALTS)).cast("int")
+
+
 def _with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """pairs (a, b) with m of least (a, m): the pairs of a hub go to SALTS tasks, each of which gets the hub's least node."""
-    salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return salted.join(least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "s"]).drop("s")
+    """pairs (a, b) with m of least (a, m, salts): the pairs of a hub go to SALTS tasks, each of which gets the hub's least node.
+
+    A node has a row for each salt of its pairs, so there are no more rows than pairs. Both sides are shuffled whatever Spark takes
+    their size for: it estimates an exploded row as one row, and would gather and broadcast many times what its limit says.
+    """
+    salt = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1))
+    return pairs.withColumn("s", _salt("b")).join(least.select("a", "m", salt.alias("s")).hint("merge"), ["a", "s"]).drop("s")
 
 
 def _pull(pairs: DataFrame) -> DataFrame:
-    """For each node a of (a, b): the least of a and its b."""
-    return pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    """For each node a of (a, b): m, the least of a and its b, and salts, a bit for each salt that its b have."""
+    salts = F.bit_or(F.call_function("shiftleft", F.lit(1), _salt("b")))
+    return pairs.groupBy("a").agg(F.min("b").alias("m"), salts.alias("salts")).select("a", F.least("a", "m").alias("m"), "salts")
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,10 @@ BLOCK_GRAMS = 1_000_000
 BLOCK_SETS = 512
 #: Sets from which on a signature's list is dealt to several tasks, and beyond which they aren't counted further.
 HOT, COMMON = 1000, 50_000
+#: Places of sets in blocks (about 175 bytes each, 17 MB) up to which they are broadcast to the texts.
+PLACES = 100_000
+#: Bits for each place in the table by which texts are chosen beyond that, and the most bits in all (words of 64: about 11 MB).
+BITS, MOST_BITS = 16, 1 << 24
 #: Cost factor of a long list against a short one in the choice of how many lists are probed.
 MU = 0.0085
 
@@ -415,6 +419,20 @@ class Block:
             ask(rest[0])
 
 
+def _of_members(docs: DataFrame, members: DataFrame, rows: int) -> DataFrame:
+    """The rows of docs whose doc_id is the rep of one of the members, rows at most, and by chance few others: a hash of the doc_id finds its bit set."""
+    size = min(MOST_BITS, 1 << max(6, (BITS * rows - 1).bit_length()))
+
+    def bit(c: str) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(c), F.lit(size))
+        return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+
+    word, place = bit("rep")
+    words = members.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
+    word, place = bit("doc_id")
+    return docs.join(F.broadcast(words), word == F.col("word")).where(F.getbit("bits", place) == 1).select(*docs.columns)
+
+
 def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, only_asked: bool = False) -> DataFrame:
     """Verified (u, v) within blocks of members (rep, set_id, component, block, asked, guest).
 
@@ -422,9 +440,13 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, only
     """
     # a text is hashed once, however many blocks its set visits; places are counted before they are gathered, which bounds what is broadcast
     rows = members.count()
-    members = members.groupBy("rep", "set_id", "component").agg(F.collect_list(F.struct("block", "asked", "guest")).alias("places"))
-    members = broadcast_if_small(members, rows)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "places")
+    gathered = members.groupBy("rep", "set_id", "component").agg(F.collect_list(F.struct("block", "asked", "guest")).alias("places"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    if rows <= PLACES:
+        gathered = F.broadcast(gathered)
+    else:
+        texts, gathered = _of_members(texts, members, rows), gathered.hint("merge")
+    texts = texts.join(gathered, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_id", "component", "places")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
